@@ -1,0 +1,103 @@
+"""Skew-safe ordered windows.
+
+A ``Window.partitionBy(key)`` puts every row of a key into one task; if one
+key holds a third of the table, that task holds a third of the table.  For
+forward / backward fill we split such *hot* keys into contiguous chunks of the
+first order column, fill inside each chunk with an ordinary window, and carry
+the last (first) non-null value of earlier (later) chunks across chunk
+borders through a small per-chunk table.  Keys under ``hot_rows`` rows keep a
+single chunk, so the common case is one plain window.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+HOT_ROWS = 4_000_000
+CHUNK_ROWS = 1_000_000
+
+
+def _order_number(df: DataFrame, c: str) -> Column:
+    dt = df.schema[c].dataType
+    if isinstance(dt, T.TimestampNTZType):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(F.col(c)).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(c)).cast("double")
+    if isinstance(dt, (T.NumericType,)):
+        return F.col(c).cast("double")
+    return None
+
+
+def directional_fill(df: DataFrame, col: str, order_by: list[str], partition_by: list[str] | None = None,
+                     direction: str = "forward", hot_rows: int = HOT_ROWS,
+                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Replace NULLs in ``col`` with the previous (forward) or next (backward)
+    non-null value in ``order_by`` order within ``partition_by``; leading
+    (trailing) NULLs stay NULL."""
+    keys = list(partition_by or [])
+    order = [F.col(c) for c in order_by]
+    fwd = direction == "forward"
+    o0 = _order_number(df, order_by[0])
+
+    hot = []
+    if o0 is not None:
+        stats = (df.groupBy(*keys) if keys else df.groupBy())
+        hot = (stats.agg(F.count(F.lit(1)).alias("__n"), F.min(o0).alias("__mn"), F.max(o0).alias("__mx"))
+               .where(F.col("__n") > hot_rows).collect())
+    if not hot:
+        base = Window.partitionBy(*keys).orderBy(*order)
+        if fwd:
+            v = F.last(F.col(col), ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
+        else:
+            v = F.first(F.col(col), ignorenulls=True).over(base.rowsBetween(0, Window.unboundedFollowing))
+        return df.withColumn(col, v)
+
+    # hot keys: equal-width chunks of the first order column
+    rows = []
+    for r in hot:
+        nchunks = max(1, math.ceil(r["__n"] / chunk_rows))
+        width = (r["__mx"] - r["__mn"]) / nchunks if r["__mx"] > r["__mn"] else 1.0
+        rows.append(tuple(r[k] for k in keys) + (float(r["__mn"]), float(width), nchunks))
+    key_schema = [df.schema[k] for k in keys]
+    schema = T.StructType(key_schema + [T.StructField("__mn", T.DoubleType()), T.StructField("__w", T.DoubleType()),
+                                        T.StructField("__nc", T.LongType())])
+    hot_df = df.sparkSession.createDataFrame(rows, schema)
+    if keys:
+        j = df.join(F.broadcast(hot_df), keys, "left")
+    else:  # the whole table is one hot group: its parameters are literals
+        mn, w, nc = rows[0]
+        j = df.select("*", F.lit(mn).alias("__mn"), F.lit(w).alias("__w"), F.lit(nc).cast("long").alias("__nc"))
+    chunk = F.coalesce(F.least(F.col("__nc") - 1, F.floor((o0 - F.col("__mn")) / F.col("__w")).cast("long")), F.lit(0))
+    j = j.withColumn("__chunk", F.greatest(chunk, F.lit(0))).drop("__mn", "__w", "__nc")
+
+    local_w = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    if fwd:
+        local = F.last(F.col(col), ignorenulls=True).over(local_w.rowsBetween(Window.unboundedPreceding, 0))
+        edge = F.max_by(F.col(col), F.struct(*order))
+    else:
+        local = F.first(F.col(col), ignorenulls=True).over(local_w.rowsBetween(0, Window.unboundedFollowing))
+        edge = F.min_by(F.col(col), F.struct(*order))
+    j = j.withColumn("__local", local)
+
+    # per-chunk edge values of hot keys only (bounded by rows / chunk_rows)
+    per_chunk = (j.where(F.col(col).isNotNull() & (F.col("__chunk") >= 0))
+                 .join(F.broadcast(hot_df.select(*keys)), keys, "left_semi") if keys else
+                 j.where(F.col(col).isNotNull()))
+    per_chunk = per_chunk.groupBy(*keys, "__chunk").agg(edge.alias("__edge"))
+    cw = Window.partitionBy(*keys).orderBy("__chunk")
+    if fwd:
+        carry = F.last("__edge", ignorenulls=True).over(cw.rowsBetween(Window.unboundedPreceding, -1))
+    else:
+        carry = F.first("__edge", ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing))
+    # chunks with no non-null value still need a carry: build the full chunk grid
+    grid = hot_df.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nc") - 1)).alias("__chunk"))
+    carry_df = (grid.join(per_chunk, keys + ["__chunk"], "left")
+                .withColumn("__carry", carry).select(*keys, "__chunk", "__carry"))
+    out = j.join(F.broadcast(carry_df), keys + ["__chunk"], "left")
+    return out.withColumn(col, F.coalesce(F.col("__local"), F.col("__carry"))).select(*df.columns)
