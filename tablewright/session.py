@@ -16,6 +16,12 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # model loops run thousands of small jobs: keep the status store small
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "400",
+    "spark.ui.retainedTasks": "20000",
+    "spark.sql.ui.retainedExecutions": "100",
+    "spark.driver.memory": "8g",
 }
 
 
