@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def knn_join(queries: DataFrame, donors: DataFrame, qid: str, did: str, block_q: str, block_d: str,
              dist_fn, k: int, per_bucket: int = 16, max_rounds: int = 40,
@@ -49,19 +51,20 @@ def knn_join(queries: DataFrame, donors: DataFrame, qid: str, did: str, block_q:
         j = j.withColumn("dist", dist_fn()).where(F.col("dist").isNotNull() & ~F.isnan("dist"))
         w = Window.partitionBy(qid).orderBy(F.col("dist"), F.col(did))
         best = j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(qid, did, "dist", "rn", "__R")
-        best = best.persist()
+        # each round's plan would otherwise embed the previous one several times
+        best = cut_lineage(best)
         stat = best.groupBy(qid).agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("dk"), F.first("__R").alias("R"))
         need = F.lit(k)
         resolved = stat.where((F.col("c") >= need) & (F.col("dk") <= F.col("R") * F.lit(width)))
         good = best.join(resolved.select(qid), qid, "left_semi").select(qid, did, "dist", "rn")
-        done = good if done is None else done.unionByName(good)
+        done = good if done is None else cut_lineage(done.unionByName(good))
         # open queries: no donor in band, fewer than k, or k-th distance beyond the band
         nxt = (open_q.join(resolved.select(qid), qid, "left_anti")
                .join(stat.select(qid, "dk"), qid, "left")
                .withColumn("__R", F.greatest(F.col("__R") * 2,
                                              F.coalesce(F.ceil(F.col("dk") / F.lit(width)).cast("long"), F.lit(0))))
                .drop("dk"))
-        nxt = nxt.persist()
+        nxt = cut_lineage(nxt)
         if nxt.count() == 0:
             break
         # once the band spans every bucket, whatever is found is final
@@ -78,6 +81,18 @@ def knn_join(queries: DataFrame, donors: DataFrame, qid: str, did: str, block_q:
     return done
 
 
+def array_euclidean(a: str, b: str) -> Column:
+    """Euclidean distance of two equal-length double arrays as one
+    higher-order expression (keeps plans small for wide vectors)."""
+    sq = F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+    return F.sqrt(sq)
+
+
+def array_projection(a: str, dim: int) -> Column:
+    """Unit-norm projection sum(x)/sqrt(dim): |proj(x) - proj(y)| <= |x - y|."""
+    return F.aggregate(F.col(a), F.lit(0.0), lambda acc, v: acc + v) / F.lit(math.sqrt(dim))
+
+
 def nan_euclidean(q_cols: list[str], d_cols: list[str]) -> Column:
     """scikit-learn's nan_euclidean distance: sqrt(total/present * sum of
     squared differences over coordinates present on both sides); NULL when

@@ -184,19 +184,15 @@ def smote(df: DataFrame, y: str, features: list[str], key: str, k: int = 5, seed
     small = [c for c, n in counts.items() if c in need and n <= k]
     if small:
         raise ValueError(f"classes {small} have too few rows for k={k} neighbours")
-    proj = F.lit(0.0)
-    for f in features:
-        proj = proj + F.col(f).cast("double")
-    proj = proj / F.lit(math.sqrt(len(features)))  # unit-norm direction: |proj difference| <= distance
+    from ..functions.neighbors import array_euclidean, array_projection
+
+    dim = len(features)
     rows = df.where(F.col(y).cast("string").isin(list(need))).select(
-        F.col(key).alias("__id"), F.col(y).cast("string").alias("__cls"), *[F.col(f).cast("double").alias(f) for f in features],
-        proj.alias("__p"))
-    q = rows.select(F.col("__id").alias("qid"), F.col("__cls").alias("qcls"), F.col("__p").alias("qp"),
-                    *[F.col(f).alias(f"q_{f}") for f in features])
-    d = rows.select(F.col("__id").alias("did"), F.col("__cls").alias("dcls"), F.col("__p").alias("dp"),
-                    *[F.col(f).alias(f"d_{f}") for f in features])
-    sq = sum(((F.col(f"q_{f}") - F.col(f"d_{f}")) * (F.col(f"q_{f}") - F.col(f"d_{f}")) for f in features), F.lit(0.0))
-    dist = lambda: F.when(F.col("qid") != F.col("did"), F.sqrt(sq))
+        F.col(key).alias("__id"), F.col(y).cast("string").alias("__cls"), *[F.col(f).cast("double").alias(f) for f in features])
+    vec = F.array(*[F.col(f) for f in features])
+    q = rows.select(F.col("__id").alias("qid"), F.col("__cls").alias("qcls"), vec.alias("qv")).withColumn("qp", array_projection("qv", dim))
+    d = rows.select(F.col("__id").alias("did"), F.col("__cls").alias("dcls"), vec.alias("dv")).withColumn("dp", array_projection("dv", dim))
+    dist = lambda: F.when(F.col("qid") != F.col("did"), array_euclidean("qv", "dv"))
     nn = knn_join(q, d, "qid", "did", "qp", "dp", dist, k, same_group=("qcls", "dcls"))
     # copies per base row: floor(need/n) for all + 1 for the (need % n) smallest hashes
     marked = smallest_by_hash(rows, ["__id"], seed, {c: need[c] % counts[c] for c in need}, "__cls")
