@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_eval, q_model, q_prepare, q_profile, q_runs  # noqa: F401
+from . import q_clean, q_eval, q_io, q_model, q_prepare, q_profile, q_runs  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
