@@ -430,3 +430,24 @@ def quick_matrix(df: DataFrame, y: str | None = None) -> DataFrame:
     else:
         code = F.col(y)
     return df.select(*feats, code)
+
+
+def describe_target(df: DataFrame, y: str, key: list[str]) -> DataFrame:
+    """Target check: problem type, distinct count, dtype, imbalance
+    (classification only) and the datetime columns; a missing column or a
+    target with fewer than two values is an error."""
+    if y not in df.columns:
+        raise ValueError(f"Target column '{y}' not found")
+    info = target_profile(df, y)
+    problem = problem_type_of(info)
+    if problem == "invalid":
+        raise ValueError(f"Target column '{y}' has fewer than 2 unique values")
+    ratio, imb = None, None
+    if problem == "classification":
+        s = class_balance(df, y)[1].collect()[0]
+        ratio, imb = s["imbalance_ratio"], s["is_imbalanced"]
+    dates = ",".join(r[0] for r in datetime_columns(df, key).collect())
+    return df.sparkSession.createDataFrame(
+        [(y, problem, info["unique"], info["dtype"], imb, ratio, dates)],
+        "target_column string, problem_type string, unique_values bigint, dtype string, is_imbalanced boolean, "
+        "imbalance_ratio double, datetime_columns string")

@@ -209,3 +209,22 @@ def q_clean_log(spark, sf):
 @register("column_changes")
 def q_column_changes(spark, sf):
     return _clean_orders(spark, sf).column_changes
+
+
+@register("cleaning_runs")
+def q_cleaning_runs(spark, sf):
+    """C26 over two real runs on the dirty orders view (newest first)."""
+    import datetime as dt
+
+    from .cleaning import cleaning_runs
+
+    df = view(spark, sf, "orders_dirty")
+    runs = []
+    for i, cfg in enumerate([CleaningConfig(), _planned_config(C.plan_cleaning(C.cleaning_suggestions(df)).collect())]):
+        res = clean(df, cfg, key="o_orderkey")
+        b, a = res.before.collect()[0], res.after.collect()[0]
+        steps = [r["step"] for r in res.log.orderBy("seq").collect()]
+        runs.append((i + 1, dt.datetime(2026, 1, 1 + i), (b["row_count"],), (a["row_count"],), steps))
+    reports = spark.createDataFrame(runs, "id int, created_at timestamp, before struct<row_count:bigint>, "
+                                          "after struct<row_count:bigint>, steps array<string>")
+    return cleaning_runs(reports)

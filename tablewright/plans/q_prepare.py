@@ -268,3 +268,12 @@ def q_transform_new(spark, sf):
     p = _doc_prep(spark, sf)
     new = load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.lit(0).alias("toxic"))
     return p.model.transform(new, keep=["doc_id"])
+
+
+@register("describe_target", """with c as (select quality, count(*) as c from labels where quality is not null group by quality),
+n as (select count(*) as n from labels)
+select 'quality' as target_column, case when count(*) < 2 then 'invalid' when count(*) <= 20 then 'classification' else 'regression' end as problem_type,
+ cast(count(*) as bigint) as unique_values, 'int' as dtype, (max(c) / max(n)) / (min(c) / max(n)) > 2.0 as is_imbalanced,
+ round((max(c) / max(n)) / (min(c) / max(n)), 4) as imbalance_ratio, '' as datetime_columns from c cross join n""")
+def q_describe_target(spark, sf):
+    return PR.describe_target(load(spark, sf, "labels"), "quality", ["doc_id"])
