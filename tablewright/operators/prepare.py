@@ -297,8 +297,8 @@ def label_index(df: DataFrame, y: str) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, cols: list[str], kind: str) -> dict:
-    """(center, scale) per column: standard = mean / population std;
-    minmax = min / range; robust = median / IQR (exact interpolated).  A zero
+    """(center, scale) per column: P16 standard = mean / population std;
+    P17 minmax = min / range; P18 robust = median / IQR (exact interpolated).  A zero
     scale becomes 1."""
     if not cols:
         return {}

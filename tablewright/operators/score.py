@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Bundle:
-    """K9: fitted preprocessor + fitted model = one scoring artifact."""
+    """K9: fitted preprocessor + fitted model = one scoring artifact; ``save``
+    persists both (K7 preprocessor, K8 model)."""
     prep: object            # plans.prepare.FittedPreprocessor
     model: PipelineModel
     features: list

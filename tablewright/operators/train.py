@@ -98,7 +98,14 @@ class KnnClassifier(Estimator):
 
 def make_estimator(algo: str, hp: dict, n_rows: int, n_classes: int, features: list[str],
                    weight_col: str | None = None, seed: int = 42):
-    """Spark ML estimator with the reference's defaults."""
+    """Spark ML estimator with the reference's defaults.
+
+    M1 logistic regression (regParam = 1/(C n)); M2 random forest (sqrt
+    features, depth <= 30); M3 boosted trees -> GBTClassifier (one-vs-rest for
+    > 2 classes); M4 SVM -> LinearSVC, RBF via random Fourier features; M5 k-NN
+    (exact blocked neighbour join); M6 OLS (normal equations); M7 ridge
+    (regParam = alpha/n); M8 lasso (L1, regParam = alpha); M9 random forest
+    regressor (all features per split); M10 boosted regressor -> GBTRegressor."""
     hp = dict(hp or {})
     kw = {"featuresCol": "features", "labelCol": "label"}
     if weight_col:

@@ -161,7 +161,7 @@ def prepare(df: DataFrame, cfg: PipelineConfig, fit_on: str = "train") -> Prepar
     features = [c for c in features if c not in dropped]
 
     enc = cfg.encoding
-    passthrough = [c for c in enc.passthrough_columns if c in features]
+    passthrough = [c for c in enc.passthrough_columns if c in features]  # P20: neither encoded nor scaled
     texts = [c for c in features if is_text(dtype_of(df, c)) and c not in passthrough]
     numeric = [c for c in features if is_measure(dtype_of(df, c))]
     scale_cols = [c for c in (enc.scale_columns if enc.scale_columns is not None else numeric)
@@ -196,7 +196,7 @@ def prepare(df: DataFrame, cfg: PipelineConfig, fit_on: str = "train") -> Prepar
     if cfg.use_smote and problem == "classification":
         tr = SP.smote(tr, "label", model.feature_names(), key[0], seed=sc.random_seed).drop("synthetic")
 
-    mapping = []
+    mapping = []  # P34: column roles
     for c in [c for c in df.columns if c != y]:
         if c in dropped:
             mapping.append((c, "dropped (feature selection)"))
@@ -209,7 +209,7 @@ def prepare(df: DataFrame, cfg: PipelineConfig, fit_on: str = "train") -> Prepar
         else:
             mapping.append((c, "dropped (not routed)"))
     mapping_df = spark.createDataFrame(mapping, "column_name string, role string")
-    n_tr, n_te = tr.count(), te.count()
+    n_tr, n_te = tr.count(), te.count()  # P35: summary
     summary = spark.createDataFrame([(y, problem, n_tr, n_te, len(model.feature_names()), kind)],
                                     "target_column string, problem_type string, train_rows bigint, test_rows bigint, "
                                     "feature_count int, scaler string")

@@ -19,7 +19,9 @@ FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jso
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens: list[str] | None = None,
                infer: bool = True) -> DataFrame:
-    """Read one table; the format comes from the extension unless given."""
+    """S1 CSV (header, NA tokens, inference) / S2 Parquet / S3 JSON (one array
+    document; ``jsonl`` for lines) / S4 XLSX: read one table; the format comes
+    from the extension unless given, an unknown one is an error."""
     if fmt is None:
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
         if ext not in FORMATS:
