@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 4_000_000
 CHUNK_ROWS = 1_000_000
+BROADCAST_CHUNKS = 100_000
 
 
 def _order_number(df: DataFrame, c: str) -> Column:
@@ -67,7 +68,7 @@ def directional_fill(df: DataFrame, col: str, order_by: list[str], partition_by:
     key_schema = [df.schema[k] for k in keys]
     schema = T.StructType(key_schema + [T.StructField("__mn", T.DoubleType()), T.StructField("__w", T.DoubleType()),
                                         T.StructField("__nc", T.LongType())])
-    hot_df = df.sparkSession.createDataFrame(rows, schema)
+    hot_df = df.sparkSession.createDataFrame(rows, schema)  # one row per hot key (<= rows / hot_rows)
     if keys:
         j = df.join(F.broadcast(hot_df), keys, "left")
     else:  # the whole table is one hot group: its parameters are literals
@@ -99,5 +100,8 @@ def directional_fill(df: DataFrame, col: str, order_by: list[str], partition_by:
     grid = hot_df.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nc") - 1)).alias("__chunk"))
     carry_df = (grid.join(per_chunk, keys + ["__chunk"], "left")
                 .withColumn("__carry", carry).select(*keys, "__chunk", "__carry"))
-    out = j.join(F.broadcast(carry_df), keys + ["__chunk"], "left")
+    # the carry table has one row per hot chunk (rows / chunk_rows): broadcast
+    # it only while that count is small, else a shuffle join
+    total_chunks = sum(r[-1] for r in rows)
+    out = j.join(F.broadcast(carry_df) if total_chunks <= BROADCAST_CHUNKS else carry_df, keys + ["__chunk"], "left")
     return out.withColumn(col, F.coalesce(F.col("__local"), F.col("__carry"))).select(*df.columns)

@@ -27,10 +27,14 @@ def leaderboard(runs: DataFrame, metric: str = "accuracy", group: str = "job_id"
             .withColumn("is_best", F.coalesce(F.col("id") == F.col("__best"), F.lit(False))).drop("__best"))
 
 
-def compare(runs: DataFrame, ids: list, metric: str = "accuracy") -> DataFrame:
+def compare(runs: DataFrame, ids, metric: str = "accuracy") -> DataFrame:
     """Selected runs sorted by metric (desc; asc for error metrics),
-    best flag for runs reaching the best value."""
-    sel = runs.where(F.col("id").isin(ids))
+    best flag for runs reaching the best value.  ``ids`` is a short list or a
+    DataFrame with an ``id`` column (semi join, nothing collected)."""
+    if isinstance(ids, DataFrame):
+        sel = runs.join(ids.select("id").distinct(), "id", "left_semi")
+    else:
+        sel = runs.where(F.col("id").isin(list(ids)))
     agg = F.min(metric) if metric in LOWER_IS_BETTER else F.max(metric)
     top = sel.agg(agg.alias("__top")).collect()[0]["__top"]
     flag = F.coalesce(F.col(metric) == F.lit(top), F.lit(False)) if top is not None else F.lit(False)

@@ -18,7 +18,7 @@ def q_leaderboard(spark, sf):
 
 
 def _job_ids(runs, job):
-    return [r[0] for r in runs.where(F.col("job_id") == job).select("id").collect()]
+    return runs.where(F.col("job_id") == job).select("id")
 
 
 @register("compare", with_views("runs") + f"""select {RUN_COLS}, coalesce(accuracy = (select max(accuracy) from runs where job_id = 7), false) as is_best
