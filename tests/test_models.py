@@ -48,3 +48,23 @@ def test_feature_check(spark):
     df = spark.createDataFrame([(1, 2)], "a long, b long")
     st = {r["column_name"]: r["status"] for r in SC.check_features(df, ["a", "c"]).collect()}
     assert st == {"a": "ok", "b": "extra", "c": "missing"}
+
+
+def test_stream_scoring_matches_batch(spark, tmp_path):
+    from tablewright.config import PipelineConfig
+    from tablewright.plans.prepare import prepare
+    from tablewright.streaming.scoring import stream_predict
+
+    rows = [(i, float(i % 7), "ab"[i % 2], 1 if i % 3 == 0 else 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y long")
+    p = prepare(df, PipelineConfig(target_column="y", key_columns=("id",)))
+    feats = p.model.feature_names()
+    m = TR.fit("logistic_regression", p.train, feats, "classification")
+    bundle = SC.Bundle(p.model, m, feats, "y")
+    src = str(tmp_path / "in")
+    df.write.parquet(src)
+    q = stream_predict(spark, src, bundle, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    streamed = {r["id"]: r["y(predicted)"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = {r["id"]: r["y(predicted)"] for r in SC.predict(bundle, df).collect()}
+    assert streamed == batch and len(batch) == 60
