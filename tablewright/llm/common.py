@@ -61,3 +61,38 @@ def unit_hash(*cols) -> F.Column:
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows (reads no more than that)."""
     return df.limit(rows + 1).count() <= rows
+
+
+def map_texts(df: DataFrame, text: str, fields: str, make, carry: list[str] | None = None,
+              block: int = 256) -> DataFrame:
+    """Append columns computed from a text column, batch by batch in Arrow.
+
+    ``make()`` runs once per task and returns ``fn(texts) -> {name: values}``
+    for lists of at most ``block`` texts (a null text arrives as None).  The
+    result holds ``row``, a struct of the ``carry`` columns (default: all), and
+    the ``fields`` (DDL); nothing in ``row`` can clash with them."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(fields)
+    names = schema.names
+    kinds = _arrow_types(schema)
+    given = df.select(F.struct(*(carry or df.columns)).alias("row"), F.col(text).alias("text"))
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            rows, texts = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, block):
+                got = fn(texts.slice(at, block).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.slice(at, block), *[pa.array(got[n], kinds[n]) for n in names]], ["row", *names])
+
+    out = StructType(given.schema.fields[:1] + schema.fields)
+    return given.mapInArrow(run, out)
+
+
+def _arrow_types(schema) -> dict:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return {f.name: to_arrow_type(f.dataType) for f in schema.fields}

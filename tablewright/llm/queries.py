@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import mixing
+from . import bpe, mixing, quality
 from .common import WORD, read
 
 QUERIES: dict = {}
@@ -45,6 +45,21 @@ def op3_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_bpe")
+def op2_bpe(spark, sf_dir):
+    out = bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN, carry=["doc_id"],
+                            outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return out.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    out = quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", *quality.RATES)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
