@@ -9,16 +9,16 @@ leftmost on ties, stale entries are skipped; O(n log n) for any length.
 
 Pre-tokens already seen by a Python worker are kept in a bounded table.
 
-Defined cases: a null text is the empty text: no ids, empty bytes; a byte
-missing from the ranks raises; an empty table gives no rows.
+Defined cases: a null text is the empty text: no ids, empty bytes; ranks
+that miss a single byte raise; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Pre-tokens kept per Python worker.
-MEMO = 400_000
+MEMO = 1_000_000
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary",
            "decoded_sha256": "string"}
 
@@ -41,7 +41,7 @@ def load_ranks(path: str) -> list[bytes]:
 class PerfectHash:
     """Minimal perfect hash from tokens to ids: ``len(tokens)`` slots."""
 
-    def __init__(self, tokens: list[bytes], per_bucket: int = 4):
+    def __init__(self, tokens: list[bytes], per_bucket: int = 2):
         self.n = n = len(tokens)
         self.m = m = max(1, n // per_bucket)
         buckets: list[list[tuple[int, int]]] = [[] for _ in range(m)]
@@ -93,6 +93,8 @@ class Encoder(dict):
         self.split = regex.compile(pattern).findall
         self.perfect = find = perfect or PerfectHash(tokens)
         self.of_byte = [find.find(bytes([b])) for b in range(256)]
+        if min(self.of_byte) < 0:
+            raise ValueError("a byte has no rank")
         self.pairs = {}
         for i, t in enumerate(tokens):  # every way to join two tokens into a third
             for cut in range(1, len(t)):
@@ -107,33 +109,35 @@ class Encoder(dict):
         return ids
 
     def merge(self, raw: bytes) -> list[int]:
-        ids = [self.of_byte[b] for b in raw]
-        if min(ids) < 0:
-            raise ValueError("a byte of the text has no rank")
+        ids = list(map(self.of_byte.__getitem__, raw))
         n, pair = len(ids), self.pairs.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [pair(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
+        rank = [pair(a << 32 | b, -1) for a, b in pairwise(ids)]
         heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
-        heapq.heapify(heap)
+        if not heap:
+            return ids
+        rank.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heapify(heap)
         while heap:
-            x = heapq.heappop(heap)
+            x = heappop(heap)
             r, i = x >> 32, x & 0xFFFFFFFF
             if rank[i] != r:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            ids[i], rank[i], rank[j] = r, -1, -1
-            ids[j] = -1
+            ids[i], ids[j], rank[j] = r, -1, -1
             if k < n:
                 before[k] = i
                 rank[i] = s = pair(r << 32 | ids[k], -1)
                 if s >= 0:
-                    heapq.heappush(heap, s << 32 | i)
+                    heappush(heap, s << 32 | i)
+            else:
+                rank[i] = -1
             p = before[i]
             if p >= 0:
                 rank[p] = s = pair(ids[p] << 32 | r, -1)
                 if s >= 0:
-                    heapq.heappush(heap, s << 32 | p)
+                    heappush(heap, s << 32 | p)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.session import checkpoint_dir
+from tablewright.session import checkpoint_dir, ship_package
 
 #: Words as most contracts count them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +77,7 @@ def map_texts(df: DataFrame, text: str, fields: str, make, carry: list[str] | No
     schema = StructType.fromDDL(fields)
     names = schema.names
     kinds = _arrow_types(schema)
+    ship_package(df.sparkSession)
     given = df.select(F.struct(*(carry or df.columns)).alias("row"), F.col(text).alias("text"))
 
     def run(batches):

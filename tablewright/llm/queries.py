@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality
+from . import bpe, licenses, lm, mixing, neardup, quality, secrets, toxicity, urls
 from .common import WORD, read
 
 QUERIES: dict = {}
@@ -53,6 +54,16 @@ def op2_bpe(spark, sf_dir):
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: Rules of the url query: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow"))
+
+
+@query("op5_urls")
+def op5_urls(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op6_quality")
 def op6_quality(spark, sf_dir):
     out = quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -60,6 +71,50 @@ def op6_quality(spark, sf_dir):
                       "kept", *quality.RATES)
 
 
+@query("op7_secrets")
+def op7_secrets(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = [F.size(F.col("secrets")[k]).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return secrets.scan(docs).select(
+        "doc_id", *kinds, F.sha2(secrets.listed(secrets.base_spans()), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")["all"]).alias("spans"))
+
+
+#: Rows with this remainder of crc32(doc_id) mod 4 are held out of training.
+HELD_OUT = 2
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").where(_deal("doc_id") != HELD_OUT)
+    out = toxicity.score(read(spark, sf_dir, "documents"), labels, carry=["doc_id"])
+    return out.select("row.doc_id", F.coalesce(_deal("row.doc_id") == HELD_OUT, F.lit(False)).alias("held_out"),
+                      "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _deal(key: str):
+    return F.crc32(F.col(key).cast("string")) % 4
+
+
+@query("op8_neardup")
+def op8_neardup(spark, sf_dir):
+    out = neardup.classes(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "class_id", "class_size", "kept")
+
+
+@query("op9_licenses")
+def op9_licenses(spark, sf_dir):
+    out = licenses.scan(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", *[c for c in out.columns if c != "row"])
+
+
+@query("op10_lm")
+def op10_lm(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    out = lm.score(docs, lm.target_ids(labels), carry=["doc_id"])
+    return out.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
