@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lm, mixing, neardup, quality, secrets, toxicity, urls
+from . import ann, bpe, licenses, lm, mixing, neardup, quality, secrets, toxicity, urls
 from .common import WORD, read
 
 QUERIES: dict = {}
@@ -54,6 +54,11 @@ def op2_bpe(spark, sf_dir):
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op4_ann")
+def op4_ann(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 #: Rules of the url query: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow"))
