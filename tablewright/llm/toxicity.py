@@ -17,7 +17,7 @@ document is scored.  The model's size is bounded by the sample, and checked.
 
 Defined cases: a null or empty text has features 0 and so the curve's value
 there; null labels and labels of unknown documents are ignored, the largest of
-several labels counts; if a class has no labelled text, every score is the
+several labels counts; if a part of the sample lacks a class, every score is the
 toxic share of the labels (0 without labels); an empty table gives no rows.
 """
 
@@ -136,9 +136,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     from ``labels`` (doc_id, toxic)."""
     drawn, sizes = _sample(labels, {"fit": fit_rows, "calibrate": calibration_rows})
     by_class = [sum(n for (_, c), n in sizes.items() if c == k) for k in (0, 1)]
+    prior = docs.select(F.struct(*(carry or docs.columns)).alias("row"),
+                        F.lit(by_class[1] / max(1, sum(by_class))).alias("score"))
     if not all(sizes.get((p, c)) for p in ("fit", "calibrate") for c in (0, 1)):
-        prior = by_class[1] / max(1, sum(by_class))
-        return docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.lit(prior).alias("score"))
+        return prior
 
     # the drawn labels are bounded by the two row counts
     ids = F.broadcast(drawn.withColumnRenamed("doc_id", "label_id"))
@@ -158,6 +159,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     held = map_texts(sample.where("part = 'calibrate'"), "text", "whole double, peak double", features,
                      ["toxic", "rate"]).select("row.*", "whole", "peak").toPandas()
+    if held["toxic"].nunique() < 2:
+        return prior
     curve = fit_curve(held[["whole", "peak"]].to_numpy(float), held["toxic"].to_numpy(float),
                       1 / held["rate"].to_numpy(float))
 

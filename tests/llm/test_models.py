@@ -1,0 +1,103 @@
+"""Learned operators: held-out quality, brute-force counts, defined cases."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.llm import lm, toxicity
+from tablewright.llm.words import words_of
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    r = random.Random(8)
+    common = [f"w{i}" for i in range(400)]
+    out = []
+    for i in range(900):
+        w = [r.choice(common) for _ in range(r.randint(20, 120))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(r.randint(1, 4)):
+                w.insert(r.randrange(len(w)), r.choice(["grunk", "blarg", "snit"]))
+        out.append((i, " ".join(w), int(toxic)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    rows = [(i, t, 0.5) for i, t, _ in corpus] + [(None, None, None), (5000, "", 1.0), (5001, "grunk " * 20_000, 0.0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(4)
+
+
+def test_toxicity_finds_held_out_texts(spark, corpus, docs):
+    labels = spark.createDataFrame([(i, t) for i, _, t in corpus if i % 5] + [(1, None), (None, 1), (99999, 1)],
+                                   "doc_id long, toxic int")
+    rows = toxicity.score(docs, labels, carry=["doc_id"]).select("row.doc_id", "score").collect()
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == len(corpus) + 3 and all(0 <= s <= 1 for s in got.values())
+    held = [(got[i], t) for i, _, t in corpus if i % 5 == 0]
+    right = sum((s >= 0.3) == bool(t) for s, t in held)
+    assert right / len(held) >= 0.95
+    assert got[5001] > 0.9 and abs(got[None] - got[5000]) < 1e-12
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_without_a_class(spark, docs):
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, labels).select("score").collect()} == {0.0}
+    assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).select("score").collect()} == {0.0}
+
+
+def test_lm_losses_equal_plain_counts(spark, corpus, docs):
+    targets = spark.createDataFrame([(i,) for i in range(0, 900, 4)], "target_id long")
+    rows = lm.score(docs, targets, carry=["doc_id"], min_share=1e-3)
+    got = {r["doc_id"]: r for r in rows.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score").collect()}
+    texts = {i: words_of(t) for i, t, _ in corpus} | {None: [], 5000: [], 5001: words_of("grunk " * 20_000)}
+    total = sum(map(len, texts.values()))
+    seen = Counter(w for ws in texts.values() for w in ws)
+    least = max(2, 1e-3 * total)
+    vocab = {w for w, n in seen.items() if n >= least}
+    read = lambda ws: [w if w in vocab else None for w in ws]
+    pairs_all = Counter(p for ws in texts.values() for p in zip(["<s>", *read(ws)], read(ws)))
+    kept = {p for p, n in pairs_all.items() if n >= least}
+
+    def model(mine):
+        uni = Counter(w for ws in mine for w in ws)
+        pairs = Counter(p for ws in mine for p in zip(["<s>", *ws], ws))
+        heads, share = Counter(), Counter()
+        for (v, w), n in pairs.items():
+            heads[v] += n
+            share[v] += n * ((v, w) in kept)
+        size, n_all = len(vocab) + 2, sum(uni.values())
+
+        def loss(ws):
+            out = 0.0
+            for v, w in zip(["<s>", *ws], ws):
+                n = max(heads[v], 1)
+                p = (1 - lm.WEIGHT * share[v] / n) * (uni[w] + 1) / (n_all + size)
+                p += lm.WEIGHT * pairs[v, w] / n if (v, w) in kept else 0.0
+                out -= math.log(p)
+            return out / len(ws)
+        return loss
+
+    losses = [model([read(ws) for ws in texts.values()]),
+              model([read(ws) for i, ws in texts.items() if i is not None and i < 900 and i % 4 == 0])]
+    for i in (0, 1, 7, 400, 899, 5001):
+        ws = read(texts[i])
+        assert got[i]["n_tokens"] == len(ws)
+        assert abs(got[i]["background_loss"] - losses[0](ws)) < 1e-9
+        assert abs(got[i]["target_loss"] - losses[1](ws)) < 1e-9
+    assert got[None]["score"] is None and got[5000]["n_tokens"] == 0
+    toxic = [got[i]["score"] for i, _, t in corpus if t]
+    plain = [got[i]["score"] for i, _, t in corpus if not t]
+    assert sum(toxic) / len(toxic) < sum(plain) / len(plain)  # the target texts are nearer to the target model
+    assert lm.score(docs.limit(0), targets).count() == 0
+
+
+def test_lm_target_sample_is_bounded(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert lm.target_ids(labels).count() == 2500
+    assert 300 < lm.target_ids(labels, 500).count() < 700
