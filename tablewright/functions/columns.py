@@ -60,6 +60,13 @@ def hashable_columns(df: DataFrame, cols=None) -> list[str]:
     return [c for c in cols if not is_nested(dtype_of(df, c))]
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """One grouping key per column, whatever its type; a map counts by its
+    sorted entries."""
+    return [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+            for f in df.schema.fields]
+
+
 def num(c: str) -> Column:
     """Numeric value as double with float NaN folded to NULL."""
     x = F.col(c).cast("double")

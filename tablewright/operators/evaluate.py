@@ -96,7 +96,7 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", positive=1, by: l
     per = t.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * 0.5)).alias("u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return per.select(*keys, F.round(F.try_divide(F.col("u"), F.col("P") * F.col("N")), 4).alias("roc_auc"))
+    return per.select(*keys, F.round(F.try_divide(F.col("u"), F.col("P").cast("double") * F.col("N")), 4).alias("roc_auc"))
 
 
 def roc_auc_ovr(df: DataFrame, y: str, prob_cols: dict) -> DataFrame:

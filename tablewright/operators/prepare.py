@@ -24,7 +24,6 @@ ONE_HOT_MAX = 10
 TARGET_ENC_MAX = 50
 ROBUST_OUTLIER_SHARE = 0.05
 DATE_NAME_HINTS = ["date", "timestamp", "datetime", "time_index"]
-DATE_PROBE_ROWS = 50
 BROADCAST_ROWS = 1_000_000
 
 
@@ -96,17 +95,17 @@ def class_balance(df: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
 
 
 def datetime_columns(df: DataFrame, key: list[str]) -> DataFrame:
-    """timestamp/date columns, text columns whose first 50 non-null
-    values (in ``key`` order) all parse as dates, or whose name hints a date."""
+    """timestamp/date columns, text columns all of whose non-null values
+    parse as dates (one aggregate over all rows), or whose name hints a date."""
     from .clean import datetime_text_expr
 
     rows = []
     texts = [c for c in df.columns if is_text(dtype_of(df, c))]
     probe = {}
-    for c in texts:
-        first = df.where(F.col(c).isNotNull()).select(*key, c).orderBy(*key).limit(DATE_PROBE_ROWS)
-        r = first.agg(F.count(F.lit(1)).alias("n"), F.count(datetime_text_expr(c)).alias("ok")).collect()[0]
-        probe[c] = r["n"] > 0 and r["n"] == r["ok"]
+    if texts:
+        r = df.agg(*[a for i, c in enumerate(texts) for a in (
+            F.count(c).alias(f"n{i}"), F.count(datetime_text_expr(c)).alias(f"ok{i}"))]).first()
+        probe = {c: r[f"n{i}"] > 0 and r[f"n{i}"] == r[f"ok{i}"] for i, c in enumerate(texts)}
     for c in df.columns:
         dt = dtype_of(df, c)
         if is_temporal(dt):

@@ -101,7 +101,7 @@ def latest(records: DataFrame, id_col: str = "id", ts: str = "updated_at") -> Da
     """Last record per id wins (aggregate, not a window: a hot id is
     combined map-side)."""
     cols = [c for c in records.columns if c != id_col]
-    return (records.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("__r"))
+    return (records.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.struct(F.col(ts).isNotNull(), F.col(ts))).alias("__r"))
             .select(id_col, "__r.*"))
 
 

@@ -242,9 +242,9 @@ s as (select count(odate) as n, count(case when not isnan(try_cast(odate as doub
       count({_TS_SQL}) as dt from text_dates),
 anyv as (select string_agg(odate, ' | ' order by o_orderkey) as sv from (select o_orderkey, odate from text_dates where odate is not null order by o_orderkey limit 5) t),
 badv as (select string_agg(odate, ' | ' order by o_orderkey) as sv from (select o_orderkey, odate from text_dates where odate is not null and (try_cast(odate as double) is null or isnan(try_cast(odate as double))) order by o_orderkey limit 5) t)
-select 'odate' as column_name, 'Numeric-looking column stored as text. Contains non-numeric characters like currency symbols, commas, or spaces.' as issue, badv.sv as sample_values
+select 'odate' as column_name, 'mostly numbers, some values do not parse' as issue, badv.sv as sample_values
  from s cross join badv where n >= 5 and num / n > 0.7 and num < n
-union all select 'odate', 'Column appears numeric but stored as string/object type.', anyv.sv from s cross join anyv where n >= 5 and num / n > 0.7 and num = n
-union all select 'odate', 'Column appears to contain datetime strings but is stored as text.', anyv.sv from s cross join anyv where n >= 5 and dt / n > 0.7""")
+union all select 'odate', 'numbers kept as text', anyv.sv from s cross join anyv where n >= 5 and num / n > 0.7 and num = n
+union all select 'odate', 'dates kept as text', anyv.sv from s cross join anyv where n >= 5 and dt / n > 0.7""")
 def q_dtype_issues(spark, sf):
     return P.dtype_issues(view(spark, sf, "text_dates"), ["o_orderkey"])

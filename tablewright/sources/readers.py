@@ -104,33 +104,3 @@ def ingest_summary(df: DataFrame) -> DataFrame:
     """S7 as a DataFrame: (row_count, column_count)."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         "row_count", F.lit(len([c for c in df.columns if c != "_corrupt_record"])).cast("bigint").alias("column_count"))
-
-
-def synthetic_housing(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Demo regression table (same columns, distributions and target
-    formula as the reference; distribution-equal, not bit-equal)."""
-    def normal(mu, sd, s):
-        return F.lit(mu) + F.lit(sd) * F.randn(seed + s)
-
-    def clip(x, lo, hi):
-        return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
-
-    def uniform(lo, hi, s):
-        return F.lit(lo) + (F.lit(hi) - F.lit(lo)) * F.rand(seed + s)
-
-    base = spark.range(n).select(
-        clip(normal(3.87, 1.9, 1), 0.5, 15).alias("median_income"),
-        F.floor(uniform(1, 52, 2)).cast("bigint").alias("house_age"),
-        clip(normal(5.43, 1.5, 3), 1.0, 15.0).alias("avg_rooms"),
-        clip(normal(1.1, 0.4, 4), 0.5, 5.0).alias("avg_bedrooms"),
-        F.floor(uniform(300, 36000, 5)).cast("bigint").alias("population"),
-        clip(normal(3.0, 1.0, 6), 1.0, 10.0).alias("avg_occupancy"),
-        uniform(32.5, 42.0, 7).alias("latitude"), uniform(-124.3, -114.3, 8).alias("longitude"),
-        normal(0.0, 30000.0, 9).alias("__noise"))
-    value = clip(F.lit(50000) + F.col("median_income") * 50000 + F.col("avg_rooms") * 20000
-                 - F.col("avg_bedrooms") * 15000 + F.col("__noise"), 15000, 500001)
-    return base.select(F.round("median_income", 4).alias("median_income"), "house_age",
-                       F.round("avg_rooms", 3).alias("avg_rooms"), F.round("avg_bedrooms", 3).alias("avg_bedrooms"),
-                       "population", F.round("avg_occupancy", 3).alias("avg_occupancy"),
-                       F.round("latitude", 3).alias("latitude"), F.round("longitude", 3).alias("longitude"),
-                       F.round(value, 0).cast("bigint").alias("median_house_value"))

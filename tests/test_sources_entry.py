@@ -46,11 +46,6 @@ def test_unknown_extension_rejected(spark):
         RD.read_table(spark, "/tmp/data.txt")
 
 
-def test_synthetic_housing(spark):
-    df = RD.synthetic_housing(spark, 200)
-    assert df.count() == 200 and len(df.columns) == 9
-
-
 def test_entry_and_contract(spark):
     rows = E.entry(spark).collect()
     assert len(rows) == 4
