@@ -12,7 +12,8 @@ in a long text); a logistic curve turns them into a probability.
 
 Labels enter as a bounded sample: at most about ``FIT_ROWS`` texts per class
 fit the counts and ``CALIBRATION_ROWS`` per class the curve (drawn by hash of
-the key, disjoint); the curve weighs the classes back to their shares.  Every
+the key, disjoint); the curve weighs the classes back to their shares.  Bigrams
+seen once in all serve the backoff counts only.  Every
 document is scored.  The model's size is bounded by the sample, and checked.
 
 Defined cases: a null or empty text has features 0 and so the curve's value
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialize, unit_hash
 from .words import find, ids_of, pairs_of, per_text, vocabulary, words_of
 
-FIT_ROWS = 8_000
-CALIBRATION_ROWS = 4_000
+FIT_ROWS = 4_000
+CALIBRATION_ROWS = 3_000
 DISCOUNT = 0.75
 WINDOW = 6
 CONFIDENCE = 20.0
@@ -41,31 +42,33 @@ MODEL_BYTES = 512 << 20
 
 
 class Model:
-    """Counts of both classes as arrays over word ids and sorted bigram keys."""
+    """Counts of both classes (ordinary, toxic) as arrays over word ids and
+    sorted bigram keys.
 
-    def __init__(self, words: list[str], keys: np.ndarray, counts: np.ndarray):
+    ``words``: the vocabulary; ``kinds``: per class and pooled, how many words
+    precede each word; ``heads``: per class, how often each word precedes
+    another; ``fans``: per class, how many words follow it; ``keys`` and
+    ``counts``: the bigrams and their counts per class."""
+
+    def __init__(self, words: list[str], kinds: np.ndarray, heads: np.ndarray, fans: np.ndarray,
+                 keys: np.ndarray, counts: np.ndarray):
         self.ids = vocabulary(words)
-        self.size = size = len(words) + 2
+        self.size = len(words) + 2
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[:, order].astype(np.float32)
-        before, word = self.keys // size, self.keys % size
-        pooled = np.bincount(word, minlength=size) + 1.0
+        pooled = kinds[2] + 1.0
         shared = pooled / pooled.sum()
         self.trust = (pooled / (pooled + CONFIDENCE)).astype(np.float32)
         both = self.counts.sum(0)
         self.trust_pair = both / (both + np.float32(CONFIDENCE))
         self.lower, self.total, self.backoff = [], [], []
-        for c in self.counts:
-            seen = c > 0
-            cont = np.bincount(word[seen], minlength=size).astype(float)
-            kinds = np.count_nonzero(cont)
-            n = max(cont.sum(), 1.0)
-            left = DISCOUNT * kinds / n if kinds else 1.0
-            self.lower.append((np.maximum(cont - DISCOUNT, 0) / n + left * shared).astype(np.float32))
-            total = np.bincount(before, weights=c, minlength=size)
-            fans = np.bincount(before[seen], minlength=size)
-            self.total.append(np.maximum(total, 1).astype(np.float32))
-            self.backoff.append(np.where(total > 0, DISCOUNT * fans / np.maximum(total, 1), 1.0).astype(np.float32))
+        for k in range(2):
+            seen, n = np.count_nonzero(kinds[k]), max(kinds[k].sum(), 1.0)
+            left = DISCOUNT * seen / n if seen else 1.0
+            self.lower.append((np.maximum(kinds[k] - DISCOUNT, 0) / n + left * shared).astype(np.float32))
+            total = np.maximum(heads[k], 1)
+            self.total.append(total.astype(np.float32))
+            self.backoff.append(np.where(heads[k] > 0, DISCOUNT * fans[k] / total, 1.0).astype(np.float32))
 
     def nbytes(self) -> int:
         arrays = [self.keys, self.counts, self.trust, self.trust_pair, *self.lower, *self.total, *self.backoff]
@@ -209,6 +212,21 @@ def _fit(sample: DataFrame) -> Model:
                     "ordinary": pa.array(np.bincount(place, weights=1 - of, minlength=len(found)).astype(np.int64)),
                     "toxic": pa.array(np.bincount(place, weights=of, minlength=len(found)).astype(np.int64))})
 
+    size = len(vocab) + 2
     pairs = (sample.select("text", "toxic").mapInArrow(bigrams, "key long, ordinary long, toxic long")
-             .groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas())
-    return Model(vocab, pairs["key"].to_numpy(np.int64), pairs[["ordinary", "toxic"]].to_numpy(np.int64).T)
+             .groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    pairs = materialize(pairs, "toxic-pairs")
+    by_word = pairs.groupBy((F.col("key") % size).alias("w")).agg(
+        F.count_if(F.col("ordinary") > 0).alias("a"), F.count_if(F.col("toxic") > 0).alias("b"),
+        F.count("*").alias("c")).toPandas()
+    by_head = pairs.groupBy(F.floor(F.col("key") / size).cast("long").alias("v")).agg(
+        F.sum("ordinary").alias("a"), F.sum("toxic").alias("b"), F.count_if(F.col("ordinary") > 0).alias("c"),
+        F.count_if(F.col("toxic") > 0).alias("d")).toPandas()
+    kinds, heads, fans = np.zeros((3, size)), np.zeros((2, size)), np.zeros((2, size))
+    kinds[:, by_word["w"].to_numpy(np.int64)] = by_word[["a", "b", "c"]].to_numpy(float).T
+    heads[:, by_head["v"].to_numpy(np.int64)] = by_head[["a", "b"]].to_numpy(float).T
+    fans[:, by_head["v"].to_numpy(np.int64)] = by_head[["c", "d"]].to_numpy(float).T
+    often = pairs.where(F.col("ordinary") + F.col("toxic") >= 2).select(
+        "key", F.col("ordinary").cast("int").alias("ordinary"), F.col("toxic").cast("int").alias("toxic")).toPandas()
+    return Model(vocab, kinds, heads, fans, often["key"].to_numpy(np.int64),
+                 often[["ordinary", "toxic"]].to_numpy().T)
