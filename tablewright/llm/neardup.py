@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import drop, map_texts, materialize
 from .components import components
 from .words import words_of
 
@@ -208,8 +208,7 @@ def _checked(pairs: DataFrame, done: DataFrame | None, sig: DataFrame, weights:
     """The links among ``pairs`` that are not yet ``done``."""
     if done is not None:
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    return _verified(pairs, sig.join(wanted, "uid", "left_semi"), weights, similarity)
+    return _verified(pairs, sig, weights, similarity)
 
 
 def _prefix_pairs(texts: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
@@ -223,11 +222,13 @@ def _prefix_pairs(texts: DataFrame, sig: DataFrame, similarity: float) -> DataFr
         .select("uid", "root", "n", F.explode("shingles").alias("sh"))
     rows = materialize(rows, "open-shingles")
     df = rows.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("sh", "sh_")
+    open_rows = rows
     rows = rows.join(df, F.col("sh") == F.col("sh_"), "left").withColumn("df", F.coalesce("df", F.lit(1))).drop("sh_")
     order = Window.partitionBy("uid").orderBy("df", "sh")
     rows = rows.withColumn("at", F.row_number().over(order)) \
         .where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & (F.col("df") > 1))
     rows = materialize(rows.select("uid", "root", "n", "sh", "at"), "prefixes")
+    drop(open_rows)
     x, y = rows.alias("x"), rows.alias("y")
     need = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     can = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
@@ -237,15 +238,23 @@ def _prefix_pairs(texts: DataFrame, sig: DataFrame, similarity: float) -> DataFr
         .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
-def groups(sig: DataFrame, weights: str = "unit", similarity: float = SIMILARITY) -> DataFrame:
-    """(uid, root) of the texts linked to another, from one row per distinct
-    text: uid, n, shingles, weights, bands."""
+def groups(sig: DataFrame, weights: str = "unit", similarity: float = SIMILARITY, after_read=None) -> DataFrame:
+    """(node, root) of the texts linked to another, from one row per distinct
+    text: uid, n, shingles, weights, bands.  ``after_read`` is called once
+    ``sig`` is no longer needed."""
     members = sig.select("uid", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = materialize(members.join(shared, "band"), "band-members")
     crowd = members.groupBy("uid").agg(F.sum("c").alias("crowd")).withColumnRenamed("uid", "uid_")
+    all_members = members
     members = materialize(members.join(crowd, F.col("uid") == F.col("uid_")).select("band", "uid", "n", "crowd"),
                           "band-crowds")
+    drop(all_members)
+    # only texts that share a band are ever compared: the shingles of the others are not moved again
+    sig = materialize(sig.select("uid", "n", "shingles", "weights")
+                      .join(members.select("uid").distinct(), "uid", "left_semi"), "candidates")
+    if after_read:
+        after_read()
 
     def similar_size(x, y):
         # counts as weights bound the plain similarity no longer: only unit weights are pruned
@@ -303,7 +312,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: lis
     first = sig.where("key is not null").groupBy("key").agg(F.min("uid").alias("first"))
     first = materialize(first, "texts")
     texts = sig.drop("row", "doc_id", "key").join(first, F.col("uid") == F.col("first"), "left_semi")
-    roots = groups(texts, weights, similarity)
+    # the shingles go once the candidates' are copied; rows and keys stay
+    signatures_, sig = sig, materialize(sig.select("row", "doc_id", "uid", "key"), "rows")
+    roots = groups(texts, weights, similarity, lambda: drop(signatures_))
     found = first.join(roots, F.col("first") == F.col("node"), "left") \
         .select(F.col("key").alias("key_"), F.coalesce("root", "first").alias("class"))
     slim = sig.select("uid", "doc_id", "key").join(found, F.col("key") == F.col("key_"), "left") \
