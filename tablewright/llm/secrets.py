@@ -123,6 +123,10 @@ def _entropy(text: Column, base: Column, classes=CLASSES, allow=ALLOW) -> Column
         base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
 
 
+def _of_kind(n: int):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end"))
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets", allow=ALLOW) -> DataFrame:
     """``docs`` with the column ``out``: a struct of one span array per kind
     and ``all``, array<struct(start, kind (index into KINDS), end)> in order."""
@@ -137,8 +141,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets", allow=ALLOW)
     base = F.concat(s["assign"], s["access"], s["hex"])
     docs = docs.withColumn(out, s.withField("entropy", F.when(
         whole.rlike(CANDIDATE), _entropy(whole, base, allow=allow)).otherwise(_none())))
-    every = F.concat(*[F.transform(F.col(out)[k], lambda x, n=n: F.struct(
-        x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end"))) for n, k in enumerate(KINDS)])
+    every = F.concat(*[F.transform(F.col(out)[k], _of_kind(n)) for n, k in enumerate(KINDS)])
     return docs.withColumn(out, F.col(out).withField("all", F.array_sort(every)))
 
 

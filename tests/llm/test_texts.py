@@ -181,7 +181,7 @@ def test_quality_cutoffs_hold_their_risk(spark):
     r = random.Random(3)
     rows = []
     for i in range(6000):
-        bad = i % 10 == 0
+        bad = i % 5 == 0
         rows.append(("en" if i % 2 else None, 0 if bad else 1, r.uniform(0.2, 0.5) if bad else r.uniform(0, 0.02),
                      r.random(), 0.0, 0.0))
     df = spark.createDataFrame(rows, "stratum string, quality int, symbol_rate double, upper_rate double, "
