@@ -12,6 +12,8 @@ from tablewright.session import checkpoint_dir, ship_package
 
 #: Words as most contracts count them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,10 +32,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts
-    lineage, survives lost executors and is column-pruned when read."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage, survives lost executors and is column-pruned when read.  The
+    shuffle files of the write go when it is done: nothing reads them again."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
