@@ -238,11 +238,13 @@ def _prefix_pairs(texts: DataFrame, sig: DataFrame, similarity: float) -> DataFr
         .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
-def groups(sig: DataFrame, weights: str = "unit", similarity: float = SIMILARITY, after_read=None) -> DataFrame:
+def groups(bands: DataFrame, shingles: DataFrame, weights: str = "unit", similarity: float = SIMILARITY,
+           after_read=None) -> DataFrame:
     """(node, root) of the texts linked to another, from one row per distinct
-    text: uid, n, shingles, weights, bands.  ``after_read`` is called once
-    ``sig`` is no longer needed."""
-    members = sig.select("uid", "n", F.explode("bands").alias("band"))
+    text in ``bands`` (uid, n, bands) and the ``shingles`` (uid, n, shingles,
+    weights) of those texts at least.  ``after_read`` is called once both are
+    no longer needed."""
+    members = bands.select("uid", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = materialize(members.join(shared, "band"), "band-members")
     crowd = members.groupBy("uid").agg(F.sum("c").alias("crowd")).withColumnRenamed("uid", "uid_")
@@ -250,9 +252,11 @@ def groups(sig: DataFrame, weights: str = "unit", similarity: float = SIMILARITY
     members = materialize(members.join(crowd, F.col("uid") == F.col("uid_")).select("band", "uid", "n", "crowd"),
                           "band-crowds")
     drop(all_members)
-    # only texts that share a band are ever compared: the shingles of the others are not moved again
-    sig = materialize(sig.select("uid", "n", "shingles", "weights")
-                      .join(members.select("uid").distinct(), "uid", "left_semi"), "candidates")
+    # only texts that share a band are ever compared: the shingles of the others are not moved again; their
+    # ids are written first, so that the join below moves no shingles either while the ids fit a broadcast
+    # (Spark compares their size with spark.sql.autoBroadcastJoinThreshold)
+    compared = materialize(members.select(F.col("uid").alias("uid_")).distinct(), "compared")
+    sig = materialize(shingles.join(compared, F.col("uid") == F.col("uid_"), "left_semi"), "candidates")
     if after_read:
         after_read()
 
@@ -304,17 +308,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: lis
     class_size and kept (one row of each class)."""
     given = docs.withColumn("tw_uid", F.monotonically_increasing_id())
     rows = carry or docs.columns
-    sig = signatures(given.select(F.struct(*rows).alias("row"), F.col(key).alias("doc_id"), "tw_uid",
-                                  F.col(text).alias("text")), "text", ["row", "doc_id", "tw_uid"], weights)
+    given = given.select(F.struct(*rows).alias("row"), F.col(key).alias("doc_id"), "tw_uid", F.col(text).alias("text"))
+    whole = None
+    if text in rows:  # wide rows are written once, with their number, and stay out of the signatures
+        whole = materialize(given.drop("text"), "documents")
+        given = whole.select(F.struct("doc_id").alias("row"), "doc_id", "tw_uid", F.col("row")[text].alias("text"))
+    sig = signatures(given, "text", ["row", "doc_id", "tw_uid"], weights)
     sig = materialize(sig.select("row.row", "row.doc_id", F.col("row.tw_uid").alias("uid"), "key", "n", "shingles",
                                  "weights", "bands"), "signatures")
     # copies: the smallest row number stands for a text
     first = sig.where("key is not null").groupBy("key").agg(F.min("uid").alias("first"))
     first = materialize(first, "texts")
-    texts = sig.drop("row", "doc_id", "key").join(first, F.col("uid") == F.col("first"), "left_semi")
+    bands = sig.select("uid", "n", "bands").join(first.select("first"), F.col("uid") == F.col("first"), "left_semi")
     # the shingles go once the candidates' are copied; rows and keys stay
     signatures_, sig = sig, materialize(sig.select("row", "doc_id", "uid", "key"), "rows")
-    roots = groups(texts, weights, similarity, lambda: drop(signatures_))
+    roots = groups(bands, signatures_.select("uid", "n", "shingles", "weights"), weights, similarity,
+                   lambda: drop(signatures_))
     found = first.join(roots, F.col("first") == F.col("node"), "left") \
         .select(F.col("key").alias("key_"), F.coalesce("root", "first").alias("class"))
     slim = sig.select("uid", "doc_id", "key").join(found, F.col("key") == F.col("key_"), "left") \
@@ -325,6 +334,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: lis
         F.count("*").alias("class_size"))
     slim = slim.join(per, "class").select("uid", F.col("best.doc_id").alias("class_id"), "class_size",
                                           (F.col("uid") == F.col("best.uid")).alias("kept"))
+    if whole is not None:
+        sig, slim = whole.withColumnRenamed("tw_uid", "uid"), materialize(slim, "decided")
     return sig.select("uid", "row").join(slim, "uid").select("row", "class_id", "class_size", "kept")
 
 
