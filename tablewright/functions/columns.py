@@ -105,5 +105,9 @@ def long_form(df: DataFrame, cols: list[str], value: str = "value",
     return out
 
 
+#: Text that is a number; Spark's cast alone also reads type suffixes such as ``10d``.
+NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
+
+
 def spark_type_name(dt: T.DataType) -> str:
     return dt.simpleString()

@@ -22,7 +22,7 @@ from ..session import cut_lineage
 
 
 def knn_join(queries: DataFrame, donors: DataFrame, qid: str, did: str, block_q: str, block_d: str,
-             dist_fn, k: int, per_bucket: int = 16, max_rounds: int = 40,
+             dist_fn, k: int, per_bucket: int = 16,
              same_group: tuple | None = None) -> DataFrame:
     """Return (qid, did, dist, rn) for the k nearest donors of every query.
 
@@ -42,7 +42,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, qid: str, did: str, block_q:
     n_buckets = int(span / width) + 2
     open_q = q.withColumn("__R", F.lit(1).cast("long"))
     done = None
-    for _ in range(max_rounds):
+    while True:  # the band doubles, so it spans every bucket after finitely many rounds
         expl = open_q.withColumn("__bkt", F.explode(F.sequence(F.col("__qb") - F.col("__R"), F.col("__qb") + F.col("__R"))))
         cond = ["__bkt"]
         j = expl.join(d, cond)

@@ -122,6 +122,9 @@ def waterfall(df: DataFrame, features: list[str], baseline: dict, key: list[str]
                                       for i, f in enumerate(features)],
                       *[F.col(f).alias(f"__x_{f}") for f in features])
     scored = score(mixed)
+    if "__p" in scored.columns:  # the class predicted for the full row, at every step (M41)
+        last = F.max_by("prediction", "step").over(Window.partitionBy(*key)).cast("int")
+        scored = scored.withColumn("__c", last).withColumn("__score", F.col("__p")[F.col("__c")])
     w = Window.partitionBy(*key).orderBy("step")
     contrib = scored.withColumn("contribution", F.col("__score") - F.lag("__score").over(w)).where(F.col("step") > 0)
     name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("step"))
@@ -142,15 +145,15 @@ def linear_score(weights: dict, intercept: float):
 
 
 def model_score(model, problem: str):
-    """Score with a fitted model: regression prediction, or the probability
-    of the class predicted for the full row (M41)."""
+    """Score with a fitted model: the regression prediction (``__score``), or
+    all class probabilities (``__p``), of which ``waterfall`` takes that of the
+    class predicted for the full row (M41)."""
     from pyspark.ml.functions import vector_to_array
 
     def fn(df: DataFrame) -> DataFrame:
         out = model.transform(df)
         if problem == "classification" and "probability" in out.columns:
-            p = vector_to_array("probability")
-            return out.withColumn("__p", p).withColumn("__score", F.col("__p")[F.col("prediction").cast("int")])
+            return out.withColumn("__p", vector_to_array("probability"))
         return out.withColumn("__score", F.col("prediction"))
     return fn
 
@@ -164,4 +167,6 @@ def row_at(df: DataFrame, order_col: str, i: int) -> DataFrame:
         raise IndexError(f"row {i} out of range (0..{(st['n'] or 0) - 1})")
     long = df.select(F.lit("k").alias("column_name"), x.alias("value")).where(F.col("value").isNotNull())
     v = order_statistics(long, {"k": [i]}, {"k": (st["mn"], st["mx"], st["n"])})[("k", i)]
-    return df.where(x == F.lit(v))
+    # whole numbers above 2^53 share a double: order those few by the key itself
+    below = df.where(x < F.lit(v)).count()
+    return df.where(x == F.lit(v)).orderBy(order_col).offset(i - below).limit(1)

@@ -105,6 +105,15 @@ def _kth(df: DataFrame, value, rank: int):
     return order_statistics(long, {"k": [rank]}, {"k": (st["mn"], st["mx"], st["n"])})[("k", rank)]
 
 
+def _up_to(w: DataFrame, key: str, k2: float, rank: int):
+    """Condition for the ``rank`` smallest keys of ``w``; ``k2`` is the last
+    one's double.  Whole numbers above 2^53 share a double: among those few the
+    key itself decides."""
+    rest = rank - w.where(F.col("__k") < k2).count()
+    last = w.where(F.col("__k") == k2).orderBy(key).offset(rest - 1).limit(1).select(key).first()[0]
+    return (F.col("__k") < k2) | ((F.col("__k") == k2) & (F.col(key) <= F.lit(last)))
+
+
 def split_chronological(df: DataFrame, ts_col: str, test_size: float = 0.2, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sort by parsed time ascending (missing last, then ``key``); the
     first floor(n*(1-t)) rows train, the rest test."""
@@ -132,10 +141,10 @@ def split_chronological(df: DataFrame, ts_col: str, test_size: float = 0.2, key:
         t = _kth(w, F.col("__o"), n_train - 1)
         below = w.where(F.col("__o") < t).count()
         k2 = _kth(w.where(F.col("__o") == t), F.col("__k"), n_train - below - 1)
-        sel = (F.col("__o") < t) | ((F.col("__o") == t) & (F.col("__k") <= k2))
+        sel = (F.col("__o") < t) | ((F.col("__o") == t) & _up_to(w.where(F.col("__o") == t), key, k2, n_train - below))
     else:
         k2 = _kth(w.where(F.col("__o").isNull()), F.col("__k"), n_train - nn - 1)
-        sel = F.col("__o").isNotNull() | (F.col("__k") <= k2)
+        sel = F.col("__o").isNotNull() | _up_to(w.where(F.col("__o").isNull()), key, k2, n_train - nn)
     marked = w.withColumn("__train", F.coalesce(sel, F.lit(False)))
     drop = [c for c in ("__ts", "__o", "__k", "__train") if c in marked.columns]
     return marked.where("__train").drop(*drop), marked.where(~F.col("__train")).drop(*drop)

@@ -130,7 +130,7 @@ def q_trim_lower(spark, sf):
 v as (select distinct lower(regexp_replace(brand, '^\s+|\s+$', '', 'g')) as v from messy_text where brand is not null),
 p as (select a.v as value_a, b.v as value_b, 1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v), 1) as s
       from v a join v b on a.v < b.v)
-select value_a, value_b, round(s, 4) as similarity from p where s > 0.8 and (select count(*) from v) <= 100""")
+select value_a, value_b, round(s, 4) as similarity from p where s > 0.8""")
 def q_near_duplicate_values(spark, sf):
     std = C.standardize_text(view(spark, sf, "messy_text"))[0]
     return C.near_duplicate_values(std, "brand")

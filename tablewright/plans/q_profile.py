@@ -179,7 +179,7 @@ select point, round(x, 6) as x,
  round(sum(exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (bw * sqrt(2 * pi())) / n, 10) as density
 from g cross join (select value as v from events where value is not null) e group by point, x, bw, n""")
 def q_kde(spark, sf):
-    return P.kde(P.plot_sample(load(spark, sf, "events"), ["event_id"], P.PLOT_SAMPLE, 42), "value")
+    return P.kde(load(spark, sf, "events"), "value")
 
 
 @register("plot_sample", "select * from events order by md5(cast(event_id as varchar) || ':42') limit 2000")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import fold_nan
+from ..functions.columns import NUMBER_PATTERN, fold_nan
 
 # Fixed values that must equal the reference: pandas' default missing-value tokens.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -67,7 +67,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(texts):
         x = F.trim(F.col(c))
         aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(x.try_cast("bigint")).alias(f"i{i}"),
-                 F.count(x.try_cast("double")).alias(f"d{i}"),
+                 F.count(F.when(x.rlike(NUMBER_PATTERN), x.try_cast("double"))).alias(f"d{i}"),
                  F.count_if(F.lower(x).isin("true", "false")).alias(f"b{i}")]
     r = df.agg(*aggs).collect()[0]
     casts = {}

@@ -2,7 +2,12 @@
 
 import datetime as dt
 
-from tablewright.operators import clean, evaluate, prepare, profile, runs
+import math
+
+import pytest
+
+from tablewright.operators import clean, evaluate, explain, prepare, profile, runs, split
+from tablewright.sources import readers
 
 
 def test_nested_columns_count_as_values(spark):
@@ -28,3 +33,55 @@ def test_a_date_column_needs_every_value(spark):
     rows = [(i, "2026-01-02", "2026-01-02") for i in range(60)] + [(60, "2026-01-02", "no day")]
     df = spark.createDataFrame(rows, "k int, good string, late string")
     assert {r["column_name"] for r in prepare.datetime_columns(df, ["k"]).collect()} == {"good"}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_duplicate_values_of_many_values(spark):
+    words = [f"item number {i}" for i in range(130)] + ["aaaaaaaaaa", "aaaaaaaaa", "abcdef", "abcdeg", "a", "b", "", "é" * 6, "é" * 5 + "e"]
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "v string")
+    want = {(a, b) for a in words for b in words
+            if a < b and 1 - _edits(a, b) / max(len(a), len(b)) > 0.8}
+    got = {(r["value_a"], r["value_b"]) for r in clean.near_duplicate_values(df, "v").collect()}
+    assert got == want and len(want) > 100
+
+
+def test_row_and_split_by_large_keys(spark):
+    base = 2 ** 60
+    df = spark.createDataFrame([(base + i, dt.datetime(2026, 1, 1)) for i in range(10)], "k long, t timestamp")
+    assert [r["k"] for r in explain.row_at(df, "k", 3).collect()] == [base + 3]
+    train, test = split.split_chronological(df, "t", 0.5, "k")
+    assert sorted(r["k"] - base for r in train.collect()) == [0, 1, 2, 3, 4] and test.count() == 5
+
+
+def test_numbers_with_type_suffixes_are_text(spark):
+    df = spark.createDataFrame([("10d", "1.5", "7"), ("20f", "-2e3", "8")], "a string, b string, c string")
+    assert [t for _, t in readers.infer_types(df).dtypes] == ["string", "double", "bigint"]
+
+
+def test_infinite_values_have_no_spread(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (math.inf,), (4.0,), (5.0,)], "x double")
+    r = profile.numeric_summary(df, ["x"]).first()
+    assert r["std"] is None and r["skewness"] is None and r["kurtosis"] is None and r["median"] == 4.0
+
+
+def test_contributions_sum_to_the_difference_of_one_class(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(i, i * 0.5 - 2, 1.0 - i * 0.3) for i in range(9)], "k int, a double, b double")
+
+    def score(d):  # two classes; the predicted one changes along the steps
+        p = 1 / (1 + F.exp(-(F.col("a") * 2 - F.col("b") * 3)))
+        return d.withColumn("__p", F.array(1 - p, p)).withColumn("prediction", (p > 0.5).cast("double"))
+    steps = explain.waterfall(df, ["a", "b"], {"a": 0.1, "b": -0.2}, ["k"], score)
+    total = {r["k"]: r["s"] for r in steps.groupBy("k").agg(F.sum("contribution").alias("s")).collect()}
+    p = lambda a, b: 1 / (1 + math.exp(-(a * 2 - b * 3)))
+    for r in df.collect():
+        one, base = p(r["a"], r["b"]), p(0.1, -0.2)
+        assert total[r["k"]] == pytest.approx(one - base if one > 0.5 else base - one)
