@@ -72,3 +72,9 @@ def test_knn_join_equals_brute_force(spark):
     for i in range(40):
         dd = np.sqrt(((pts[40:] - pts[i]) ** 2).sum(1))
         assert res[i] == set((np.argsort(dd, kind="stable")[:4] + 40).tolist())
+
+
+def test_running_sum_buckets_grow_with_rows():
+    from tablewright.functions.cumulative import BUCKET_ROWS, MIN_BUCKETS, bucket_count
+    assert bucket_count(0) == bucket_count(10) == MIN_BUCKETS
+    assert bucket_count(1000 * BUCKET_ROWS + 1) == 1001
