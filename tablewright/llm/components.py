@@ -2,9 +2,11 @@
 
 Edges point from a node to a smaller one.  The large-star step hangs every
 larger neighbour of a node below the node's smallest neighbour, the small-star
-step does so with the smaller ones; both are one grouped minimum and one join
-back, so a node with very many edges is pre-aggregated in the grouping and its
-join rows can be split.  The result is one edge (node, root) per node; the
+step does so with the smaller ones; both are one grouped minimum, pre-aggregated,
+and one join back.  The minima are written first: a join with a written table is
+a broadcast while its size allows, and otherwise a shuffle of both sides whose
+hot keys Spark splits (it can't split the output of a grouping), so a node with
+very many edges never fills one task.  The result is one edge (node, root) per node; the
 number of rounds grows with the logarithm of the diameter.  Each round is
 written to the shared folder; only two numbers per round reach the driver.
 """
@@ -17,18 +19,19 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """One step.  Large (``both``): neighbours larger than u move below the
+def _star(edges: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
+    """One step and the written minima it reads.  Large (``both``): neighbours larger than u move below the
     smallest of u's neighbourhood; small: u and its smaller neighbours do."""
     around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
     least = around.groupBy("a").agg(F.min("b").alias("least"))
     if both:
-        least = least.select("a", F.least("a", "least").alias("least"))
+        least = materialize(least.select("a", F.least("a", "least").alias("least")), "least")
         moved = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
+        least = materialize(least, "least")
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         moved = moved.union(least.select("a", F.col("least").alias("b")))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,8 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or state == last:
             break
         last = state
-        step = materialize(_star(_star(edges, True), False), "edges")
-        drop(edges)
-        edges = step
+        for both in (True, False):
+            moved, least = _star(edges, both)
+            step = materialize(moved, "edges")
+            drop(edges)
+            drop(least)
+            edges = step
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -245,13 +245,16 @@ def groups(bands: DataFrame, shingles: DataFrame, weights: str = "unit", similar
     weights) of those texts at least.  ``after_read`` is called once both are
     no longer needed."""
     members = bands.select("uid", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    # what is joined back to a band or class is written first: Spark splits a hot key of a join of two
+    # tables, not of a join with a grouping's output (see components.py)
+    shared = materialize(members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "band-sizes")
     members = materialize(members.join(shared, "band"), "band-members")
     crowd = members.groupBy("uid").agg(F.sum("c").alias("crowd")).withColumnRenamed("uid", "uid_")
     all_members = members
     members = materialize(members.join(crowd, F.col("uid") == F.col("uid_")).select("band", "uid", "n", "crowd"),
                           "band-crowds")
     drop(all_members)
+    drop(shared)
     # only texts that share a band are ever compared: the shingles of the others are not moved again; their
     # ids are written first, so that the join below moves no shingles either while the ids fit a broadcast
     # (Spark compares their size with spark.sql.autoBroadcastJoinThreshold)
@@ -274,6 +277,7 @@ def groups(bands: DataFrame, shingles: DataFrame, weights: str = "unit", similar
                 .withColumn("root", F.coalesce("root", "uid")).drop("node_")
             mixed = open_.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
                 .where("low <> high").select("band", "low")
+            mixed = materialize(mixed, "band-mixed")
             open_ = materialize(open_.join(mixed, "band"), "band-open")
             if open_.isEmpty():
                 break
@@ -284,8 +288,8 @@ def groups(bands: DataFrame, shingles: DataFrame, weights: str = "unit", similar
             break
         if turn < STARS:
             lead = open_ if turn == 0 else open_.where("root <> low")
-            lead = lead.groupBy("band").agg(
-                F.max(F.struct("crowd", "uid", "n", "root")).alias("lead"))
+            lead = materialize(lead.groupBy("band").agg(
+                F.max(F.struct("crowd", "uid", "n", "root")).alias("lead")), "band-leaders")
         else:  # whatever is still apart: every pair across components
             lead = open_.select("band", F.struct("uid", "n", "root").alias("lead"))
         pairs = open_.join(lead, "band").where(F.col("uid") != F.col("lead.uid"))
@@ -332,6 +336,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: lis
     per = slim.groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best"),
         F.count("*").alias("class_size"))
+    per = materialize(per, "class-best")  # the class of a third of all rows is split in the join
     slim = slim.join(per, "class").select("uid", F.col("best.doc_id").alias("class_id"), "class_size",
                                           (F.col("uid") == F.col("best.uid")).alias("kept"))
     if whole is not None:
