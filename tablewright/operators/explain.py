@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,18 +70,16 @@ def permutation_importance(model, df: DataFrame, features: list[str], problem: s
 
 
 def learning_curve(algo: str, df: DataFrame, features: list[str], problem: str, key: list[str],
-                   fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 2, max_rows: int | None = 2000,
+                   fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 2, max_rows: int | None = None,
                    seed: int = 42) -> DataFrame:
     """Train / validation score (weighted F1 or R2) at growing train
-    sizes with ``folds``-fold CV; ``max_rows`` reproduces the reference's
-    2000-row sample (None = full data)."""
+    sizes with ``folds``-fold CV.  ``max_rows`` bounds the rows a classifier is
+    fitted on (about that many over all folds; None: all); every held-out row is
+    scored whatever it is, and regressions are fitted on all rows."""
     from .split import assign_folds, smallest_by_hash
     from .train import evaluate, fit
 
-    work = df
-    if max_rows is not None:
-        work = smallest_by_hash(df, key, seed, {None: max_rows}).where("__sel").drop("__sel")
-    folded = assign_folds(work, folds, key, seed, "label" if problem == "classification" else None).persist()
+    folded = assign_folds(df, folds, key, seed, "label" if problem == "classification" else None).persist()
     metric = "f1_score" if problem == "classification" else "r2"
     rows = []
     for frac in fractions:
@@ -87,6 +87,8 @@ def learning_curve(algo: str, df: DataFrame, features: list[str], problem: str,
         for i in range(folds):
             tr_all = folded.where(F.col("fold") != i)
             n = tr_all.count()
+            if max_rows is not None and problem == "classification":
+                n = min(n, math.ceil(max_rows * (folds - 1) / folds))
             k = max(1, int(n * frac))
             tr = smallest_by_hash(tr_all, key, seed + 1, {None: k}).where("__sel").drop("__sel")
             m = fit(algo, tr, features, problem, seed=seed)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (dtype_of, is_integral, is_measure, is_numeric_like, is_temporal, is_text, num,
+from ..functions.columns import (dtype_of, fold_nan, is_integral, is_measure, is_numeric_like, is_temporal, is_text, num,
                                  text_columns)
 from ..functions.selection import column_quantiles
 from ..functions.stats import distinct_counts, typed_modes
@@ -184,6 +184,7 @@ def fit_imputer(df: DataFrame, strategy: str, scope: str = "all", cols: list[str
     text: mode whatever the strategy)."""
     if strategy in (None, "none"):
         return {}
+    df = fold_nan(df)
     cols = cols or df.columns
     numeric = [c for c in cols if is_measure(dtype_of(df, c))] if scope in ("all", "numeric") else []
     texts = [c for c in cols if is_text(dtype_of(df, c))] if scope in ("all", "categorical") else []
@@ -203,6 +204,8 @@ def fit_imputer(df: DataFrame, strategy: str, scope: str = "all", cols: list[str
 
 
 def apply_imputer(df: DataFrame, values: dict) -> DataFrame:
+    """NULL and NaN cells take the fitted values."""
+    df = fold_nan(df)
     out = []
     for f in df.schema.fields:
         if f.name in values:
@@ -217,7 +220,8 @@ def apply_imputer(df: DataFrame, values: dict) -> DataFrame:
 
 
 def assert_no_missing(df: DataFrame, cols: list[str] | None = None) -> None:
-    """P10: refuse feature matrices that still hold missing values."""
+    """P10: refuse feature matrices that still hold missing values (NULL, NaN)."""
+    df = fold_nan(df)
     cols = cols or df.columns
     r = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in cols]).collect()[0]
     bad = [c for c in cols if r[c]]

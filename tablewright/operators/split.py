@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cumulative import cumulative
 from ..functions.selection import order_statistics
@@ -152,8 +153,12 @@ def split_chronological(df: DataFrame, ts_col: str, test_size: float = 0.2, key:
 
 def assign_folds(df: DataFrame, k: int, key: list[str], seed: int = 42, stratify: str | None = None) -> DataFrame:
     """``fold`` = (rank in md5(key:seed) order within class) % k.
-    Ranks come from bucketed running counts, not a per-class window."""
-    h = hash_order(key, seed)
+    Ranks come from bucketed running counts, not a per-class window.  A row
+    without a key has no place in the order: the plan fails on one."""
+    no_key = F.lit(False)
+    for c in key:
+        no_key = no_key | F.col(c).isNull()
+    h = F.when(no_key, F.raise_error(F.lit("a fold needs a key in every row"))).otherwise(hash_order(key, seed))
     w = df.withColumn("__hp", _hp(h)).withColumn("__one", F.lit(1))
     keys = [stratify] if stratify else []
     c = cumulative(w, "__hp", ["__one"], keys)
@@ -181,9 +186,14 @@ def smote(df: DataFrame, y: str, features: list[str], key: str, k: int = 5, seed
     """Raise every class to the majority count with synthetic rows
     x + u * (neighbour - x), the neighbour drawn among the k nearest rows of
     the same class (exact blocked kNN, no all-pairs join).  Synthetic rows
-    get ``key`` = NULL and ``synthetic`` = true."""
+    have ``synthetic`` = true and a repeatable ``key`` of their own, so that folds
+    hold them too: a text key is ``id#copy``, a number is negative, from a 63-bit
+    hash of id and copy (other key types are refused)."""
     from ..functions.neighbors import knn_join
 
+    key_type = df.schema[key].dataType
+    if not isinstance(key_type, (T.StringType, T.LongType, T.IntegerType)):
+        raise ValueError(f"smote needs a text or whole-number key, not {key_type.simpleString()}")
     counts = {r[0]: r[1] for r in df.groupBy(F.col(y).cast("string")).count().collect()}
     major = max(counts.values())
     need = {c: major - n for c, n in counts.items() if major - n > 0}
@@ -215,11 +225,17 @@ def smote(df: DataFrame, y: str, features: list[str], key: str, k: int = 5, seed
     gen = gen.join(nbr, ["__id", "__rn"])
     nvals = rows.select(F.col("__id").alias("__nid"), *[F.col(f).alias(f"n_{f}") for f in features])
     gen = gen.join(nvals, "__nid")
+    copy = F.concat(F.col("__id").cast("string"), F.lit("#"), F.col("__j").cast("string"))
+    if not isinstance(key_type, T.StringType):
+        bits = 0x7FFFFFFFFFFFFFFF if isinstance(key_type, T.LongType) else 0x7FFFFFFF
+        copy = (-F.xxhash64(copy).bitwiseAND(F.lit(bits)) - 1).cast(key_type)
+    gen = gen.withColumn("__new", copy)
     synth = gen.select(*[(F.col(f) + F.col("__u") * (F.col(f"n_{f}") - F.col(f))).alias(f) for f in features],
-                       F.col("__cls").alias("__cls"))
+                       F.col("__cls").alias("__cls"), F.col("__new").alias("__new"))
     ytype = df.schema[y].dataType
-    synth = synth.select(*[F.col(f) for f in features], F.col("__cls").cast(ytype).alias(y))
+    synth = synth.select("__new", *[F.col(f) for f in features], F.col("__cls").cast(ytype).alias(y))
     others = [c for c in df.columns if c not in features and c != y]
-    synth = synth.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in others], *features, y)
+    synth = synth.select(*[(F.col("__new") if c == key else F.lit(None).cast(df.schema[c].dataType)).alias(c)
+                           for c in others], *features, y)
     base = base.select(*[F.col(c) for c in others], *[F.col(f).cast("double").alias(f) for f in features], y, "synthetic")
     return base.unionByName(synth.withColumn("synthetic", F.lit(True)))

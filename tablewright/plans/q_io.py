@@ -20,10 +20,11 @@ def scratch(spark) -> str:
     return f"{base}/scratch/{uuid.uuid4().hex}"
 
 
-@register("csv_roundtrip", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+@register("csv_roundtrip", """select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+ strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') as o_orderdate, o_orderpriority from orders""")
 def q_csv_roundtrip(spark, sf):
     path = scratch(spark) + "/orders_csv"
-    SK.write_csv(load(spark, sf, "orders").drop("o_orderdate"), path)
+    SK.write_csv(load(spark, sf, "orders"), path)  # a time comes back as text
     return RD.read_table(spark, path, "csv")
 
 

@@ -14,6 +14,7 @@ from ..operators import prepare as PR
 from ..operators import score as SC
 from ..operators import split as SP
 from ..operators import train as TR
+from ..operators.profile import value_presence
 from .fixtures import load, view, with_views
 from .q_prepare import _doc_prep
 from .registry import register
@@ -154,12 +155,17 @@ _EXPECTED = ["o_orderkey", "o_custkey", "o_totalprice", "o_comment"]
 
 
 @register("check_features", f"""with have as (select column_name from information_schema.columns where table_name = 'orders'),
-want as (select unnest([{", ".join(f"'{c}'" for c in _EXPECTED)}]) as column_name)
-select coalesce(h.column_name, w.column_name) as column_name,
+want as (select unnest([{", ".join(f"'{c}'" for c in _EXPECTED)}]) as column_name),
+n as ({" union all ".join(f"select '{c}' as column_name, cast(count({c}) as bigint) as value_count from orders"
+                          for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))})
+select coalesce(h.column_name, w.column_name) as column_name, n.value_count,
  case when h.column_name is not null and w.column_name is not null then 'ok' when w.column_name is not null then 'missing' else 'extra' end as status
-from have h full join want w on h.column_name = w.column_name""")
+from have h full join want w on h.column_name = w.column_name
+left join n on n.column_name = h.column_name""")
 def q_check_features(spark, sf):
-    return SC.check_features(load(spark, sf, "orders"), _EXPECTED)
+    df = load(spark, sf, "orders")
+    present = value_presence(df).select("column_name", "value_count")
+    return SC.check_features(df, _EXPECTED).join(present, "column_name", "left").select("column_name", "value_count", "status")
 
 
 @register("decode_labels", """with l as (select label, cast(row_number() over (order by label) - 1 as integer) as idx

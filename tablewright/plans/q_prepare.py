@@ -54,7 +54,7 @@ _TSP = ("coalesce(try_strptime(odate, '%Y-%m-%d %H:%M:%S'), try_strptime(odate,
         "try_strptime(odate, '%Y/%m/%d'), try_strptime(odate, '%m/%d/%Y'), try_strptime(odate, '%d-%m-%Y'))")
 
 
-@register("datetime_columns", with_views("text_dates") + f""", f as (select odate from text_dates where odate is not null order by o_orderkey limit 50),
+@register("datetime_columns", with_views("text_dates") + f""", f as (select odate from text_dates where odate is not null),
 p as (select count(*) as n, count({_TSP}) as ok from f)
 select 'odate' as column_name, case when n > 0 and n = ok then 'parses as datetime' else 'name hint' end as reason from p""")
 def q_datetime_columns(spark, sf):
@@ -72,8 +72,9 @@ def q_impute(spark, sf):
     return _round_doubles(PR.apply_imputer(df, values))
 
 
-@register("one_hot", """with p as (pivot (select p_partkey, 'p_type_' || p_type as k, cast(1.0 as double) as v from part) on k using first(v))
-select p_partkey, coalesce(columns(* exclude (p_partkey)), cast(0.0 as double)) from p""")
+@register("one_hot", "select p_partkey, " + ", ".join(
+    f"case when p_type = '{v}' then cast(1.0 as double) else cast(0.0 as double) end as p_type_{v}"
+    for v in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " from part")
 def q_one_hot(spark, sf):
     df = load(spark, sf, "part")
     levels = PR.fit_one_hot(df, ["p_type"])

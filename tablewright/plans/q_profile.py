@@ -77,9 +77,17 @@ def q_size_profile(spark, sf):
     return P.size_profile(load(spark, sf, "orders"))
 
 
-@register("columns")
+_ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+           ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+
+
+@register("columns", "\nunion all ".join(
+    f"select '{c}' as column_name, '{t}' as dtype, cast({i} as integer) as ordinal_position, "
+    f"cast(count(*) as bigint) as row_count, cast(count({c}) as bigint) as value_count from orders"
+    for i, (c, t) in enumerate(_ORDERS, 1)))
 def q_columns(spark, sf):
-    return P.columns(load(spark, sf, "orders"))
+    df = load(spark, sf, "orders")
+    return P.columns(df).join(P.value_presence(df), "column_name")
 
 
 @register("head", "select * from orders order by o_orderkey limit 10")

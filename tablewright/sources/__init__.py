@@ -1,2 +1,2 @@
 """Sources (CSV / Parquet / JSON / XLSX readers, type inference, ingest
-checks, synthetic table) and sinks (CSV / Parquet / JSON report writers)."""
+checks) and sinks (CSV / Parquet / JSON report writers)."""

@@ -1,5 +1,5 @@
-"""File readers behind one ``read_table``, type inference over text
-columns, ingest validation and a synthetic regression table."""
+"""File readers behind one ``read_table``, type inference over text
+columns and ingest validation."""
 
 from __future__ import annotations
 
@@ -14,14 +14,19 @@ from ..functions.columns import NUMBER_PATTERN, fold_nan
 # Fixed values that must equal the reference: pandas' default missing-value tokens.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl", ".xlsx": "xlsx", ".xls": "xlsx"}
+FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl", ".xlsx": "xlsx"}
+#: Cells of a CSV row that the header does not name.
+CORRUPT = "_corrupt_record"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens: list[str] | None = None,
-               infer: bool = True) -> DataFrame:
+               infer: bool = True, multi_line: bool = True) -> DataFrame:
     """S1 CSV (header, NA tokens, inference) / S2 Parquet / S3 JSON (one array
     document; ``jsonl`` for lines) / S4 XLSX: read one table; the format comes
-    from the extension unless given, an unknown one is an error."""
+    from the extension unless given, an unknown one is an error.  A CSV row with
+    more cells than the header is an error, one with fewer ends in nulls;
+    ``multi_line=False`` lets Spark split CSV files that hold no line breaks
+    inside quotes."""
     if fmt is None:
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
         if ext not in FORMATS:
@@ -30,9 +35,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens
     if fmt == "parquet":
         return fold_nan(spark.read.parquet(path))
     if fmt == "csv":
-        raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-               .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
-        df = null_tokens(raw, na_tokens if na_tokens is not None else NA_TOKENS)
+        df = null_tokens(_read_csv(spark, path, multi_line), na_tokens if na_tokens is not None else NA_TOKENS)
         return infer_types(df) if infer else df
     if fmt == "json":
         return fold_nan(spark.read.option("multiLine", True).json(path))
@@ -45,6 +48,21 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens
     raise ValueError(f"Unsupported format: {fmt}")
 
 
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The cells as text.  Rows of another width come with their text in
+    ``CORRUPT``; the plan fails where it holds a cell beyond the header."""
+    names = spark.read.options(header=True, multiLine=multi_line, escape='"').csv(path).columns
+    text = lambda cols: T.StructType([T.StructField(c, T.StringType()) for c in cols])
+    raw = spark.read.options(header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE",
+                             columnNameOfCorruptRecord=CORRUPT).schema(text([*names, CORRUPT])).csv(path)
+    wider = text([f"c{i}" for i in range(len(names) + 1)]).simpleString().removeprefix("struct<").removesuffix(">")
+    extra = F.from_csv(F.col(CORRUPT), wider.replace(":", " "), {"escape": '"'})[f"c{len(names)}"]
+    bad = F.col(CORRUPT).isNotNull() & extra.isNotNull()
+    message = F.concat(F.lit("a CSV row has more cells than the header; it begins with "),
+                       F.coalesce(F.col(f"`{names[0]}`"), F.lit("an empty cell")))
+    return raw.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True)).drop(CORRUPT)
+
+
 def null_tokens(df: DataFrame, tokens: list[str]) -> DataFrame:
     """Text cells equal to one of ``tokens`` become NULL (CSV's nullValue
     takes a single token only)."""

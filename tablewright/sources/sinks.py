@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """K1 / K4: table -> CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """K1 / K4: table -> CSV with a header; times as ``2026-01-02 03:04:05.000000``,
+    quotes inside a cell doubled."""
+    df.write.mode("overwrite").options(header=True, escape='"', timestampFormat=TIME, timestampNTZFormat=TIME).csv(path)
 
 
 export_table = write_csv

@@ -85,3 +85,54 @@ def test_contributions_sum_to_the_difference_of_one_class(spark):
     for r in df.collect():
         one, base = p(r["a"], r["b"]), p(0.1, -0.2)
         assert total[r["k"]] == pytest.approx(one - base if one > 0.5 else base - one)
+
+
+def test_nan_is_missing_everywhere(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, math.nan), (3, None), (4, 3.0)], "k int, x double")
+    filled, _ = clean.fill_statistic(df, "x", "mean")
+    assert sorted(r["x"] for r in filled.collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert clean.drop_missing_rows(df, "x")[0].count() == 2
+    got = {r["column_name"]: r["missing_count"] for r in clean.cleaning_suggestions(df).collect()}
+    assert got["x"] == 2
+    assert [r["x"] for r in profile.missingness_matrix(df, ["k"], 4).orderBy("row_idx").collect()] == [0, 1, 1, 0]
+    imputed = prepare.apply_imputer(df, prepare.fit_imputer(df, "mean", cols=["x"]))
+    assert sorted(r["x"] for r in imputed.collect()) == [1.0, 2.0, 2.0, 3.0]
+    with pytest.raises(ValueError):
+        prepare.assert_no_missing(df.where("k < 3"))
+
+
+def test_synthetic_rows_have_keys_and_folds(spark):
+    rows = [(i, float(i % 7), float(i % 5), "a" if i < 30 else "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, x double, z double, y string")
+    out = split.smote(df, "y", ["x", "z"], "k", k=3)
+    assert out.count() == 60 and out.where("k is null").count() == 0
+    assert out.select("k").distinct().count() == 60
+    folds = split.assign_folds(out, 4, ["k"], stratify="y")
+    assert folds.where("fold between 0 and 3").count() == 60
+    text = split.smote(df.withColumn("k", df.k.cast("string")), "y", ["x", "z"], "k", k=3)
+    assert text.select("k").distinct().count() == 60
+    with pytest.raises(Exception, match="a fold needs a key"):
+        split.assign_folds(spark.createDataFrame([(1,), (None,)], "k int"), 2, ["k"]).collect()
+
+
+def test_csv_rows_wider_than_the_header_fail(spark, tmp_path):
+    bad, short = tmp_path / "bad.csv", tmp_path / "short.csv"
+    bad.write_text("a,b\n1,2\n3,4,5\n")
+    short.write_text('a,b\n1,2\n3\n"x, ""y""\nz",7\n')
+    with pytest.raises(Exception, match="more cells than the header"):
+        readers.read_table(spark, str(bad)).count()
+    with pytest.raises(Exception, match="more cells than the header"):
+        readers.read_table(spark, str(bad), infer=False).select("a").collect()
+    got = [tuple(r) for r in readers.read_table(spark, str(short)).collect()]
+    assert got == [("1", 2), ("3", None), ('x, "y"\nz', 7)]
+
+
+def test_workbooks_meet_by_column_name(spark, tmp_path):
+    from test_sources_entry import _xlsx_bytes
+    (tmp_path / "a.xlsx").write_bytes(_xlsx_bytes([["x", "y"], ["1", "a"], ["2", "b", "more"]]))
+    (tmp_path / "b.xlsx").write_bytes(_xlsx_bytes([["y", "z", "x"], ["c", "9", "3"]]))
+    df = readers.read_table(spark, str(tmp_path), "xlsx")
+    got = {(r["x"], r["y"], r["z"], r["column_2"]) for r in df.collect()}
+    assert got == {(1, "a", None, None), (2, "b", None, "more"), (3, "c", 9, None)}
+    with pytest.raises(ValueError):
+        readers.read_table(spark, "/none/old.xls")
