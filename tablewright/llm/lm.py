@@ -5,14 +5,22 @@ share one vocabulary, one list of bigrams and one smoothing, so their losses
 per word can be subtracted: ``score = target_loss - background_loss`` in nats
 per word; the lower, the closer to the target.
 
-Counts cover every document.  Words and bigrams enter the model when they make
-up at least ``MIN_SHARE`` of all words, so there are at most ``1 / MIN_SHARE``
-of either whatever the size of the corpus: that bounds the broadcast.  Rarer
-words are the unknown word, rarer bigrams back off:
+Counts cover every document.  Every word and bigram seen ``MIN_COUNT`` times is
+in the model, which lives in Spark tables.  Rarer words are the unknown word,
+rarer bigrams back off:
 
     P(w | v) = L * c(v, w) / c(v) + (1 - L * kept(v)) * P(w)
 
 with ``kept(v)`` the share of v's bigrams in the model, and add-one unigrams.
+A text's log probability is the sum of ``log P(w)`` and of the heads' backoff
+factors over its words, plus for each bigram in the model what it adds to them.
+These three kinds of entries are counted per document and joined to the model
+by shuffle.  Entries that make up ``HOT_SHARE`` of all words are looked up in a
+broadcast instead, at most ``1 / HOT_SHARE`` of each kind; this keeps hot keys
+out of the join and changes no result.
+
+Words and entries are told apart by 64-bit hashes: two of a billion are equal
+with a probability of 3 %.
 
 The target is a documented bounded sample: the labels of about ``TARGET_ROWS``
 documents at most (drawn by hash) are broadcast as ids.
@@ -25,167 +33,296 @@ distribution; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, unit_hash
-from .words import find, ids_of, pairs_of, per_text, vocabulary, words_of
+from tablewright.session import ship_package
+
+from .common import drop, materialize, unit_hash
+from .words import START, UNKNOWN, find, words_of
 
-MIN_SHARE = 1e-6
 MIN_COUNT = 2
 WEIGHT = 0.7
 TARGET_ROWS = 100_000
+HOT_SHARE = 1e-6
+#: In the model's keys (v, w): "P(w)" has this v, "backoff factor of v" this w.
+UNIGRAM, BACKOFF = 2, 3
+#: Bigrams are counted, and entries joined, in so many slices by hash: less is on disk at a time.
+SLICES = 3
 #: Words a task counts before it hands the counts on.
 HELD = 1_000_000
 
 
-class Pair:
-    """Both models: column 0 background, column 1 target."""
-
-    def __init__(self, words: list[str], uni: np.ndarray, keys: np.ndarray, counts: np.ndarray, fans: np.ndarray):
-        self.ids = vocabulary(words)
-        self.size = size = len(words) + 2
-        self.keys = keys
-        before = keys // size
-        self.uni, self.bi, self.left = [], [], []
-        for k in range(2):
-            p = uni[k] + 1.0
-            self.uni.append(p / p.sum())
-            total = np.maximum(fans[k], 1.0)
-            self.bi.append(WEIGHT * counts[k] / total[before])
-            kept = np.bincount(before, weights=counts[k], minlength=size) / total
-            self.left.append(1 - WEIGHT * kept)
-
-    def losses(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(words per text, (2, texts) mean loss per word)."""
-        flat, starts = ids_of(texts, self.ids)
-        before, keys = pairs_of(flat, starts, self.size)
-        at, there = find(self.keys, keys)
-        n = np.diff(starts)
-        out = []
-        for k in range(2):
-            p = self.left[k][before] * self.uni[k][flat]
-            if len(self.keys):
-                p = p + np.where(there, self.bi[k][at], 0.0)
-            out.append(per_text(-np.log(p), starts) / np.maximum(n, 1))
-        return n, np.stack(out)
-
-
-def _counted(batches, fn):
-    """Arrow batches of the counts that ``fn`` gathers from lists of (texts, is target)."""
-    for batch in batches:
-        target = np.array(batch.column(1).to_pylist(), bool)
-        for at in range(0, batch.num_rows, 512):
-            yield fn(batch.column(0).slice(at, 512).to_pylist(), target[at:at + 512])
-
-
-def fit(docs: DataFrame, text: str, target: str, min_share: float = MIN_SHARE) -> Pair:
-    """The pair of models from documents with a text and a boolean column."""
-    import pyarrow as pa
+class _Hashes(dict):
+    """Word -> 64-bit hash, filled on demand."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                                        "little", signed=True)
+        return h
+
+
+def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit key of each pair of ids."""
+    x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    rows = docs.select(F.col(text).alias("text"), F.col(target).alias("target"))
+def _tokens(docs: DataFrame) -> DataFrame:
+    """(at: number of the row, row, doc_id, n, words: hashes) from (row, doc_id, text)."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, LongType, StructType
+
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        at, hashes = TaskContext.get().partitionId() << 40, _Hashes()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                words = [[hashes[w] for w in words_of(t)] for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(at, at + len(words)), pa.int64()), part.column(0), part.column(1),
+                     pa.array([len(w) for w in words], pa.int64()), pa.array(words, pa.list_(pa.int64()))],
+                    ["at", "row", "doc_id", "n", "words"])
+                at += len(words)
+
+    kind = docs.schema
+    out = StructType().add("at", LongType()).add(kind["row"]).add(kind["doc_id"]).add("n", LongType()) \
+        .add("words", ArrayType(LongType()))
+    return docs.mapInArrow(run, out)
+
+
+def _flat(batch):
+    """(flat ids, starts of the texts) of a batch's word lists; words that its lists
+    ``rare`` name are unknown (a word is rare in all texts or in none)."""
+    import pyarrow.compute as pc
+
+    lists = batch.column(batch.schema.get_field_index("words"))
+    starts = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=starts[1:])
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = batch.schema.get_field_index("rare")
+    if at >= 0:
+        rare = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat[np.isin(flat, rare)] = UNKNOWN
+    return flat, starts
+
+
+def _heads(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[starts[:-1][np.diff(starts) > 0]] = START
+    return before
+
+
+def _word_counts(tokens: DataFrame) -> DataFrame:
+    """(word, n, at: the first row with it)."""
+    import pyarrow as pa
 
-    def words(batches):
-        seen = [Counter(), Counter()]
+    def run(batches):
+        held: list = []
 
         def out():
-            every = list(seen[0])
-            table = pa.RecordBatch.from_pydict({
-                "word": pa.array(every, pa.string()), "n": pa.array([seen[0][w] for w in every], pa.int64()),
-                "t": pa.array([seen[1][w] for w in every], pa.int64())})
-            seen[0].clear()
-            seen[1].clear()
-            return table
-
-        def count(texts, of):
-            for t, hit in zip(texts, of):
-                w = words_of(t)
-                seen[0].update(w)
-                if hit:
-                    seen[1].update(w)
-
-        for _ in _counted(batches, count):
-            if len(seen[0]) > HELD:
+            flat, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            words, first, n = np.unique(flat, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_pydict({"word": pa.array(words), "n": pa.array(n.astype(np.int64)),
+                                               "at": pa.array(at[first])})
+
+        for batch in batches:
+            flat, starts = _flat(batch)
+            held.append((flat, np.repeat(batch.column(0).to_numpy(), np.diff(starts))))
+            if sum(len(x) for x, _ in held) > 2 * HELD:
                 yield out()
-        yield out()
+        if held:
+            yield out()
 
-    sums = rows.mapInArrow(words, "word string, n long, t long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.sum("t").alias("t"))
-    sums = sums.persist()
-    total, target_total = sums.agg(F.sum("n"), F.sum("t")).first()
-    total, target_total = total or 0, target_total or 0
-    least = max(MIN_COUNT, min_share * total)
-    vocab = sums.where(F.col("n") >= least).toPandas().sort_values("word")
-    sums.unpersist()
-    size = len(vocab) + 2
-    uni = np.zeros((2, size))
-    uni[:, 2:] = vocab[["n", "t"]].to_numpy(float).T
-    uni[:, 0] = np.array([total, target_total]) - uni.sum(1)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab["word"].tolist())
-
-    def bigrams(batches):
-        ids = vocabulary(shared.value)
+    return tokens.select("at", "words").mapInArrow(run, "word long, n long, at long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.min("at").alias("at"))
+
+
+def _counts(texts: DataFrame, part: int | None) -> DataFrame:
+    """(v, w, n, t): counts in all texts and in the target's; of the bigrams of one
+    slice, or (``part`` None) of words (v = UNIGRAM) and heads (w = BACKOFF)."""
+    import pyarrow as pa
+
+    def run(batches):
         held: list = []
 
         def out():
-            keys = np.concatenate([k for k, _ in held])
-            of = np.concatenate([t for _, t in held])
+            v, w, t = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            found, place = np.unique(keys, return_inverse=True)
+            _, first, place, n = np.unique(_mixed(v, w), return_index=True, return_inverse=True, return_counts=True)
             return pa.RecordBatch.from_pydict({
-                "key": pa.array(found, pa.int64()), "n": pa.array(np.bincount(place).astype(np.int64)),
-                "t": pa.array(np.bincount(place, weights=of).astype(np.int64))})
-
-        def count(texts, of):
-            flat, starts = ids_of(texts, ids)
-            held.append((pairs_of(flat, starts, size)[1], np.repeat(of, np.diff(starts))))
-
-        for _ in _counted(batches, count):
-            if sum(len(k) for k, _ in held) > 4 * HELD:
+                "v": pa.array(v[first]), "w": pa.array(w[first]), "n": pa.array(n.astype(np.int64)),
+                "t": pa.array(np.bincount(place, weights=t, minlength=len(n)).astype(np.int64))})
+
+        for batch in batches:
+            flat, starts = _flat(batch)
+            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
+            before = _heads(flat, starts)
+            if part is None:
+                held.append((np.concatenate([np.full(len(flat), UNIGRAM), before]),
+                             np.concatenate([flat, np.full(len(flat), BACKOFF)]), np.tile(target, 2)))
+            else:
+                mine = _mixed(before, flat) % np.uint64(SLICES) == part
+                held.append((before[mine], flat[mine], target[mine]))
+            if sum(len(x) for x, _, _ in held) > 2 * HELD:
                 yield out()
         if held:
             yield out()
 
-    pairs = rows.mapInArrow(bigrams, "key long, n long, t long").groupBy("key").agg(
-        F.sum("n").alias("n"), F.sum("t").alias("t")).persist()
-    fans = np.zeros((2, size))
-    heads = pairs.groupBy(F.floor(F.col("key") / size).cast("long").alias("v")) \
-        .agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
-    fans[:, heads["v"].to_numpy(np.int64)] = heads[["n", "t"]].to_numpy(float).T
-    kept = pairs.where(F.col("n") >= least).toPandas().sort_values("key")
-    pairs.unpersist()
-    return Pair(vocab["word"].tolist(), uni, kept["key"].to_numpy(np.int64), kept[["n", "t"]].to_numpy(float).T, fans)
+    return texts.select("at", "target", "words", "rare").mapInArrow(run, "v long, w long, n long, t long") \
+        .groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def _keyed(model: DataFrame) -> DataFrame:
+    """(key, slice, n, b, t) from (v, w, n, b, t)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for x in batches:
+            key = _mixed(x.column(0).to_numpy(), x.column(1).to_numpy())
+            part = (key % np.uint64(SLICES)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), *x.columns[2:]],
+                                             ["key", "slice", "n", "b", "t"])
+
+    return model.select("v", "w", "n", "b", "t").mapInArrow(
+        run, "key long, slice int, n long, b double, t double")
 
 
-def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """A bounded sample of the documents labelled good, as target_id."""
+def _entries(texts: DataFrame, shared, part: int) -> DataFrame:
+    """(at, key, c) of one slice's entries to join; the first slice also has one row
+    a text with the sums b and t of its hot entries (c is 0, the key any)."""
+    import pyarrow as pa
+
+    def run(batches):
+        known, *logs = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                rows = batch.slice(a, 512)
+                at = rows.column(0).to_numpy()
+                flat, starts = _flat(rows)
+                if not len(flat):
+                    continue
+                n, before = len(flat), _heads(flat, starts)
+                doc = np.tile(np.repeat(np.arange(len(at)), np.diff(starts)), 3)
+                key = _mixed(np.concatenate([before, np.full(n, UNIGRAM), before]),
+                             np.concatenate([flat, flat, np.full(n, BACKOFF)]))
+                if part:
+                    mine = key % np.uint64(SLICES) == part
+                    doc, key = doc[mine], key[mine]
+                where, there = find(known, key)
+                if not part:
+                    sums = [np.bincount(doc[there], weights=x[where[there]], minlength=len(at)).astype(float)
+                            for x in logs]
+                    yield pa.RecordBatch.from_pydict({
+                        "at": pa.array(at), "key": pa.array(_mixed(at, at).view(np.int64)),
+                        "c": pa.array(np.zeros(len(at), np.int64)), "b": pa.array(sums[0]), "t": pa.array(sums[1])})
+                    there |= key % np.uint64(SLICES) != 0
+                rest = np.flatnonzero(~there)
+                _, first, c = np.unique(_mixed(key[rest], doc[rest]), return_index=True, return_counts=True)
+                rest = rest[first]
+                none = pa.nulls(len(rest), pa.float64())
+                yield pa.RecordBatch.from_pydict({
+                    "at": pa.array(at[doc[rest]]), "key": pa.array(key[rest].view(np.int64)),
+                    "c": pa.array(c.astype(np.int64)), "b": none, "t": none})
+
+    return texts.select("at", "words", "rare").mapInArrow(run, "at long, key long, c long, b double, t double")
+
+
+def fit(texts: DataFrame, total: int, size: int, least: float) -> DataFrame:
+    """The model: (key, slice, n: background count, b, t: background and target log
+    values) of bigrams, words (v = UNIGRAM) and heads (w = BACKOFF)."""
+    singles = materialize(_counts(texts, None), "lm-singles")
+    parts = [materialize(_counts(texts, k).where(F.col("n") >= least), "lm-bigrams") for k in range(SLICES)]
+    pairs = parts[0]
+    for more in parts[1:]:
+        pairs = pairs.unionAll(more)
+    words = singles.where(F.col("v") == UNIGRAM)
+    target_total = words.agg(F.sum("t")).first()[0] or 0
+    words = words.select("w", F.col("n").alias("all_n"), *[
+        F.log((F.col(k) + 1) / F.lit(float(of + size))).alias(f"word_{k}")
+        for k, of in (("n", total), ("t", target_total))])
+    kept = pairs.groupBy("v").agg(F.sum("n").alias("kept_n"), F.sum("t").alias("kept_t"))
+    heads = singles.where(F.col("w") == BACKOFF).select(
+        "v", F.col("n").alias("fan_n"), F.greatest("t", F.lit(1)).alias("fan_t")).join(kept, "v", "left")
+    heads = materialize(heads.select("v", "fan_n", "fan_t", *[
+        F.log(1 - WEIGHT * F.coalesce(f"kept_{k}", F.lit(0)) / F.col(f"fan_{k}")).alias(f"left_{k}")
+        for k in "nt"]), "lm-heads")
+    more = [(F.log(WEIGHT * F.col(k) / F.col(f"fan_{k}") + F.exp(F.col(f"left_{k}") + F.col(f"word_{k}")))
+             - F.col(f"left_{k}") - F.col(f"word_{k}")) for k in "nt"]
+    bigrams = pairs.join(heads, "v").join(words, "w").select(
+        "v", "w", "n", more[0].alias("b"), more[1].alias("t"))
+    model = bigrams.unionAll(words.select(F.lit(UNIGRAM).cast("long"), "w", "all_n", "word_n", "word_t")) \
+        .unionAll(heads.select("v", F.lit(BACKOFF).cast("long"), "fan_n", "left_n", "left_t"))
+    model = materialize(_keyed(model), "lm-model")
+    for df in (*parts, heads, singles):
+        drop(df)
+    return model
+
+
+def target_ids(labels: DataFrame, rows: int | None = TARGET_ROWS) -> DataFrame:
+    """The documents labelled good as target_id; a sample of about ``rows`` by hash if given."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id") \
         .agg(F.min("quality").alias("quality")).where("quality >= 1")
-    n = good.count()
-    return good.where(unit_hash(F.lit("target"), "doc_id") < min(1.0, rows / max(n, 1))) \
-        .select(F.col("doc_id").alias("target_id"))
+    if rows is not None:
+        good = good.where(unit_hash(F.lit("target"), "doc_id") < min(1.0, rows / max(good.count(), 1)))
+    return good.select(F.col("doc_id").alias("target_id"))
 
 
 def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text",
-          carry: list[str] | None = None, min_share: float = MIN_SHARE) -> DataFrame:
+          carry: list[str] | None = None, min_share: float = 0.0) -> DataFrame:
     """``row`` (the carried columns), n_tokens, target_loss, background_loss
-    and score for every document; ``targets`` has the bounded column target_id."""
-    marked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(targets), F.col("doc_id") == F.col("target_id"), "left")
-    model = fit(marked.select("text", F.col("target_id").isNotNull().alias("target")), "text", "target", min_share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        def fn(texts):
-            n, (background, target) = shared.value.losses(texts)
-            some = n > 0
-            null = lambda x: [float(v) if s else None for v, s in zip(x, some)]
-            return {"n_tokens": n.tolist(), "target_loss": null(target), "background_loss": null(background),
-                    "score": null(target - background)}
-        return fn
-
-    return map_texts(docs, text, "n_tokens long, target_loss double, background_loss double, score double", make,
-                     carry)
+    and score for every document; ``targets`` has the bounded column target_id.
+    Words and bigrams below ``min_share`` of all words count as rare."""
+    given = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(key).alias("doc_id"),
+                        F.col(text).alias("text"))
+    tokens = materialize(_tokens(given), "lm-tokens")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    least = max(MIN_COUNT, min_share * total)
+    words = materialize(_word_counts(tokens), "lm-counts")
+    size = words.where(F.col("n") >= least).count() + 2
+    rare = words.where(F.col("n") < least)
+    if least > 2:  # else a rare word has one place
+        rare = tokens.select("at", F.explode(F.array_distinct("words")).alias("word")).join(rare.select("word"), "word")
+    rare = rare.groupBy("at").agg(F.collect_list("word").alias("rare"))
+    hits = tokens.select("at", "doc_id").join(F.broadcast(targets), F.col("doc_id") == F.col("target_id"), "left_semi") \
+        .select("at", F.lit(True).alias("target"))
+    texts = tokens.where("n > 0").select("at", "words").join(rare, "at", "left").join(hits, "at", "left")
+    texts = materialize(texts.select("at", F.coalesce("target", F.lit(False)).alias("target"), "words", "rare"),
+                        "lm-texts")
+    rows = materialize(tokens.select("at", "row", "n"), "lm-rows")
+    drop(tokens)
+    drop(words)
+
+    model = fit(texts, total, size, least)
+    hot = F.col("n") >= HOT_SHARE * max(total, 1)
+    found = model.where(hot).select("key", "b", "t").toPandas()
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (keys[order], found["b"].to_numpy(float)[order], found["t"].to_numpy(float)[order]))
+    known = model.where(~hot).select("key", "slice", F.col("b").alias("log_b"), F.col("t").alias("log_t"))
+    parts = []
+    for k in range(SLICES):
+        joined = _entries(texts, shared, k).join(known.where(F.col("slice") == k).drop("slice"), "key", "left")
+        parts.append(materialize(joined.groupBy("at").agg(*[
+            F.sum(F.coalesce(x, F.col("c") * F.col(f"log_{x}"))).alias(x) for x in "bt"]), "lm-sums"))
+    drop(texts)
+    sums = parts[0]
+    for more in parts[1:]:
+        sums = sums.unionAll(more)
+    sums = sums.groupBy("at").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    return rows.join(sums, "at", "left").select(
+        "row", F.col("n").alias("n_tokens"), (-F.col("t") / F.col("n")).alias("target_loss"),
+        (-F.col("b") / F.col("n")).alias("background_loss"), ((F.col("b") - F.col("t")) / F.col("n")).alias("score"))

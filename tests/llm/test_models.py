@@ -101,3 +101,29 @@ def test_lm_target_sample_is_bounded(spark):
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     assert lm.target_ids(labels).count() == 2500
     assert 300 < lm.target_ids(labels, 500).count() < 700
+
+
+@pytest.mark.parametrize("hot_share", [4e-6, 1e-3, 2.0])
+def test_lm_keeps_every_pair_seen_twice(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(lm, "HOT_SHARE", hot_share)  # what is looked up and what is joined changes no result
+    texts = {i: "a b " * 25_000 for i in range(70)} | {100: "kiwi plum", 101: "kiwi plum once", 102: "a plum"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    targets = spark.createDataFrame([(0,), (100,), (101,)], "target_id long")
+    got = {r["doc_id"]: r for r in lm.score(docs, targets, carry=["doc_id"]).select(
+        "row.doc_id", "target_loss", "background_loss").collect()}
+    for side, ids in (("background_loss", texts), ("target_loss", (0, 100, 101))):
+        read = {i: ["?" if w == "once" else w for w in words_of(texts[i])] for i in ids}
+        uni = Counter(w for ws in read.values() for w in ws)
+        pairs = Counter(p for ws in read.values() for p in zip(["<s>", *ws], ws))
+        fan = Counter()
+        for (v, _), n in pairs.items():
+            fan[v] += n
+        kept = {("<s>", "a"), ("a", "b"), ("b", "a"), ("<s>", "kiwi"), ("kiwi", "plum")}  # twice in all documents
+        for i in (0, 100, 101, 102):
+            ws, out = ["?" if w == "once" else w for w in words_of(texts[i])], 0.0
+            for v, w in zip(["<s>", *ws], ws):
+                n = max(fan[v], 1)
+                share = sum(pairs[p] for p in kept if p[0] == v) / n
+                out -= math.log((1 - lm.WEIGHT * share) * (uni[w] + 1) / (sum(uni.values()) + 6)
+                                + (lm.WEIGHT * pairs[v, w] / n if (v, w) in kept else 0.0))
+            assert abs(got[i][side] - out / len(ws)) < 1e-9, (i, side)
