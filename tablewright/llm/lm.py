@@ -22,8 +22,9 @@ out of the join and changes no result.
 Words and entries are told apart by 64-bit hashes: two of a billion are equal
 with a probability of 3 %.
 
-The target is a documented bounded sample: the labels of about ``TARGET_ROWS``
-documents at most (drawn by hash) are broadcast as ids.
+The target is every document labelled good, found by a shuffle join on the id.
+As its texts are among all documents, a bigram that it has seen twice is in the
+model by the count of all documents.
 
 Defined cases: a null or empty text has no words and null losses and score;
 null labels and labels of unknown documents are ignored, the lowest of several
@@ -47,7 +48,6 @@ from .words import START, UNKNOWN, find, words_of
 
 MIN_COUNT = 2
 WEIGHT = 0.7
-TARGET_ROWS = 100_000
 HOT_SHARE = 1e-6
 #: In the model's keys (v, w): "P(w)" has this v, "backoff factor of v" this w.
 UNIGRAM, BACKOFF = 2, 3
@@ -271,7 +271,7 @@ def fit(texts: DataFrame, total: int, size: int, least: float) -> DataFrame:
     return model
 
 
-def target_ids(labels: DataFrame, rows: int | None = TARGET_ROWS) -> DataFrame:
+def target_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
     """The documents labelled good as target_id; a sample of about ``rows`` by hash if given."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id") \
         .agg(F.min("quality").alias("quality")).where("quality >= 1")
@@ -283,7 +283,7 @@ def target_ids(labels: DataFrame, rows: int | None = TARGET_ROWS) -> DataFrame:
 def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text",
           carry: list[str] | None = None, min_share: float = 0.0) -> DataFrame:
     """``row`` (the carried columns), n_tokens, target_loss, background_loss
-    and score for every document; ``targets`` has the bounded column target_id.
+    and score for every document; ``targets`` has the column target_id.
     Words and bigrams below ``min_share`` of all words count as rare."""
     given = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(key).alias("doc_id"),
                         F.col(text).alias("text"))
@@ -296,7 +296,7 @@ def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     if least > 2:  # else a rare word has one place
         rare = tokens.select("at", F.explode(F.array_distinct("words")).alias("word")).join(rare.select("word"), "word")
     rare = rare.groupBy("at").agg(F.collect_list("word").alias("rare"))
-    hits = tokens.select("at", "doc_id").join(F.broadcast(targets), F.col("doc_id") == F.col("target_id"), "left_semi") \
+    hits = tokens.select("at", "doc_id").join(targets, F.col("doc_id") == F.col("target_id"), "left_semi") \
         .select("at", F.lit(True).alias("target"))
     texts = tokens.where("n > 0").select("at", "words").join(rare, "at", "left").join(hits, "at", "left")
     texts = materialize(texts.select("at", F.coalesce("target", F.lit(False)).alias("target"), "words", "rare"),

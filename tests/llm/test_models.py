@@ -127,3 +127,8 @@ def test_lm_keeps_every_pair_seen_twice(spark, monkeypatch, hot_share):
                 out -= math.log((1 - lm.WEIGHT * share) * (uni[w] + 1) / (sum(uni.values()) + 6)
                                 + (lm.WEIGHT * pairs[v, w] / n if (v, w) in kept else 0.0))
             assert abs(got[i][side] - out / len(ws)) < 1e-9, (i, side)
+
+
+def test_lm_target_is_every_good_document(spark):
+    labels = spark.range(250_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert lm.target_ids(labels).count() == 250_000
