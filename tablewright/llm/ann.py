@@ -17,9 +17,12 @@ the given vectors have hardly any neighbour structure (64 nearly independent
 dimensions), so 0.9 recall needs a large share; clustered vectors need far less.
 
 Largest inner product is searched as nearest direction after the usual
-extension by ``sqrt(M^2 - |x|^2)`` (M: the largest norm), which changes nothing
-for vectors of one length.  Scores are inner products of the original vectors
-in double precision, summed from the first component to the last.
+extension by ``sqrt(M^2 - |x|^2)``, which changes nothing for vectors of one
+length; a query descends the trees at length M.  M is the largest norm but for
+the :data:`LONG` longest vectors, which every query is compared with besides:
+a few very long ones would leave the extension alone to decide.
+Scores are inner products of the original vectors in double precision, summed
+from the first component to the last.
 
 Defined cases: vectors that are null, empty, zero, of another length than most
 or hold null or non-finite components take no part, as query or candidate; rows
@@ -49,6 +52,8 @@ BUDGET = 0.3
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 4_096
 SEED = 11
+#: Longest vectors compared with every query.
+LONG = 256
 
 
 class Forest:
@@ -126,9 +131,11 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
         .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     reps = materialize(reps.select(F.col("ids")[0].alias("rep"), "v", "ids"), "distinct-vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, longest = reps.agg(F.count("*"), F.max(norm)).first()
+    n = reps.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    longest = reps.select(norm.alias("norm")).orderBy(F.desc("norm")).limit(LONG + 1).toPandas()["norm"].min()
+    long = norm > F.lit(float(longest))
 
     # the sample is bounded by its rate
     drawn = reps.where(unit_hash(F.lit("sample"), "rep") < min(1.0, sample / n)).select("rep", "v").toPandas()
@@ -153,6 +160,9 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
         for pdf in frames:
             if not len(pdf):
                 continue
+            far = pdf[pdf.pop("long")]
+            for part in range(parts if len(far) else 0):
+                yield far.assign(tree=-1, block=0, chunk=0, part=part, leaf=0)
             leaves = shared.value.leaves(_extended(np.stack(pdf["v"].to_numpy()), longest))
             for t in range(trees):
                 for part in range(parts):
@@ -164,17 +174,18 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
             if not len(pdf):
                 continue
             x = np.stack(pdf["v"].to_numpy())
-            proj = shared.value.projections(np.column_stack([x, np.zeros(len(x))]))
+            proj = shared.value.projections(_asked(x, longest))
             out = []
             for rep, v, p in zip(pdf["rep"], pdf["v"], proj):
                 opened: dict = {}
+                out.append((-1, 0, 0, rep % parts, rep, v, [0]))
                 for t, l in shared.value.search(p, budget_leaves):
                     opened.setdefault((t, l // wide), []).append(l % wide)
                 out += [(t, b, c, rep % parts, rep, v, ls) for (t, b), ls in opened.items() for c in range(chunks)]
             yield pd.DataFrame(out, columns=["tree", "block", "chunk", "part", "rep", "v", "open"])
 
     place = "tree int, block long, chunk long, part long, rep long, v array<double>"
-    indexed = reps.select("rep", "v").mapInPandas(index, "rep long, v array<double>, tree int, block long, chunk long, "
+    indexed = reps.select("rep", "v", long.alias("long")).mapInPandas(index, "rep long, v array<double>, tree int, block long, chunk long, "
                                                   "part long, leaf long")
     routed = wanted.mapInPandas(route, place + ", open array<long>")
     group = ["tree", "block", "chunk", "part"]
@@ -204,6 +215,12 @@ def _extended(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, rest])
 
 
+def _asked(x: np.ndarray, longest: float) -> np.ndarray:
+    """Queries as directions among the extended points: of their length, extended by 0."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return np.column_stack([x * (longest / np.sqrt((x ** 2).sum(1)))[:, None], np.zeros(len(x))])
+
+
 def _nearest(left: pd.DataFrame, right: pd.DataFrame, wide: int, k: int, step: int = 128) -> pd.DataFrame:
     """The ``k`` best of ``left`` in the open leaves of each query of ``right``."""
     x, leaf, rep = np.stack(left["v"].to_numpy()), left["leaf"].to_numpy(np.int64), left["rep"].to_numpy(np.int64)

@@ -156,3 +156,17 @@ def test_neighbours(spark):
     few = ann.search(spark.createDataFrame(rows[:5], df.schema), lambda i: i % 2 == 0, k=20).toPandas()
     assert len(few) == 3 * 4
     assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+
+
+def test_ann_recall_with_uneven_lengths(spark):
+    g = np.random.default_rng(4)
+    x = g.standard_normal((4000, 64)) * g.lognormal(0, 0.5, 4000)[:, None]
+    x[7] *= 20 * np.sqrt((x ** 2).sum(1).max()) / np.sqrt((x[7] ** 2).sum())  # one very long vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(df, lambda i: i % 20 == 1, k=20, leaf=64).toPandas()
+    hit = 0
+    for q, part in out.groupby("query_id"):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += (part["score"] >= np.sort(scores)[-20] - 1e-9).sum()
+    assert out["query_id"].nunique() == 200 and hit / 4000 >= 0.9
