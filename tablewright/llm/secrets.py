@@ -1,13 +1,13 @@
 """Secret scans: fixed patterns plus sliding-window entropy, in SQL functions only.
 
 Base kinds are regular expressions (:data:`KINDS`), leftmost and without
-overlap; a match that fails its length rule is dropped.  The entropy kind looks
-at candidate strings (:data:`CANDIDATE`), picks their character class and moves
-a window over them: the counts per character and the sum of ``c * log2(c)`` are
+overlap; a match that fails its length rule is dropped.  The entropy kind cuts
+the text into maximal runs of each character class (:data:`CLASSES`) and moves
+the class's window over them: the counts per character and the sum of ``c * log2(c)`` are
 updated by the character that enters and the one that leaves, and the window's
-entropy is ``log2(w) - sum / w``.  A candidate is reported from its first to
+entropy is ``log2(w) - sum / w``.  A run is reported from its first to
 its last window above the class's bits, unless an allow-list pattern matches it
-or a base span already covers it.
+or a base span or another class's span already covers it.
 
 Positions count code points from 0, ends are exclusive.  They come from the
 texts between the matches (``split``) and the matches themselves
@@ -32,10 +32,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN_MIN = 6
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Character classes: name, what the whole candidate must look like, window, bits.
+#: Character classes: name, maximal runs, what a whole run must look like, window, bits.
 CLASSES = (
-    ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 24, 3.0),
-    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 20, 3.6),
+    ("base64", CANDIDATE, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])(?!^[0-9A-Fa-f]+$)", 20, 3.6),
+    ("hex", r"[0-9A-Fa-f]{20,}", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 20, 3.0),
+    ("lower", r"[a-z0-9]{20,}", r"^(?=.*[0-9].*[0-9])(?=.*[a-z])", 20, 3.6),
+    ("upper", r"[A-Z0-9]{20,}", r"^(?=.*[0-9])(?=.*[A-Z])", 20, 3.5),
+    ("letters", r"[A-Za-z]{32,}", r"^(?=.*[a-z])(?=.*[A-Z])", 32, 4.25),
+    ("long hex", r"[0-9A-Fa-f]{24,}", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 24, 3.0),
+    ("one case", r"[a-z]{32,}|[A-Z]{32,}", r"", 32, 3.88),
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Candidates that are no secrets: UUIDs, numbers and dates, one repeated character, documentation samples.
@@ -106,23 +111,29 @@ def _windows(run: Column, width: int, bits: float) -> Column:
 
 
 def _entropy(text: Column, base: Column, classes=CLASSES, allow=ALLOW) -> Column:
-    """Spans of the entropy kind outside the ``base`` spans."""
-    def judged(span):
-        run = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        allowed = F.lit(False)
-        for pattern in allow:
-            allowed = allowed | run.rlike(pattern)
-        win = F.lit(None).cast("struct<first:int,last:int>")
-        for _, looks, width, bits in reversed(classes):
-            win = F.when(run.rlike(looks), _windows(run, width, bits)).otherwise(win)
-        hit = F.when(~allowed, win)
-        return F.struct((span["start"] + hit["first"]).alias("start"), (span["start"] + hit["last"]).alias("end"))
-
-    found = F.transform(_matches(text, CANDIDATE), judged)
-    return F.filter(found, lambda s: s["start"].isNotNull() & ~F.exists(
+    """Spans of the entropy kind, of every class, outside the ``base`` spans."""
+    def judged(looks, width, bits):
+        def of(span):
+            run = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+            allowed = F.lit(False)
+            for pattern in allow:
+                allowed = allowed | run.rlike(pattern)
+            hit = F.when(~allowed & run.rlike(looks), _windows(run, width, bits))
+            return F.struct((span["start"] + hit["first"]).alias("start"), (span["start"] + hit["last"]).alias("end"))
+        return of
+
+    found = [F.when(text.rlike(pattern), F.transform(_matches(text, pattern), judged(looks, width, bits)))
+             .otherwise(_none()) for _, pattern, looks, width, bits in classes]
+    return F.filter(F.array_distinct(F.concat(*found)), lambda s: s["start"].isNotNull() & ~F.exists(
         base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
 
 
+def _widest(spans: Column) -> Column:
+    """The distinct ``spans`` that no other one covers."""
+    return F.filter(spans, lambda s: ~F.exists(
+        spans, lambda b: (b != s) & (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+
+
 def _of_kind(n: int):
     return lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end"))
 
@@ -141,6 +152,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets", allow=ALLOW)
     base = F.concat(s["assign"], s["access"], s["hex"])
     docs = docs.withColumn(out, s.withField("entropy", F.when(
         whole.rlike(CANDIDATE), _entropy(whole, base, allow=allow)).otherwise(_none())))
+    docs = docs.withColumn(out, F.col(out).withField("entropy", _widest(F.col(out)["entropy"])))
     every = F.concat(*[F.transform(F.col(out)[k], _of_kind(n)) for n, k in enumerate(KINDS)])
     return docs.withColumn(out, F.col(out).withField("all", F.array_sort(every)))
 

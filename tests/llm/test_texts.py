@@ -106,6 +106,34 @@ def test_secret_entropy_windows(spark):
         assert [(s["start"], s["end"]) for s in row["secrets"]["entropy"]] == want
 
 
+SECRET_CLASSES = {
+    "lower and digits": ("abcdefghijklmnopqrstuvwxyz0123456789", 40), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
+    "long base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 52), "lower letters": ("abcdefghijklmnopqrstuvwxyz", 40),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40), "upper hex": ("0123456789ABCDEF", 40),
+    "long upper hex": ("0123456789ABCDEF", 64), "short hex": ("0123456789abcdef", 22),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40)}
+
+
+def test_secrets_of_every_class(spark):
+    r = random.Random(21)
+    rows = [(name, before, "".join(r.choice(letters) for _ in range(n)))
+            for name, (letters, n) in SECRET_CLASSES.items() for before in ("see ", "ID=", "id=", "/key/")
+            for _ in range(50)]
+    df = spark.createDataFrame([(i, b + x + " end") for i, (_, b, x) in enumerate(rows)], "i int, text string")
+    found, whole = {}, {}
+    for row in secrets.scan(df).collect():
+        name, before, x = rows[row["i"]]
+        spans = [(s["start"], s["end"]) for s in row["secrets"]["all"]]
+        inside = sum(any(a <= k < b for a, b in spans) for k in range(len(before), len(before) + len(x)))
+        found[name, before] = found.get((name, before), 0) + bool(spans)
+        whole[name, before] = whole.get((name, before), 0) + inside / len(x)
+    assert min(found.values()) >= 45 and min(whole.values()) >= 45 * 0.9, (found, whole)
+    words = ["internationalization and characteristically", "AbstractSingletonProxyFactoryBeanImplementation",
+             "donaudampfschifffahrtsgesellschaftskapitaen", "1234567890" * 4, "A" * 40, "/usr/local/share/python/site"]
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    assert all(not row["secrets"]["entropy"] for row in secrets.scan(df).collect())
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "a token = \"abcdef0123456789abcdef01\" b", 7, "x"), (None, None, None, None),
                                 (3, "clean text", 10, "y"), (4, "", 0, "z")],
