@@ -102,6 +102,20 @@ def map_texts(df: DataFrame, text: str, fields: str, make, carry: list[str] | No
     return given.mapInArrow(run, out)
 
 
+def arrow_schema(fields: str):
+    """Arrow's form of a DDL schema (made on the driver, used in tasks)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(fields))
+
+
+def record_batch(schema, rows: list[dict]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
 def _arrow_types(schema) -> dict:
     from pyspark.sql.pandas.types import to_arrow_type
 

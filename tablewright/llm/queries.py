@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, lm, mixing, neardup, quality, secrets, toxicity, urls
+from . import (ann, bpe, divergence, lexical, licenses, lines, lm, mixing, neardup, quality, secrets, toxicity,
+               urls)
 from .common import WORD, read
 
 QUERIES: dict = {}
@@ -120,6 +121,83 @@ def op10_lm(spark, sf_dir):
     return out.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
 
 
+#: A-Z alone to lower case, in SQL.
+LOWER_SQL = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+with d as (select doc_id, regexp_extract_all({LOWER_SQL.format('text')}, '{lexical.TERM}') as ts from documents),
+one as (select count(*)::bigint as docs, sum(len(ts))::bigint as terms from d where len(ts) > 0),
+post as (select doc_id, any_value(size) as size, t, count(*)::bigint as tf
+  from (select doc_id, len(ts)::bigint as size, unnest(ts) as t from d) group by doc_id, t),
+w as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight
+  from post, one group by t, docs),
+q as (select item_id, t, count(*)::bigint as c from (select item_id,
+  unnest(regexp_extract_all({LOWER_SQL.format('text')}, '{lexical.TERM}')) as t from benchmark) group by item_id, t),
+s as (select item_id, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf
+    + 8 * (100 - 75 + (75 * size * docs) // terms))))::bigint as score
+  from q join post using (t) join w using (t), one group by item_id, doc_id),
+r as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+  from s where score > 0)
+select * from r where rank <= 10
+"""
+
+
+@query("op11_lexical", OP11_SQL)
+def op11_lexical(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_SQL = f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d),
+k as (select *, {LOWER_SQL.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from l),
+s as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select doc_id, line, pos, coalesce(first <> doc_id, false) as gone from k left join s using (key))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+@query("op12_lines", OP12_SQL)
+def op12_lines(spark, sf_dir):
+    out = lines.deduplicate(read(spark, sf_dir, "documents"), min_docs=2, min_chars=10, carry=["doc_id"])
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = f"""
+with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all({LOWER_SQL.format('text')}, '{divergence.TERM}') as ts from documents),
+g as (select distinct lang, source from d),
+t as (select doc, lang, source, unnest(ts) as term from d),
+kept as (select lang, term from t group by lang, term having count(distinct doc) >= 3),
+c as (select lang, source, term, count(*)::bigint as n from t semi join kept using (lang, term) group by lang, source, term),
+v as (select lang, count(*)::bigint as kept from kept group by lang),
+z as (select lang, source, coalesce(sum(n), 0)::bigint as size from g left join c using (lang, source)
+  group by lang, source),
+p as (select g.lang, g.source, term, coalesce(n, 0) as n,
+    1 + (1000000000 * (coalesce(n, 0) + 1)) // (size + v.kept) as p
+  from g join kept using (lang) join v using (lang) join z using (lang, source) left join c using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000 * (sum(n)::bigint + 1)) // (any_value(total) + any_value(kept)) as q
+  from c join v using (lang) join (select lang, sum(size)::bigint as total from z group by lang) using (lang)
+  group by lang, term),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select p.lang, p.source, 'term', term, ((p - q) * (p - q)) // q from p join q using (lang, term)
+  where n > 0 and p > q),
+r as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from every)
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 200
+"""
+
+
+@query("op13_divergence", OP13_SQL)
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
