@@ -1,9 +1,9 @@
 """Source divergence audit by single-pass in-memory indexing.
 
-1. every task reads its documents once and builds postings in memory: per term
-   the occurrences in each (lang, source) group and the documents of each lang.
-   At :data:`RUN_ENTRIES` postings the block is spilled as a run: rows of
-   :data:`CHUNK` terms in term order, dealt to shards by the term's hash;
+1. every task reads its documents once and builds their postings in memory.  At
+   :data:`RUN_POSTINGS` occurrences the block is spilled as a term-sorted run:
+   per lang and term the documents, and the occurrences in each source, in rows
+   of :data:`CHUNK` terms dealt to shards by the term's hash;
 2. a shard's chunks arrive sorted by their first term; a heap merges the runs
    and holds only the chunks open at the current term.  Terms in at least
    ``min_docs`` documents of their lang are written with their frequencies;
@@ -24,7 +24,8 @@ of their own; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
 from itertools import count
 from zlib import crc32
 
@@ -41,8 +42,9 @@ from .terms import ascii_but, term_splitter
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 APART = ascii_but("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 ONE = 1_000_000_000
-#: Postings held before a run is spilled, terms of a chunk, cells of a dense block: they bound memory, not results.
-RUN_ENTRIES, CHUNK, BLOCK_CELLS = 500_000, 512, 1 << 20
+#: Term occurrences held before a run is spilled, terms of a chunk, cells of a dense block: they bound memory, not
+#: results.
+RUN_POSTINGS, CHUNK, BLOCK_CELLS = 4_000_000, 512, 1 << 20
 #: The group table is broadcast up to this many rows, else joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -53,41 +55,66 @@ _CORRECTIONS = "lang string, source string, other string, value decimal(38,0)"
 
 
 class Block:
-    """Postings of the documents read since the last spill."""
+    """Postings of the documents read since the last spill: per document the
+    numbers of its terms, in the order of reading."""
 
     def __init__(self):
-        self.tfs, self.dfs, self.entries = defaultdict(Counter), defaultdict(Counter), 0
+        self.number = defaultdict(count().__next__)
+        self.terms, self.sizes, self.owners = array("i"), array("q"), array("i")
+        self.groups = {}
 
     def add(self, lang: str, source: str, terms: list[bytes]) -> None:
-        tfs, dfs = self.tfs[lang, source], self.dfs[lang]
-        self.entries -= len(tfs) + len(dfs)
-        tfs.update(terms)
-        dfs.update(set(terms))
-        self.entries += len(tfs) + len(dfs)
+        self.terms.extend(map(self.number.__getitem__, terms))
+        self.sizes.append(len(terms))
+        self.owners.append(self.groups.setdefault((lang, source), len(self.groups)))
 
     def run(self, shards: int):
-        """Chunks of the term-sorted run."""
-        for lang, dfs in self.dfs.items():
-            names = sorted(s for at, s in self.tfs if at == lang)
-            held = defaultdict(list)
-            for i, name in enumerate(names):
-                for t, n in self.tfs[lang, name].items():
-                    held[t].append((i, n))
-            dealt = defaultdict(list)
-            for t in sorted(dfs):
-                dealt[crc32(t) % shards].append(t)
-            for shard, terms in dealt.items():
-                for at in range(0, len(terms), CHUNK):
-                    part = terms[at:at + CHUNK]
-                    pairs = [held[t] for t in part]
-                    yield {"shard": shard, "lang": lang, "first": part[0], "terms": part, "dfs": [dfs[t] for t in part],
-                           "ends": np.cumsum([len(p) for p in pairs]).tolist(), "names": names,
-                           "source": [i for p in pairs for i, _ in p], "tfs": [n for p in pairs for _, n in p]}
-
-
-def index_runs(docs: DataFrame, text: str, lang: str, source: str, shards: int, entries: int = 0) -> DataFrame:
+        """Chunks of the term-sorted run: shard by shard, lang by lang."""
+        if not self.terms:
+            return
+        words = sorted(self.number)
+        rank = np.empty(len(words), np.int64)
+        rank[[self.number[w] for w in words]] = np.arange(len(words))
+        # one posting per document and term
+        docs = np.repeat(np.arange(len(self.sizes)), np.frombuffer(self.sizes, np.int64))
+        keys, tfs = np.unique(docs * len(words) + rank[np.frombuffer(self.terms, np.int32)], return_counts=True)
+        docs, term = np.divmod(keys, len(words))
+        langs, lang_of = np.unique([g[0] for g in self.groups], return_inverse=True)
+        sources, source_of = np.unique([g[1] for g in self.groups], return_inverse=True)
+        owner = np.frombuffer(self.owners, np.int32)[docs]
+        lang, source = lang_of[owner], source_of[owner]
+        shard = np.array([crc32(w) % shards for w in words])[term]
+        order = np.lexsort((source, term, lang, shard))
+        shard, lang, term, source, tfs = (x[order] for x in (shard, lang, term, source, tfs))
+        # postings of a term in a lang are one entry, those of a source too
+        entry = np.flatnonzero(_changes(shard, lang, term))
+        cell = np.flatnonzero(_changes(shard, lang, term, source))
+        dfs = np.diff(np.append(entry, len(term)))
+        sums = np.add.reduceat(tfs, cell)
+        bounds = np.append(np.searchsorted(cell, entry), len(cell))
+        heads = np.flatnonzero(_changes(shard[entry], lang[entry]))
+        for low, end in zip(heads, np.append(heads[1:], len(entry))):
+            for at in range(low, end, CHUNK):
+                to = min(at + CHUNK, end)
+                part = [words[i] for i in term[entry[at:to]].tolist()]
+                names, which = np.unique(source[cell[bounds[at]:bounds[to]]], return_inverse=True)
+                yield {"shard": shard[entry[at]], "lang": str(langs[lang[entry[at]]]), "first": part[0], "terms": part,
+                       "dfs": dfs[at:to], "ends": bounds[at + 1:to + 1] - bounds[at],
+                       "names": [str(x) for x in sources[names]], "source": which, "tfs": sums[bounds[at]:bounds[to]]}
+
+
+def _changes(*columns) -> np.ndarray:
+    """Whether any column differs from the row before; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def index_runs(docs: DataFrame, text: str, lang: str, source: str, shards: int) -> DataFrame:
     """Term-sorted runs of all documents, in chunks dealt to ``shards``."""
-    most, schema = entries or RUN_ENTRIES, arrow_schema(_RUNS)
+    most, schema = RUN_POSTINGS, arrow_schema(_RUNS)
 
     def run(batches):
         split, block = term_splitter(APART), Block()
@@ -97,7 +124,7 @@ def index_runs(docs: DataFrame, text: str, lang: str, source: str, shards: int,
                 for where, origin, raw in zip(*(part.column(i).to_pylist() for i in range(3))):
                     if terms := split(raw):
                         block.add(where, origin, terms)
-                        if block.entries >= most:
+                        if len(block.terms) >= most:
                             for chunk in block.run(shards):
                                 yield record_batch(schema, [chunk])
                             block = Block()
@@ -109,29 +136,34 @@ def index_runs(docs: DataFrame, text: str, lang: str, source: str, shards: int,
     return given.mapInArrow(run, _RUNS)
 
 
-def merge(chunks):
-    """(lang, term, documents, {source: occurrences}) of chunks sorted by shard,
-    lang and first term; a chunk is opened when its first term is reached."""
+def merge(chunks, min_docs: int):
+    """(lang, term, {source: occurrences}) of the terms in at least ``min_docs``
+    documents, from chunks sorted by shard, lang and first term; a chunk is
+    opened when its first term is reached."""
     heap, number = [], count()
     ahead = next(chunks, None)
     here = None
     while heap or ahead:
         if not heap:
             here = ahead["shard"], ahead["lang"]
-        while ahead and (ahead["shard"], ahead["lang"]) == here and (not heap or ahead["first"] <= heap[0][0]):
+        while ahead and (not heap or ahead["first"] <= heap[0][0]) and (ahead["shard"], ahead["lang"]) == here:
             heapq.heappush(heap, (ahead["first"], next(number), 0, ahead))
             ahead = next(chunks, None)
-        term, documents, found = heap[0][0], 0, defaultdict(int)
+        term, documents, met = heap[0][0], 0, []
         while heap and heap[0][0] == term:
             _, run, i, chunk = heap[0]
             documents += chunk["dfs"][i]
-            for j in range(chunk["ends"][i - 1] if i else 0, chunk["ends"][i]):
-                found[chunk["names"][chunk["source"][j]]] += chunk["tfs"][j]
+            met.append((chunk, i))
             if i + 1 < len(chunk["terms"]):
                 heapq.heapreplace(heap, (chunk["terms"][i + 1], run, i + 1, chunk))
             else:
                 heapq.heappop(heap)
-        yield here[1], term, documents, found
+        if documents >= min_docs:
+            found = defaultdict(int)
+            for chunk, i in met:
+                for j in range(chunk["ends"][i - 1] if i else 0, chunk["ends"][i]):
+                    found[chunk["names"][chunk["source"][j]]] += chunk["tfs"][j]
+            yield here[1], term, found
 
 
 def frequencies(runs: DataFrame, shards: int, min_docs: int) -> DataFrame:
@@ -142,14 +174,13 @@ def frequencies(runs: DataFrame, shards: int, min_docs: int) -> DataFrame:
         rows = []
         chunks = (r for batch in batches for at in range(0, batch.num_rows, 64)
                   for r in batch.slice(at, 64).to_pylist())
-        for lang, term, documents, found in merge(chunks):
-            if documents >= min_docs:
-                names = sorted(found)
-                rows.append({"lang": lang, "term": term.decode(), "total": sum(found.values()), "sources": names,
-                             "counts": [found[s] for s in names]})
-                if len(rows) == 4096:
-                    yield record_batch(schema, rows)
-                    rows = []
+        for lang, term, found in merge(chunks, min_docs):
+            names = sorted(found)
+            rows.append({"lang": lang, "term": term.decode(), "total": sum(found.values()), "sources": names,
+                         "counts": [found[s] for s in names]})
+            if len(rows) == 4096:
+                yield record_batch(schema, rows)
+                rows = []
         if rows:
             yield record_batch(schema, rows)
 
@@ -182,13 +213,17 @@ def corrections(owner: np.ndarray, place: np.ndarray, counts: np.ndarray, n_term
     p[owner, place] = own
     held = np.zeros((n_terms, n), bool)
     held[owner, place] = True
+    order = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[order], np.arange(n + 1))
     step = max(1, BLOCK_CELLS // n)
-    for at in range(0, len(owner), step):
-        t, g, v = owner[at:at + step], place[at:at + step], own[at:at + step, None]
-        np.add.at(out, g, _value(v, p[t]) - both[g])
-        rest = _value(lacking[None, :], v) - both[:, g].T
-        rest[held[t]] = 0
-        np.add.at(out.T, g, rest)
+    for g in np.flatnonzero(np.diff(bounds)):
+        for at in range(bounds[g], bounds[g + 1], step):
+            part = order[at:min(at + step, bounds[g + 1])]
+            t, v = owner[part], own[part, None]
+            out[g] += (_value(v, p[t]) - both[g]).sum(axis=0)
+            rest = _value(lacking[None, :], v) - both[:, g]
+            rest[held[t]] = 0
+            out[:, g] += rest.sum(axis=0)
     return out
 
 
@@ -229,7 +264,9 @@ def _pair_corrections(table: DataFrame, langs: dict) -> DataFrame:
 
 
 def _p(count: str, size: str) -> str:
-    return f"1 + cast({ONE} as decimal(10,0)) * cast({count} + 1 as decimal(20,0)) div cast({size} as decimal(20,0))"
+    """The probability in SQL; beyond 64 bits the product is a decimal."""
+    wide = f"cast({ONE} as decimal(10,0)) * cast({count} + 1 as decimal(20,0)) div cast({size} as decimal(20,0))"
+    return f"1 + case when {count} < 9000000000 then {ONE}L * ({count} + 1) div ({size}) else {wide} end"
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 3,

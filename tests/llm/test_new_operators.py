@@ -158,8 +158,8 @@ def audit_by_hand(rows, min_docs, top):
 def test_audit_equals_brute_force(docs, rows, monkeypatch):
     want = audit_by_hand(rows, 3, 5)
     cols = ["lang", "source", "part", "item", "value", "rank"]
-    for entries, chunk, cells in ((500_000, 512, 1 << 20), (20, 3, 4)):
-        monkeypatch.setattr(divergence, "RUN_ENTRIES", entries)
+    for postings, chunk, cells in ((4_000_000, 512, 1 << 20), (20, 3, 4)):
+        monkeypatch.setattr(divergence, "RUN_POSTINGS", postings)
         monkeypatch.setattr(divergence, "CHUNK", chunk)
         monkeypatch.setattr(divergence, "BLOCK_CELLS", cells)
         got = divergence.audit(docs, min_docs=3, top=5).select(cols).collect()
