@@ -1,107 +1,327 @@
-"""Exact k-nearest-neighbour search without a cross join.
-
-Both sides carry a *blocking value* ``b`` with ``|b_q - b_d| <= dist(q, d)``
-(a coordinate that is present everywhere, or a unit-norm projection).  Donors
-are bucketed by ``floor(b / W)``; each round joins the still-open queries with
-the donors of buckets ``[bucket - R, bucket + R]`` (an equi-join on the bucket,
-never all pairs), keeps the k best by ``row_number() <= k`` (WindowGroupLimit)
-and closes every query whose k-th distance is <= R*W -- by the Lipschitz bound
-no donor outside the band can be closer.  Open queries get a wider band next
-round.  The result is exact; the work is proportional to the donors that
-actually lie near each query.
-"""
+"""Exact k-nearest-neighbour search through an index of blocks.
 
-from __future__ import annotations
+Distances are Euclidean over the coordinates that both rows have, scaled by
+``total / shared`` (a plain Euclidean distance where nothing is missing).
+
+1. Rows that agree in every coordinate share their distances, so only the ``k``
+   smallest ids of each vector stay, and each distinct query is searched once:
+   a value held by a third of the rows is as cheap as any other.
+2. Every donor goes to its nearest pivot (a bounded sample of the donors).  A
+   range partitioning by (group, missing pattern, pivot, radius) deals the
+   donors out, also within a large cell, and packs them into blocks of at most
+   :data:`BLOCK_ROWS` rows.  A block knows its bounding box and its range of
+   radii around the pivot.
+3. A lower bound of the distance to a block: the scaled distance to its box
+   over the shared coordinates, and, where nothing is missing on either side,
+   the triangle inequality at the pivot.  Each query first visits the block
+   with the smallest bound; its k-th distance there limits the blocks it still
+   has to visit.  Both rounds together see every possible neighbour.
+4. A visit is a co-group of one block with at most about :data:`QUERY_CHUNK` of
+   its queries: one matrix product finds the candidates, whose distances are
+   then summed coordinate by coordinate.
+
+Block bounds go through the driver in pages of at most :data:`PAGE_BYTES`."""
 
-import math
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage, ship_package
+
+BLOCK_ROWS, QUERY_CHUNK = 512, 4096
+MAX_PIVOTS, PAGE_BYTES = 1024, 32 << 20
+#: Allowance for rounding in bounds, relative to the lengths involved.
+SLACK = 1e-9
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    """Rows of a list column as a matrix; a missing coordinate is NaN."""
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _lists(matrix: np.ndarray):
+    import pyarrow as pa
+
+    n, dim = matrix.shape
+    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * dim, dim, dtype=np.int32), pa.array(matrix.ravel()))
+
+
+def _patterns(matrix: np.ndarray) -> list[str]:
+    """Which coordinates each row has, as text of 0 and 1."""
+    known = np.where(np.isnan(matrix), ord("0"), ord("1")).astype(np.uint8)
+    return [r.tobytes().decode() for r in known]
+
+
+class Bounds:
+    """Lower bounds of the distances from queries to a page of blocks."""
+
+    def __init__(self, rows: list, pivots: np.ndarray, total: float):
+        self.ids = np.array([r["block"] for r in rows], np.int64)
+        self.groups = np.array([r["grp"] for r in rows], object)
+        self.low, self.high = (np.array([r[c] for r in rows], np.float64) for c in ("lo", "hi"))
+        self.known = ~np.isnan(self.low)
+        self.full = self.known.all(axis=1)
+        self.cell = np.array([r["cell"] for r in rows], np.int64)
+        self.inner, self.outer = (np.array([r[c] for r in rows], np.float64) for c in ("inner", "outer"))
+        self.pivots, self.total = pivots, total
+        self.length = float(np.linalg.norm(pivots, axis=1).max(initial=0.0))
+
+    def of(self, queries: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        n = len(queries)
+        box, shared = np.zeros((n, len(self.ids))), np.zeros((n, len(self.ids)))
+        for j in range(queries.shape[1]):
+            q = queries[:, j, None]
+            both = ~np.isnan(q) & self.known[None, :, j]
+            gap = np.maximum(np.maximum(self.low[None, :, j] - q, q - self.high[None, :, j]), 0.0)
+            box += np.where(both, gap * gap, 0.0)
+            shared += both
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = np.where(shared > 0, np.sqrt(self.total / shared * box), np.inf)
+        whole = ~np.isnan(queries).any(axis=1)
+        if whole.any() and self.full.any():
+            to_pivot = np.linalg.norm(queries[whole][:, None, :] - self.pivots[None, :, :], axis=2)[:, self.cell]
+            ring = np.maximum(np.maximum(self.inner - to_pivot, to_pivot - self.outer), 0.0)
+            ring *= np.sqrt(self.total / queries.shape[1])
+            bound[whole] = np.where(self.full, np.maximum(bound[whole], ring), bound[whole])
+        slack = SLACK * (np.sqrt(np.nansum(queries * queries, axis=1)) + self.length)
+        bound = np.maximum(bound * (1 - SLACK) - slack[:, None], 0.0)
+        bound[groups[:, None] != self.groups[None, :]] = np.inf
+        return bound
+
+
+def _assign(donors: DataFrame, pivots: np.ndarray, fill: np.ndarray, dim: int) -> DataFrame:
+    """Pattern, nearest pivot and radius of every donor."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                m = _matrix(part.column("vec"), dim)
+                whole = np.where(np.isnan(m), fill, m)
+                cell = np.empty(len(m), np.int64)
+                square = (pivots * pivots).sum(axis=1)
+                cell[:] = (square[None, :] - 2.0 * whole @ pivots.T).argmin(axis=1)
+                radius = np.sqrt(((whole - pivots[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("grp"), part.column("did"), part.column("vec"), pa.array(_patterns(m), pa.string()),
+                     pa.array(cell), pa.array(radius)], ["grp", "did", "vec", "pat", "cell", "radius"])
+
+    out = T.StructType(donors.schema.fields + T.StructType.fromDDL("pat string, cell long, radius double").fields)
+    return donors.select(*[f.name for f in donors.schema.fields]).mapInArrow(run, out)
 
-from ..session import cut_lineage
 
+def _pack(assigned: DataFrame, dim: int, rows: int) -> DataFrame:
+    """Blocks of at most ``rows`` donors of one group, pattern and pivot."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def knn_join(queries: DataFrame, donors: DataFrame, qid: str, did: str, block_q: str, block_d: str,
-             dist_fn, k: int, per_bucket: int = 16,
-             same_group: tuple | None = None) -> DataFrame:
-    """Return (qid, did, dist, rn) for the k nearest donors of every query.
+    did = assigned.schema["did"].dataType
+    out = T.StructType(T.StructType.fromDDL(
+        "block long, grp string, pat string, cell long, inner double, outer double, lo array<double>, hi array<double>"
+    ).fields + [T.StructField("ids", T.ArrayType(did)), T.StructField("vecs", T.ArrayType(T.DoubleType()))])
+    schema = to_arrow_schema(out)
 
-    ``queries`` must hold ``qid`` and ``block_q``; ``donors`` ``did`` and
-    ``block_d``; ``dist_fn()`` returns a Column over the joined row (query
-    columns and donor columns must not collide).  Ties break by donor id.
-    ``same_group=(q_col, d_col)`` restricts donors to the query's group."""
-    st = donors.agg(F.count(F.lit(1)).alias("n"), F.min(block_d).alias("lo"), F.max(block_d).alias("hi")).collect()[0]
-    n, lo, hi = st["n"], st["lo"], st["hi"]
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            key = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "pat", "cell"))))
+            cuts = [i for i in range(batch.num_rows) if i == 0 or key[i] != key[i - 1]] + [batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                for at in range(begin, end, rows):
+                    part = batch.slice(at, min(rows, end - at))
+                    m = _matrix(part.column("vec"), dim)
+                    radius = part.column("radius").to_numpy()
+                    grp, pat, cell = key[at]
+                    # a block has one pattern: a coordinate is missing in all its rows or in none
+                    yield pa.RecordBatch.from_pylist(
+                        [{"block": number, "grp": grp, "pat": pat, "cell": cell, "inner": radius.min(),
+                          "outer": radius.max(), "lo": m.min(axis=0), "hi": m.max(axis=0),
+                          "ids": part.column("did").to_pylist(), "vecs": m.ravel()}], schema)
+                    number += 1
+
+    order = ["grp", "pat", "cell", "radius"]
+    return assigned.repartitionByRange(*order).sortWithinPartitions(*order, "did").mapInArrow(run, out)
+
+
+def _pages(blocks: DataFrame, dim: int):
+    """Bounds of the blocks, in lists of at most PAGE_BYTES."""
+    rows = blocks.select("block", "grp", "cell", "inner", "outer", "lo", "hi")
+    most, page = max(1, PAGE_BYTES // (16 * dim + 64)), []
+    for row in rows.collect() if rows.count() <= most else rows.toLocalIterator():
+        page.append(row)
+        if len(page) == most:
+            yield page
+            page = []
+    if page:
+        yield page
+
+
+def _plan(queries: DataFrame, bounds: Bounds, dim: int, first: bool) -> DataFrame:
+    """(queries' columns, block, bound): the block of the smallest bound, or all
+    whose bound is not above ``reach`` but ``seen``."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                groups = np.array(part.column("grp").to_pylist(), object)
+                found = bounds.of(_matrix(part.column("vec"), dim), groups)
+                if first:
+                    best = found.argmin(axis=1)
+                    rows = np.flatnonzero(np.isfinite(found[np.arange(len(best)), best]))
+                    cols = best[rows]
+                else:
+                    reach = part.column("reach").to_numpy()
+                    seen = part.column("seen").to_numpy()
+                    rows, cols = np.nonzero(np.isfinite(found) & (found <= reach[:, None]) &
+                                            (bounds.ids[None, :] != seen[:, None]))
+                taken = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(bounds.ids[cols]), pa.array(found[rows, cols])],
+                    [*part.schema.names, "block", "bound"])
+
+    out = T.StructType(queries.schema.fields + T.StructType.fromDDL("block long, bound double").fields)
+    return queries.mapInArrow(run, out)
+
+
+def _closest(queries: np.ndarray, donors: np.ndarray, k: int):
+    """(query rows, donor rows) that hold the k nearest of every query, by one
+    matrix product with room for its rounding."""
+    has_q, has_d = ~np.isnan(queries), ~np.isnan(donors)
+    q, d = np.where(has_q, queries, 0.0), np.where(has_d, donors, 0.0)
+    near = (q * q) @ has_d.T + has_q @ (d * d).T - 2.0 * q @ d.T
+    if near.shape[1] > k:
+        last = np.partition(near, k - 1, axis=1)[:, k - 1]
+    else:
+        last = np.full(len(q), np.inf)
+    room = SLACK * ((q * q).sum(axis=1) + (d * d).sum(axis=1).max())
+    return np.nonzero(near <= (last + room)[:, None])
+
+
+def _visit(pairs: DataFrame, blocks: DataFrame, k: int, dim: int, total: float) -> DataFrame:
+    """The k nearest donors of each (query, block) pair: (qid, did, dist, block)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    pairs = cut_lineage(pairs.select("qid", "vec", "block"))
+    load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_CHUNK)).cast("long").alias("chunks"))
+    load = cut_lineage(load)
+    left = pairs.join(load, "block").withColumn("chunk", F.pmod(F.xxhash64("qid"), "chunks")).drop("chunks")
+    right = blocks.join(load, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                                               F.col("chunks") - 1)))
+    right = right.select("block", "chunk", "ids", "vecs")
+    out = T.StructType([pairs.schema["qid"], T.StructField("did", blocks.schema["ids"].dataType.elementType),
+                        T.StructField("dist", T.DoubleType()), T.StructField("block", T.LongType())])
+    schema = to_arrow_schema(out)
+
+    def run(queries, block):
+        if not queries.num_rows or not block.num_rows:
+            return schema.empty_table()
+        q = _matrix(queries.column("vec"), dim)
+        d = _matrix(block.column("vecs"), dim)
+        ids = block.column("ids").combine_chunks().flatten()
+        rows, cols = [], []
+        for at in range(0, len(q), 256):
+            r, c = _closest(q[at:at + 256], d, k)
+            rows.append(r + at)
+            cols.append(c)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        square, shared = np.zeros(len(rows)), np.zeros(len(rows))
+        for j in range(dim):  # in coordinate order, as a plain sum would
+            gap = q[rows, j] - d[cols, j]
+            known = ~np.isnan(gap)
+            square += np.where(known, gap * gap, 0.0)
+            shared += known
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.sqrt(total / shared * square)
+        tie = np.argsort(np.array(ids.to_pylist()), kind="stable").argsort(kind="stable")[cols]
+        order = np.lexsort((tie, dist, rows))
+        order = order[shared[order] > 0]
+        starts = np.searchsorted(rows[order], rows[order], side="left")
+        order = order[np.arange(len(order)) - starts < k]
+        return pa.Table.from_arrays(
+            [queries.column("qid").take(pa.array(rows[order])), ids.take(pa.array(cols[order])), pa.array(dist[order]),
+             pa.array(np.full(len(order), block.column("block")[0].as_py()))], schema=schema)
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, out)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy("dist", "did")
+    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+
+
+def nearest(queries: DataFrame, donors: DataFrame, k: int, dim: int, total: float | None = None,
+            same_group: bool = False, other_rows: bool = False, stats: dict | None = None) -> DataFrame:
+    """(qid, did, dist, rn): the ``k`` nearest donors of every query, equal
+    distances by donor id.
+
+    ``queries`` has qid and vec (``dim`` doubles, null where missing), ``donors``
+    did and vec, both a text column grp under ``same_group`` (donors of the
+    query's group only).  ``total`` counts the coordinates of the distance's
+    scale (default ``dim``); ``other_rows`` leaves out the donor with the query's
+    own id.  A query that shares no coordinate with a donor does not see it.
+    ``stats`` receives the blocks and the (query, block) pairs visited."""
     spark = queries.sparkSession
-    if not n:
-        return spark.createDataFrame([], f"{qid} long, {did} long, dist double, rn int")
-    span = (hi - lo) if hi > lo else 1.0
-    width = max(span * per_bucket * max(k, 1) / n, span * 1e-12, 1e-300)
-    d = donors.withColumn("__bkt", F.floor((F.col(block_d) - F.lit(lo)) / F.lit(width)).cast("long"))
-    q = queries.withColumn("__qb", F.floor((F.col(block_q) - F.lit(lo)) / F.lit(width)).cast("long"))
-    n_buckets = int(span / width) + 2
-    open_q = q.withColumn("__R", F.lit(1).cast("long"))
-    done = None
-    while True:  # the band doubles, so it spans every bucket after finitely many rounds
-        expl = open_q.withColumn("__bkt", F.explode(F.sequence(F.col("__qb") - F.col("__R"), F.col("__qb") + F.col("__R"))))
-        cond = ["__bkt"]
-        j = expl.join(d, cond)
-        if same_group:
-            j = j.where(F.col(same_group[0]) == F.col(same_group[1]))
-        j = j.withColumn("dist", dist_fn()).where(F.col("dist").isNotNull() & ~F.isnan("dist"))
-        w = Window.partitionBy(qid).orderBy(F.col("dist"), F.col(did))
-        best = j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(qid, did, "dist", "rn", "__R")
-        # each round's plan would otherwise embed the previous one several times
-        best = cut_lineage(best)
-        stat = best.groupBy(qid).agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("dk"), F.first("__R").alias("R"))
-        need = F.lit(k)
-        resolved = stat.where((F.col("c") >= need) & (F.col("dk") <= F.col("R") * F.lit(width)))
-        good = best.join(resolved.select(qid), qid, "left_semi").select(qid, did, "dist", "rn")
-        done = good if done is None else cut_lineage(done.unionByName(good))
-        # open queries: no donor in band, fewer than k, or k-th distance beyond the band
-        nxt = (open_q.join(resolved.select(qid), qid, "left_anti")
-               .join(stat.select(qid, "dk"), qid, "left")
-               .withColumn("__R", F.greatest(F.col("__R") * 2,
-                                             F.coalesce(F.ceil(F.col("dk") / F.lit(width)).cast("long"), F.lit(0))))
-               .drop("dk"))
-        nxt = cut_lineage(nxt)
-        if nxt.count() == 0:
-            break
-        # once the band spans every bucket, whatever is found is final
-        if nxt.agg(F.min("__R")).collect()[0][0] > n_buckets:
-            expl = nxt.withColumn("__bkt", F.explode(F.sequence(F.col("__qb") - F.col("__R"), F.col("__qb") + F.col("__R"))))
-            j = expl.join(d, ["__bkt"])
-            if same_group:
-                j = j.where(F.col(same_group[0]) == F.col(same_group[1]))
-            j = j.withColumn("dist", dist_fn()).where(F.col("dist").isNotNull() & ~F.isnan("dist"))
-            last = j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(qid, did, "dist", "rn")
-            done = done.unionByName(last)
-            break
-        open_q = nxt
-    return done
-
-
-def array_euclidean(a: str, b: str) -> Column:
-    """Euclidean distance of two equal-length double arrays as one
-    higher-order expression (keeps plans small for wide vectors)."""
-    sq = F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-    return F.sqrt(sq)
-
-
-def array_projection(a: str, dim: int) -> Column:
-    """Unit-norm projection sum(x)/sqrt(dim): |proj(x) - proj(y)| <= |x - y|."""
-    return F.aggregate(F.col(a), F.lit(0.0), lambda acc, v: acc + v) / F.lit(math.sqrt(dim))
-
-
-def nan_euclidean(q_cols: list[str], d_cols: list[str]) -> Column:
-    """scikit-learn's nan_euclidean distance: sqrt(total/present * sum of
-    squared differences over coordinates present on both sides); NULL when
-    no coordinate is shared."""
-    total = len(q_cols)
-    present = sum(((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("int") for a, b in zip(q_cols, d_cols)), F.lit(0))
-    sq = sum((F.coalesce((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)), F.lit(0.0)) for a, b in zip(q_cols, d_cols)),
-             F.lit(0.0))
-    return F.when(present > 0, F.sqrt(F.lit(float(total)) / present * sq))
+    ship_package(spark)
+    want, total = k + 1 if other_rows else k, float(total or dim)
+    grp = F.col("grp").cast("string") if same_group else F.lit("")
+    known = F.exists("vec", lambda x: x.isNotNull())
+    donors = donors.where(known).select(F.coalesce(grp, F.lit("")).alias("grp"), "did", "vec")
+    asked = queries.where(known).select(F.coalesce(grp, F.lit("")).alias("grp"), "qid", "vec")
+    smallest = Window.partitionBy("grp", "vec").orderBy("did")
+    donors = cut_lineage(donors.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= want).drop("rn"))
+    reps = cut_lineage(asked.groupBy("grp", "vec").agg(F.min("qid").alias("qid")))
+    n = donors.count()
+    n_pivots = min(MAX_PIVOTS, max(1, n // BLOCK_ROWS))
+    sample = donors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()  # at most MAX_PIVOTS rows
+    pivots = np.array([[np.nan if x is None else x for x in r["vec"]] for r in sample]).reshape(-1, dim)
+    counted = np.maximum((~np.isnan(pivots)).sum(axis=0), 1)
+    fill = np.nansum(pivots, axis=0) / counted
+    pivots = np.where(np.isnan(pivots), fill, pivots)
+    blocks = cut_lineage(_pack(_assign(donors, pivots, fill, dim), dim, BLOCK_ROWS)) if n else None
+    if blocks is None:
+        return queries.select("qid").limit(0).crossJoin(donors.select("did").limit(0)) \
+            .withColumn("dist", F.lit(0.0)).withColumn("rn", F.lit(1))
+    pages = lambda: (Bounds(p, pivots, total) for p in _pages(blocks, dim))
+    plans = [_plan(reps, b, dim, True) for b in pages()]
+    start = _union(plans)
+    if len(plans) > 1:
+        start = start.groupBy("grp", "vec", "qid").agg(F.min_by("block", "bound").alias("block"))
+    start = cut_lineage(start.select("grp", "vec", "qid", "block"))
+    near = cut_lineage(_best(_visit(start, blocks, want, dim, total), want))
+    reach = near.groupBy("qid").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("d"))
+    rest = start.join(reach, "qid", "left").select(
+        "grp", "vec", "qid", F.col("block").alias("seen"),
+        F.when(F.col("c") >= want, F.col("d")).otherwise(F.lit(float("inf"))).alias("reach"))
+    rest = cut_lineage(rest)
+    later = cut_lineage(_union([_plan(rest, b, dim, False).select("qid", "vec", "block") for b in pages()]))
+    if stats is not None:
+        stats |= {"queries": reps.count(), "blocks": blocks.count(), "pairs": start.count() + later.count()}
+    found = _best(near.drop("rn").unionByName(_visit(later, blocks, want, dim, total)), want)
+    of = asked.join(reps.select("grp", "vec", F.col("qid").alias("rep")), ["grp", "vec"]).select("qid", "rep")
+    out = of.join(found.select(F.col("qid").alias("rep"), "did", "dist", "rn"), "rep").drop("rep")
+    if other_rows:
+        out = _best(out.where(F.col("qid") != F.col("did")).drop("rn"), k)
+    return out.select("qid", "did", "dist", "rn")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def knn_impute(df: DataFrame, col: str, key: str, features: list[str] | None = None, k: int = 5,
@@ -109,7 +329,8 @@ def knn_impute(df: DataFrame, col: str, key: str, features: list[str] | None = N
     """Fill NULLs of ``col`` with the mean of its k nearest donors under
     the nan-euclidean distance over all numeric ``features`` (k = min(5,
     rows-1)); a row sharing no coordinate with any donor gets the column
-    mean.  ``key`` identifies rows (ties broken by donor key)."""
+    mean.  ``key`` identifies rows (ties broken by donor key).  Any feature may
+    have NULLs; a column that is NULL everywhere is left as it is."""
     from .columns import is_measure, num
 
     feats = features or [c for c in df.columns if is_measure(df.schema[c].dataType)]
@@ -117,29 +338,19 @@ def knn_impute(df: DataFrame, col: str, key: str, features: list[str] | None = N
     if col not in feats or len(feats) < 2:
         info["skipped"] = True
         return df, info
-    aggs = [F.count(F.lit(1)).alias("__n"), F.count_if(F.col(col).isNull()).alias("__m"), F.avg(num(col)).alias("__mean")]
-    aggs += [F.count_if(F.col(c).isNull()).alias(f"nul_{c}") for c in feats]
-    aggs += [F.count_distinct(F.col(c)).alias(f"nd_{c}") for c in feats if c != col]
-    st = df.agg(*aggs).collect()[0]
-    if not st["__m"]:
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(num(col).isNull()).alias("m"), F.avg(num(col)).alias("mean")).first()
+    if not st["m"] or st["m"] == st["n"]:
         return df, info
-    k = max(1, min(k, st["__n"] - 1))
+    k = max(1, min(k, st["n"] - 1))
     info["k"] = k
-    full = [c for c in feats if c != col and st[f"nul_{c}"] == 0]
-    if not full:
-        raise ValueError("knn_impute needs one numeric feature without NULLs to block the search on")
-    block = max(full, key=lambda c: st[f"nd_{c}"])
-    qcols = [f"q_{c}" for c in feats]
-    dcols = [f"d_{c}" for c in feats]
-    base = df.select(F.col(key).alias("__id"), *[num(c).alias(c) for c in feats])
-    queries = base.where(F.col(col).isNull()).select(F.col("__id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in feats])
-    donors = base.where(F.col(col).isNotNull()).select(F.col("__id").alias("did"), *[F.col(c).alias(f"d_{c}") for c in feats])
-    nn = knn_join(queries, donors, "qid", "did", f"q_{block}", f"d_{block}",
-                  lambda: nan_euclidean(qcols, dcols), k)
-    fill = (nn.join(donors.select("did", F.col(f"d_{col}").alias("__v")), "did")
-            .groupBy("qid").agg(F.avg("__v").alias("__fill")))
-    out = (df.join(fill.withColumnRenamed("qid", key), key, "left")
-           .withColumn(col, F.coalesce(num(col), F.col("__fill"), F.lit(st["__mean"])))
+    others = [c for c in feats if c != col]  # a query lacks ``col``, so no distance uses it
+    base = df.select(F.col(key).alias("id"), num(col).alias("v"), F.array(*[num(c) for c in others]).alias("vec"))
+    donors = base.where(F.col("v").isNotNull())
+    found = nearest(base.where(F.col("v").isNull()).select(F.col("id").alias("qid"), "vec"),
+                    donors.select(F.col("id").alias("did"), "vec"), k, len(others), total=len(feats))
+    fill = (found.join(donors.select(F.col("id").alias("did"), "v"), "did")
+            .groupBy(F.col("qid").alias(key)).agg(F.avg("v").alias("__fill")))
+    out = (df.join(fill, key, "left").withColumn(col, F.coalesce(num(col), F.col("__fill"), F.lit(st["mean"])))
            .drop("__fill").select(*df.columns))
-    info["filled"] = st["__m"]
+    info["filled"] = st["m"]
     return out, info

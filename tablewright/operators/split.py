@@ -185,11 +185,11 @@ def class_weights(df: DataFrame, y: str, boosted_binary: bool = False) -> DataFr
 def smote(df: DataFrame, y: str, features: list[str], key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Raise every class to the majority count with synthetic rows
     x + u * (neighbour - x), the neighbour drawn among the k nearest rows of
-    the same class (exact blocked kNN, no all-pairs join).  Synthetic rows
+    the same class (exact, by the block index).  Synthetic rows
     have ``synthetic`` = true and a repeatable ``key`` of their own, so that folds
     hold them too: a text key is ``id#copy``, a number is negative, from a 63-bit
     hash of id and copy (other key types are refused)."""
-    from ..functions.neighbors import knn_join
+    from ..functions.neighbors import nearest
 
     key_type = df.schema[key].dataType
     if not isinstance(key_type, (T.StringType, T.LongType, T.IntegerType)):
@@ -203,16 +203,11 @@ def smote(df: DataFrame, y: str, features: list[str], key: str, k: int = 5, seed
     small = [c for c, n in counts.items() if c in need and n <= k]
     if small:
         raise ValueError(f"classes {small} have too few rows for k={k} neighbours")
-    from ..functions.neighbors import array_euclidean, array_projection
-
-    dim = len(features)
     rows = df.where(F.col(y).cast("string").isin(list(need))).select(
         F.col(key).alias("__id"), F.col(y).cast("string").alias("__cls"), *[F.col(f).cast("double").alias(f) for f in features])
-    vec = F.array(*[F.col(f) for f in features])
-    q = rows.select(F.col("__id").alias("qid"), F.col("__cls").alias("qcls"), vec.alias("qv")).withColumn("qp", array_projection("qv", dim))
-    d = rows.select(F.col("__id").alias("did"), F.col("__cls").alias("dcls"), vec.alias("dv")).withColumn("dp", array_projection("dv", dim))
-    dist = lambda: F.when(F.col("qid") != F.col("did"), array_euclidean("qv", "dv"))
-    nn = knn_join(q, d, "qid", "did", "qp", "dp", dist, k, same_group=("qcls", "dcls"))
+    points = rows.select("__id", F.col("__cls").alias("grp"), F.array(*features).alias("vec"))
+    nn = nearest(points.withColumnRenamed("__id", "qid"), points.withColumnRenamed("__id", "did"), k, len(features),
+                 same_group=True, other_rows=True)
     # copies per base row: floor(need/n) for all + 1 for the (need % n) smallest hashes
     marked = smallest_by_hash(rows, ["__id"], seed, {c: need[c] % counts[c] for c in need}, "__cls")
     per = F.create_map(*[x for c in need for x in (F.lit(c), F.lit(need[c] // counts[c]))])

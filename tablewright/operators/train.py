@@ -74,14 +74,11 @@ class KnnClassifierModel(Model):
         self.train, self.features, self.k, self.id_col = train, features, k, id_col
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        from ..functions.neighbors import array_euclidean, array_projection, knn_join
-
-        d = len(self.features)
-        vec = F.array(*[F.col(f).cast("double") for f in self.features])
-        q = df.select(F.col(self.id_col).alias("qid"), vec.alias("qv")).withColumn("qp", array_projection("qv", d))
-        t = self.train.select(F.col(self.id_col).alias("did"), F.col("label").alias("dlabel"), vec.alias("dv")) \
-            .withColumn("dp", array_projection("dv", d))
-        nn = knn_join(q, t.drop("dlabel"), "qid", "did", "qp", "dp", lambda: array_euclidean("qv", "dv"), self.k)
+        from ..functions.neighbors import nearest
+
+        vec = F.array(*[F.col(f).cast("double") for f in self.features]).alias("vec")
+        t = self.train.select(F.col(self.id_col).alias("did"), F.col("label").alias("dlabel"), vec)
+        nn = nearest(df.select(F.col(self.id_col).alias("qid"), vec), t.drop("dlabel"), self.k, len(self.features))
         votes = (nn.join(t.select("did", "dlabel"), "did").groupBy("qid", "dlabel").agg(F.count(F.lit(1)).alias("v")))
         best = votes.groupBy("qid").agg(F.min_by("dlabel", F.struct((-F.col("v")).alias("a"), F.col("dlabel").alias("b"))).alias("prediction"))
         return df.join(best.withColumnRenamed("qid", self.id_col), self.id_col, "left")

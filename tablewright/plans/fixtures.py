@@ -40,6 +40,10 @@ select p_partkey, case when p_partkey % 40 = 0 then concat(p_brand, 'x') when p_
 select event_id, user_id, ts, case when event_id % 4 = 0 then null else value end as value from {events}""",
     "part_gaps": """
 select p_partkey, cast(p_size as double) as p_size, case when p_partkey % 20 = 0 then null else p_retailprice end as p_retailprice from {part}""",
+    "part_holes": """
+select p_partkey, case when p_partkey % 13 = 0 then null else cast(p_size as double) end as p_size,
+ case when p_partkey % 20 = 0 then null else p_retailprice end as p_retailprice,
+ case when p_partkey % 9 = 0 then null else cast(p_partkey % 100 as double) end as code from {part}""",
     "scored": """
 select d.doc_id, l.quality as y, case when d.n_chars > 800 then 1 else 0 end as pred,
  round(cast(d.n_chars as double) / (d.n_chars + 1000), 6) as score from {documents} d join {labels} l on d.doc_id = l.doc_id""",

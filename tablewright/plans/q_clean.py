@@ -88,6 +88,26 @@ def q_knn_impute(spark, sf):
     return _round_doubles(knn_impute(view(spark, sf, "part_gaps"), "p_retailprice", "p_partkey")[0])
 
 
+_HOLES = ["p_size", "code"]
+_BOTH = " + ".join(f"cast(r.{c} is not null and d.{c} is not null as int)" for c in _HOLES)
+_GAP = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0)" for c in _HOLES)
+
+
+@register("knn_impute_gaps", with_views("part_holes") + f""",
+pairs as (select r.p_partkey as qid, d.p_partkey as did, d.p_retailprice as dv,
+  case when ({_BOTH}) > 0 then sqrt(3.0 / ({_BOTH}) * ({_GAP})) end as dist
+  from part_holes r cross join part_holes d where r.p_retailprice is null and d.p_retailprice is not null),
+top as (select qid, dv, row_number() over (partition by qid order by dist, did) as rn from pairs where dist is not null),
+f as (select qid, avg(dv) as fill from top where rn <= 5 group by qid),
+m as (select avg(p_retailprice) as mean from part_holes)
+select p_partkey, round(p_size, 6) as p_size, round(coalesce(p_retailprice, f.fill, m.mean), 6) as p_retailprice,
+ round(code, 6) as code from part_holes p left join f on p.p_partkey = f.qid cross join m""")
+def q_knn_impute_gaps(spark, sf):
+    """No numeric column is complete."""
+    return _round_doubles(knn_impute(view(spark, sf, "part_holes"), "p_retailprice", "p_partkey",
+                                     ["p_size", "p_retailprice", "code"])[0])
+
+
 _FENCE = """, f as (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events),
 b as (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from f)"""
 

@@ -6,10 +6,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.cumulative import cumulative
-from tablewright.functions.neighbors import knn_join
+from tablewright.functions import neighbors
+from tablewright.functions.neighbors import knn_impute, nearest
 from tablewright.functions.selection import column_quantiles, order_statistics
 from tablewright.functions.windows import directional_fill
 
@@ -57,23 +59,83 @@ def test_directional_fill_hot_key_equals_plain_window(spark):
     assert all((got[i] == v) or (v != v and got[i] is None) for i, v in zip(ref.index, ref))
 
 
-def test_knn_join_equals_brute_force(spark):
-    rng = np.random.default_rng(0)
-    pts = rng.normal(size=(300, 3))
-    q = spark.createDataFrame([(int(i), float(a), float(b), float(c)) for i, (a, b, c) in enumerate(pts[:40])],
-                              "qid long, qa double, qb double, qc double")
-    d = spark.createDataFrame([(int(i), float(a), float(b), float(c)) for i, (a, b, c) in enumerate(pts[40:], 40)],
-                              "did long, da double, db double, dc double")
-    dist = lambda: F.sqrt((F.col("qa") - F.col("da")) ** 2 + (F.col("qb") - F.col("db")) ** 2 + (F.col("qc") - F.col("dc")) ** 2)
-    got = knn_join(q, d, "qid", "did", "qa", "da", dist, 4)
-    res = {}
-    for r in got.collect():
-        res.setdefault(r["qid"], set()).add(r["did"])
-    for i in range(40):
-        dd = np.sqrt(((pts[40:] - pts[i]) ** 2).sum(1))
-        assert res[i] == set((np.argsort(dd, kind="stable")[:4] + 40).tolist())
+def _brute(queries, donors, k, total, other_rows):
+    """queries, donors: (id, group, values); a missing value is None."""
+    out = []
+    for qi, qg, q in queries:
+        found = []
+        for di, dg, d in donors:
+            both = [(a, b) for a, b in zip(q, d) if a is not None and b is not None]
+            if qg == dg and both and not (other_rows and qi == di):
+                square = 0.0
+                for a, b in both:
+                    square += (a - b) * (a - b)
+                found.append((math.sqrt(total / len(both) * square), di))
+        out += [(qi, di, dist, i + 1) for i, (dist, di) in enumerate(sorted(found)[:k])]
+    return sorted(out)
 
 
+def _cloud(seed, n, dim, gaps=0.0):
+    """Clusters, a value held by a third of the rows, ties on a grid, gaps."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if i % 3 == 0:
+            v = [1.0] * dim
+        elif i % 3 == 1:
+            v = [float(rng.randint(0, 3)) for _ in range(dim)]
+        else:
+            v = [rng.choice((0.0, 40.0)) + rng.gauss(0, 1) for _ in range(dim)]
+        rows.append((i, rng.choice("ab"), [None if rng.random() < gaps else x for x in v]))
+    return rows
+
+
+@pytest.mark.parametrize("dim,gaps,same_group,other_rows", [(1, 0.0, False, False), (3, 0.0, True, True), (3, 0.3, False, False),
+                                                           (6, 0.0, False, True), (4, 0.2, True, False)])
+def test_nearest_equals_brute_force(spark, monkeypatch, dim, gaps, same_group, other_rows):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "QUERY_CHUNK", 32)
+    monkeypatch.setattr(neighbors, "PAGE_BYTES", 2000)
+    donors = _cloud(1, 400, dim, gaps)
+    queries = donors if other_rows else _cloud(2, 120, dim, gaps)
+    df = lambda rows, name: spark.createDataFrame(
+        [(i, g, v) for i, g, v in rows], f"{name} long, grp string, vec array<double>").repartition(3)
+    stats = {}
+    got = nearest(df(queries, "qid"), df(donors, "did"), 5, dim, total=dim + 1, same_group=same_group, other_rows=other_rows,
+                  stats=stats).collect()
+    plain = lambda rows: rows if same_group else [(i, "", v) for i, _, v in rows]
+    want = _brute(plain(queries), plain(donors), 5, dim + 1, other_rows)
+    assert [(r[0], r[1], r[3]) for r in sorted(got)] == [(w[0], w[1], w[3]) for w in want]
+    assert all(math.isclose(r[2], w[2], rel_tol=1e-12, abs_tol=1e-12) for r, w in zip(sorted(got), want))
+    if gaps == 0.0 and dim < 4:
+        assert stats["pairs"] < 0.6 * stats["queries"] * stats["blocks"]
+
+
+def test_nearest_text_ids_and_empty_tables(spark):
+    donors = spark.createDataFrame([("b", [0.0]), ("a", [0.0]), ("c", [2.0])], "did string, vec array<double>")
+    queries = spark.createDataFrame([("x", [0.5]), ("y", [None])], "qid string, vec array<double>")
+    got = [(r["qid"], r["did"], r["rn"]) for r in nearest(queries, donors, 2, 1).collect()]
+    assert sorted(got) == [("x", "a", 1), ("x", "b", 2)]
+    assert nearest(queries, donors.limit(0), 2, 1).count() == 0
+    assert nearest(queries.limit(0), donors, 2, 1).count() == 0
+
+
+def test_knn_impute_without_a_complete_column(spark):
+    """Every numeric column has gaps; a row that shares nothing gets the mean."""
+    rows = _cloud(5, 200, 3, 0.25) + [(900, "a", [None, None, None])]
+    df = spark.createDataFrame([(i, *v) for i, _, v in rows], "id long, x double, y double, z double")
+    out, info = knn_impute(df, "z", "id", ["x", "y", "z"], k=5)
+    got = {r["id"]: r["z"] for r in out.collect()}
+    have = [(i, "", v[:2]) for i, _, v in rows if v[2] is not None]
+    value = {i: v[2] for i, _, v in rows}
+    near = _brute([(i, "", v[:2]) for i, _, v in rows if v[2] is None], have, 5, 3, False)
+    mean = sum(value[i] for i, *_ in have) / len(have)
+    for i, _, v in rows:
+        chosen = [value[d] for q, d, *_ in near if q == i]
+        want = v[2] if v[2] is not None else sum(chosen) / len(chosen) if chosen else mean
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+    assert info["filled"] == len(rows) - len(have) and math.isclose(got[900], mean, rel_tol=1e-9)
+
 def test_running_sum_buckets_grow_with_rows():
     from tablewright.functions.cumulative import BUCKET_ROWS, MIN_BUCKETS, bucket_count
     assert bucket_count(0) == bucket_count(10) == MIN_BUCKETS
