@@ -115,17 +115,5 @@ def typed_modes(df: DataFrame, cols: list[str]) -> dict:
     return out
 
 
-def distinct_counts(df: DataFrame, cols: list[str]) -> dict:
-    """Exact non-null distinct count per column via unpivot + two-level
-    grouping (avoids Catalyst's Expand of many count(distinct))."""
-    if not cols:
-        return {}
-    vc = value_counts(df, cols)
-    rows = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("d")).collect()
-    out = {c: 0 for c in cols}
-    out.update({r["column_name"]: r["d"] for r in rows})
-    return out
-
-
 __all__ = ["moments_row", "profile_numeric", "value_counts", "top_values", "mode_values",
-           "typed_modes", "distinct_counts", "sample_skewness", "sample_kurtosis", "as_text"]
+           "typed_modes", "sample_skewness", "sample_kurtosis", "as_text"]

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from ..functions.columns import (dtype_of, fold_nan, is_integral, is_measure, is_numeric_like, is_temporal, is_text, num,
                                  text_columns)
 from ..functions.selection import column_quantiles
-from ..functions.stats import distinct_counts, typed_modes
+from ..functions.cardinality import distinct_counts
+from ..functions.stats import typed_modes
 
 # Fixed values that must equal the reference for identical results.
 MAX_CLASSES = 20

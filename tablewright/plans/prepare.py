@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..functions.columns import dtype_of, is_measure, is_text
-from ..functions.stats import distinct_counts
+from ..functions.cardinality import distinct_counts
 from ..operators import prepare as PR
 from ..operators import split as SP
 

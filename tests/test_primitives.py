@@ -140,3 +140,47 @@ def test_running_sum_buckets_grow_with_rows():
     from tablewright.functions.cumulative import BUCKET_ROWS, MIN_BUCKETS, bucket_count
     assert bucket_count(0) == bucket_count(10) == MIN_BUCKETS
     assert bucket_count(1000 * BUCKET_ROWS + 1) == 1001
+
+
+def test_frequent_values_and_cardinalities(spark):
+    """Long values that share their head, ties, nulls, an empty text."""
+    from tablewright.functions.cardinality import HEAD, beyond, cardinalities, frequent_values
+
+    rng = random.Random(4)
+    long_values = ["z" * HEAD + s for s in "dcba"] + ["z" * HEAD]
+    rows = [(rng.choice(["", "a", "b", None]), rng.choice(long_values), f"value {i}", 7, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d int, e string").repartition(4)
+    cols = df.columns
+    counts = {c: pd.Series([r[i] for r in rows]).dropna().astype(str).value_counts() for i, c in enumerate(cols)}
+    got = {r["column_name"]: r["cardinality"] for r in cardinalities(df, cols).collect()}
+    assert got == {c: len(v) for c, v in counts.items() if len(v)}
+    for k in (1, 3):
+        want = sorted((c, v, n) for c, s in counts.items() for v, n in sorted(s.items(), key=lambda x: (-x[1], x[0]))[:k])
+        assert sorted((r[0], r[1], r[2]) for r in frequent_values(df, cols, k).collect()) == want
+    assert beyond(df, cols, 3) == {"b", "c"} and beyond(df, cols, 50) == {"c"}
+    assert beyond(df.limit(0), cols, 1) == set()
+
+
+def test_pair_sums_equal_pandas(spark):
+    """Gaps, constants, an infinite value; 200 columns in one plan."""
+    from tablewright.operators.profile import correlation_matrix
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 200)) + np.arange(200) * 1e3
+    x[:, 1] = 2 * x[:, 0] + rng.normal(size=300) * 0.01
+    x[:, 2] = 5.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 3] = np.nan
+    x[0, 4] = np.inf
+    cols = [f"c{i}" for i in range(200)]
+    pdf = pd.DataFrame(x, columns=cols)
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = {(r[0], r[1]): r[2] for r in correlation_matrix(df, cols).collect()}
+    want = pdf.replace([np.inf], np.nan).corr().fillna(0.0).round(6)
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            # the infinite value counts in the pairs whose other side is there
+            endless = "c4" in (a, b) and not np.isnan(x[0, i]) and not np.isnan(x[0, j])
+            expect = 0.0 if endless or {"c2", "c3"} & {a, b} else want.iloc[i, j]
+            assert abs(got[a, b] - expect) <= 2e-6, (a, b)
+    assert len(got) == 200 * 200
