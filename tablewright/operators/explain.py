@@ -90,7 +90,7 @@ def learning_curve(algo: str, df: DataFrame, features: list[str], problem: str,
             if max_rows is not None and problem == "classification":
                 n = min(n, math.ceil(max_rows * (folds - 1) / folds))
             k = max(1, int(n * frac))
-            tr = smallest_by_hash(tr_all, key, seed + 1, {None: k}).where("__sel").drop("__sel")
+            tr = smallest_by_hash(tr_all, key, seed + 1, k).where("__sel").drop("__sel")
             m = fit(algo, tr, features, problem, seed=seed)
             tr_s.append(evaluate(m.transform(tr), problem)[metric])
             va_s.append(evaluate(m.transform(folded.where(F.col("fold") == i)), problem)[metric])

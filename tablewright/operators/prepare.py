@@ -277,24 +277,26 @@ def apply_map(df: DataFrame, col: str, mapping: DataFrame, rows: int, out: str,
     return j.withColumn(out, F.coalesce(F.col("__enc"), F.lit(default))).drop("__v", "__enc")
 
 
-def fit_label_index(df: DataFrame, y: str) -> list:
-    """Sorted distinct labels (numeric labels sort numerically)."""
-    vals = [r[0] for r in df.where(F.col(y).isNotNull()).select(y).distinct().collect()]
-    return sorted(vals)
+def label_dictionary(df: DataFrame, y: str) -> DataFrame:
+    """(label, index) of the distinct non-null labels in their own order,
+    numbered by a distributed running count and kept as a table."""
+    from ..functions.ordered import ranked
+    from ..session import cut_lineage
 
+    labels = df.where(F.col(y).isNotNull()).select(F.col(y).alias("label")).distinct()
+    return cut_lineage(ranked(labels, ["label"]).select("label", (F.col("rank") - 1).cast("int").alias("index")))
 
-def label_index_expr(y: str, labels: list):
-    """Label -> 0..k-1 (unknown / null -> null)."""
-    if not labels:
-        return F.lit(None).cast("double")
-    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
-    return m[F.col(y)]
+
+def encode_label(df: DataFrame, y: str, dictionary: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out`` = the label's index as a double (unknown, null: null)."""
+    table = dictionary.select(F.col("label").alias("__label"), F.col("index").cast("double").alias("__code"))
+    j = df.join(_maybe_broadcast(table, dictionary.count()), F.col(y) == F.col("__label"), "left")
+    return j.withColumn(out, F.col("__code")).drop("__label", "__code")
 
 
 def label_index(df: DataFrame, y: str) -> DataFrame:
-    """P15 as a DataFrame: (label, index)."""
-    labels = fit_label_index(df, y)
-    return df.sparkSession.createDataFrame([(str(v), i) for i, v in enumerate(labels)], "label string, index int")
+    """P15 as a DataFrame: (label as text, index)."""
+    return label_dictionary(df, y).select(F.col("label").cast("string").alias("label"), "index")
 
 
 # ---------------------------------------------------------------- P16-P19 scalers
@@ -429,8 +431,8 @@ def quick_matrix(df: DataFrame, y: str | None = None) -> DataFrame:
     y = y if y and y in df.columns else df.columns[-1]
     feats = [c for c in df.columns if c != y and is_numeric_like(dtype_of(df, c))]
     if is_text(dtype_of(df, y)):
-        labels = fit_label_index(df, y)
-        code = F.coalesce(label_index_expr(y, labels).cast("long"), F.lit(-1).cast("long")).alias(y)
+        df = encode_label(df, y, label_dictionary(df, y), "__y")
+        code = F.coalesce(F.col("__y").cast("long"), F.lit(-1).cast("long")).alias(y)
     else:
         code = F.col(y)
     return df.select(*feats, code)

@@ -78,21 +78,19 @@ def predict(bundle: Bundle, df: DataFrame, mode: str = "raw", check_empty: bool
     feats = bundle.prep.transform(src, keep=cin) if mode == "raw" else src
     feats = feats.select(*cin, *[F.col(f) for f in bundle.features])
     out = bundle.model.transform(feats)
-    labels = bundle.prep.labels
-    pred = decode_expr("prediction", labels) if labels is not None else F.col("prediction")
     back = [F.col(f"__in_{i}").alias(c) for i, c in enumerate(keep)]
-    return layout_predictions(out.select(*back, pred.alias("__pred")), t, "__pred")
-
-
-def decode_expr(col: str, labels: list):
-    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(float(i)), F.lit(v))])
-    return m[F.col(col).cast("double")]
+    out = out.select(*back, F.col("prediction").alias("__pred"))
+    if bundle.prep.labels is not None:
+        out = decode_labels(out, "__pred", bundle.prep.labels)
+    return layout_predictions(out, t, "__pred")
 
 
 def decode_labels(pred: DataFrame, col: str, labels: DataFrame, index: str = "index", label: str = "label") -> DataFrame:
-    """Index -> label through the (small, class-sized) label table."""
-    return (pred.join(F.broadcast(labels.select(F.col(index).cast("double").alias("__i"), F.col(label).alias("__l"))),
-                      F.col(col).cast("double") == F.col("__i"), "left")
+    """Index -> label through the label table, broadcast while it is small."""
+    from .prepare import _maybe_broadcast
+
+    table = labels.select(F.col(index).cast("double").alias("__i"), F.col(label).alias("__l"))
+    return (pred.join(_maybe_broadcast(table, labels.count()), F.col(col).cast("double") == F.col("__i"), "left")
             .withColumn(col, F.col("__l")).drop("__i", "__l"))
 
 

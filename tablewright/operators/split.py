@@ -1,10 +1,10 @@
 """Splitting, folds, class weights and minority oversampling (P27-P32, M11,
 M15/M16).
 
-Row order comes from ``md5(key:seed)`` (identical in Spark and DuckDB).
-Exact sizes never need a global sort: the cut-off hash of each class is an
-order statistic found by a few aggregation passes, then membership is a
-plain filter, so a dominant class is just another aggregate group."""
+Row order comes from ``md5(key:seed)`` (identical in Spark and DuckDB).  The
+cut-off hash of every class is found in one distributed scan of (class, hash),
+then membership is a plain filter; a dominant class is dealt out over ranges
+like any other, and the number of jobs does not depend on the classes."""
 
 from __future__ import annotations
 
@@ -14,71 +14,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cumulative import cumulative
-from ..functions.selection import order_statistics
+from ..functions.ordered import ranked
+from ..session import cut_lineage
 from .profile import hash_order
 
+#: Cut-offs are broadcast up to this many classes, else joined by shuffle.
+BROADCAST_CLASSES = 1_000_000
 
-def _hp(h):
-    """52-bit prefix of the md5 hex as an exact double."""
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
-
-
-def smallest_by_hash(df: DataFrame, key: list[str], seed: int, quotas: dict, group: str | None = None) -> DataFrame:
-    """Add boolean ``__sel``: the row is among the ``quotas[g]`` smallest
-    hashes of its group ``g`` (``quotas[None]`` when ungrouped)."""
-    h = hash_order(key, seed)
-    g = F.col(group).cast("string") if group else F.lit("__all__")
-    w = df.withColumn("__h", h).withColumn("__hp", _hp(F.col("__h"))).withColumn("__g", g)
-    qmap = {("__all__" if k is None else str(k)): int(v) for k, v in quotas.items()}
-    st = w.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), F.min("__hp").alias("mn"), F.max("__hp").alias("mx")).collect()
-    bounds, requests, full, none = {}, {}, set(), set()
-    for r in st:
-        q = qmap.get(r["__g"], 0)
-        if q <= 0:
-            none.add(r["__g"])
-        elif q >= r["n"]:
-            full.add(r["__g"])
-        else:
-            bounds[r["__g"]] = (r["mn"], r["mx"], r["n"])
-            requests[r["__g"]] = [q - 1]
-    cuts = {}
-    if requests:
-        long = w.select(F.col("__g").alias("column_name"), F.col("__hp").alias("value"))
-        stats = order_statistics(long, requests, bounds)
-        cuts = {gk: stats[(gk, requests[gk][0])] for gk in requests}
-        # exact ties on the 52-bit prefix: resolve by the full hash
-        lt = {r["__g"]: r["c"] for r in w.where(
-            F.col("__g").isin(list(cuts)) & (F.col("__hp") < F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])[F.col("__g")]))
-            .groupBy("__g").agg(F.count(F.lit(1)).alias("c")).collect()}
-        tie_cut = {}
-        for gk, t in cuts.items():
-            need = qmap[gk] - lt.get(gk, 0)
-            ties = [r["__h"] for r in w.where((F.col("__g") == gk) & (F.col("__hp") == t)).select("__h").orderBy("__h").limit(need).collect()]
-            tie_cut[gk] = ties[-1]
-    else:
-        tie_cut = {}
-    sel = F.lit(False)
-    if full:
-        sel = sel | F.col("__g").isin(list(full))
-    for gk, t in cuts.items():
-        sel = sel | ((F.col("__g") == gk) & ((F.col("__hp") < F.lit(t)) | ((F.col("__hp") == F.lit(t)) & (F.col("__h") <= F.lit(tie_cut[gk])))))
-    return w.withColumn("__sel", sel).drop("__h", "__hp", "__g")
+
+def _class_text(group: str | None):
+    """A class as text; nulls are a class of their own."""
+    return F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")
+
+
+def smallest_by_hash(df: DataFrame, key: list[str], seed: int, quotas, group: str | None = None) -> DataFrame:
+    """Add boolean ``__sel``: the row is among the smallest hashes of its class,
+    as many as its quota.  ``quotas``: a number (no group), {class: number} or a
+    frame (__g, quota).  All classes are ranked in one distributed scan of their
+    hashes, which gives each class its last hash."""
+    spark = df.sparkSession
+    if not isinstance(quotas, DataFrame):
+        given = quotas if isinstance(quotas, dict) else {"": quotas}
+        rows = [("\0" if k is None else str(k), int(q)) for k, q in given.items()]
+        quotas = spark.createDataFrame(rows, "__g string, quota long")
+    hashes = df.select(_class_text(group).alias("__g"), hash_order(key, seed).alias("__h"))
+    last = cut_lineage(ranked(hashes, ["__h"], ["__g"]).join(quotas, "__g").where(F.col("rank") <= F.col("quota"))
+                       .groupBy("__g").agg(F.max("__h").alias("__last")))
+    n = last.count()
+    w = df.withColumn("__g", _class_text(group))
+    w = w.join(F.broadcast(last) if n <= BROADCAST_CLASSES else last, "__g", "left")
+    return w.withColumn("__sel", F.coalesce(hash_order(key, seed) <= F.col("__last"), F.lit(False))) \
+        .select(*df.columns, "__sel")
 
 
 def test_count(n: int, test_size: float) -> int:
     return int(math.ceil(test_size * n))
 
 
-def stratified_quotas(counts: dict, n_test: int) -> dict:
-    """Per-class test quota: floor share + largest remainders (ties by label)."""
-    n = sum(counts.values())
-    base = {k: (n_test * c) // n for k, c in counts.items()}
-    rem = sorted(counts, key=lambda k: (-((n_test * counts[k]) % n), str(k)))
-    left = n_test - sum(base.values())
-    for k in rem[:left]:
-        base[k] += 1
-    return base
+def stratified_quotas(counts: DataFrame, n: int, n_test: int) -> DataFrame:
+    """(__g, quota) from (__g, c): floor shares, and one more for the largest
+    remainders (ties by label)."""
+    wide = F.lit(n_test).cast("decimal(19,0)") * F.col("c").cast("decimal(19,0)")
+    shares = counts.select("__g", F.floor(wide / F.lit(n)).cast("long").alias("base"), (wide % F.lit(n)).alias("rem"))
+    shares = cut_lineage(shares)
+    left = n_test - (shares.agg(F.sum("base")).first()[0] or 0)
+    order = ranked(shares, [F.col("rem").desc(), F.col("__g").asc()])
+    return order.select("__g", (F.col("base") + (F.col("rank") <= left).cast("long")).alias("quota"))
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None,
@@ -90,79 +71,52 @@ def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: list[str]
     if test_size <= 0:
         return df, df.limit(0)
     if stratify:
-        counts = {r[0]: r[1] for r in df.groupBy(F.col(stratify).cast("string")).count().collect()}
-        n = sum(counts.values())
-        quotas = stratified_quotas(counts, test_count(n, test_size))
-        marked = smallest_by_hash(df, key, seed, quotas, stratify)
+        counts = cut_lineage(df.groupBy(_class_text(stratify).alias("__g")).agg(F.count(F.lit(1)).alias("c")))
+        n = counts.agg(F.sum("c")).first()[0] or 0
+        marked = smallest_by_hash(df, key, seed, stratified_quotas(counts, n, test_count(n, test_size)), stratify)
     else:
-        n = df.count()
-        marked = smallest_by_hash(df, key, seed, {None: test_count(n, test_size)})
+        marked = smallest_by_hash(df, key, seed, test_count(df.count(), test_size))
     return marked.where(~F.col("__sel")).drop("__sel"), marked.where(F.col("__sel")).drop("__sel")
 
 
-def _kth(df: DataFrame, value, rank: int):
-    st = df.agg(F.min(value).alias("mn"), F.max(value).alias("mx"), F.count(value).alias("n")).collect()[0]
-    long = df.select(F.lit("k").alias("column_name"), value.alias("value")).where(F.col("value").isNotNull())
-    return order_statistics(long, {"k": [rank]}, {"k": (st["mn"], st["mx"], st["n"])})[("k", rank)]
-
-
-def _up_to(w: DataFrame, key: str, k2: float, rank: int):
-    """Condition for the ``rank`` smallest keys of ``w``; ``k2`` is the last
-    one's double.  Whole numbers above 2^53 share a double: among those few the
-    key itself decides."""
-    rest = rank - w.where(F.col("__k") < k2).count()
-    last = w.where(F.col("__k") == k2).orderBy(key).offset(rest - 1).limit(1).select(key).first()[0]
-    return (F.col("__k") < k2) | ((F.col("__k") == k2) & (F.col(key) <= F.lit(last)))
-
-
 def split_chronological(df: DataFrame, ts_col: str, test_size: float = 0.2, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sort by parsed time ascending (missing last, then ``key``); the
-    first floor(n*(1-t)) rows train, the rest test."""
+    """Sort by parsed time ascending (missing last, then ``key``, of any
+    type); the first floor(n*(1-t)) rows train, the rest test.  Texts are parsed
+    once: the parsed rows are written and both parts read them."""
     from .clean import datetime_text_expr
     from ..functions.columns import is_text
-    from ..functions.windows import _order_number
 
     if test_size <= 0:
         return df, df.limit(0)
-    w = df
     if is_text(df.schema[ts_col].dataType):
-        w = w.withColumn("__ts", datetime_text_expr(ts_col))
-        o = _order_number(w, "__ts")
+        w = cut_lineage(df.withColumn("__ts", datetime_text_expr(ts_col)))
     else:
-        o = _order_number(w, ts_col)
-    w = w.withColumn("__o", o).withColumn("__k", F.col(key).cast("double"))
-    r = w.agg(F.count(F.lit(1)).alias("n"), F.count("__o").alias("nn")).collect()[0]
-    n, nn = r["n"], r["nn"]
-    n_train = int(n * (1 - test_size))
+        w = df.withColumn("__ts", F.col(ts_col))
+    n_train = int(w.count() * (1 - test_size))
     if n_train <= 0:
-        sel = F.lit(False)
-    elif n_train >= n:
-        sel = F.lit(True)
-    elif n_train <= nn:
-        t = _kth(w, F.col("__o"), n_train - 1)
-        below = w.where(F.col("__o") < t).count()
-        k2 = _kth(w.where(F.col("__o") == t), F.col("__k"), n_train - below - 1)
-        sel = (F.col("__o") < t) | ((F.col("__o") == t) & _up_to(w.where(F.col("__o") == t), key, k2, n_train - below))
+        return df.limit(0), df
+    places = ranked(w.select("__ts", F.col(key).alias("__k")), [F.col("__ts").asc_nulls_last(), F.col("__k").asc()])
+    last = places.where(F.col("rank") == n_train).first()
+    not_later = F.col(key).isNull() if last["__k"] is None else F.col(key).isNull() | (F.col(key) <= F.lit(last["__k"]))
+    if last["__ts"] is None:
+        early = F.col("__ts").isNotNull() | not_later
     else:
-        k2 = _kth(w.where(F.col("__o").isNull()), F.col("__k"), n_train - nn - 1)
-        sel = F.col("__o").isNotNull() | _up_to(w.where(F.col("__o").isNull()), key, k2, n_train - nn)
-    marked = w.withColumn("__train", F.coalesce(sel, F.lit(False)))
-    drop = [c for c in ("__ts", "__o", "__k", "__train") if c in marked.columns]
-    return marked.where("__train").drop(*drop), marked.where(~F.col("__train")).drop(*drop)
+        at = F.lit(last["__ts"]).cast(w.schema["__ts"].dataType)
+        early = F.coalesce(F.col("__ts") < at, F.lit(False)) | (F.col("__ts").eqNullSafe(at) & not_later)
+    marked = w.withColumn("__train", early)
+    return marked.where("__train").drop("__ts", "__train"), marked.where(~F.col("__train")).drop("__ts", "__train")
 
 
 def assign_folds(df: DataFrame, k: int, key: list[str], seed: int = 42, stratify: str | None = None) -> DataFrame:
     """``fold`` = (rank in md5(key:seed) order within class) % k.
-    Ranks come from bucketed running counts, not a per-class window.  A row
+    Ranks come from one distributed scan, not a per-class window.  A row
     without a key has no place in the order: the plan fails on one."""
     no_key = F.lit(False)
     for c in key:
         no_key = no_key | F.col(c).isNull()
     h = F.when(no_key, F.raise_error(F.lit("a fold needs a key in every row"))).otherwise(hash_order(key, seed))
-    w = df.withColumn("__hp", _hp(h)).withColumn("__one", F.lit(1))
-    keys = [stratify] if stratify else []
-    c = cumulative(w, "__hp", ["__one"], keys)
-    return c.withColumn("fold", ((F.col("cum___one") - 1) % k).cast("int")).drop("__hp", "__one", "cum___one")
+    placed = ranked(df.withColumn("__h", h), ["__h"], [stratify] if stratify else [], "__place")
+    return placed.withColumn("fold", ((F.col("__place") - 1) % k).cast("int")).drop("__h", "__place")
 
 
 def class_weights(df: DataFrame, y: str, boosted_binary: bool = False) -> DataFrame:

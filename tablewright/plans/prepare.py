@@ -21,7 +21,7 @@ from ..operators import split as SP
 class FittedPreprocessor:
     target: str
     problem_type: str
-    labels: list | None = None
+    labels: DataFrame | None = None  # (label, index) of a classification
     impute: dict = field(default_factory=dict)
     dropped: list = field(default_factory=list)
     one_hot: dict = field(default_factory=dict)
@@ -60,7 +60,8 @@ class FittedPreprocessor:
         if self.target in df.columns:
             extra.append(F.col(self.target))
             if self.problem_type == "classification":
-                extra.append(PR.label_index_expr(self.target, self.labels).alias("label"))
+                w = PR.encode_label(w, self.target, self.labels, "__label_code")
+                extra.append(F.col("__label_code").alias("label"))
             else:
                 extra.append(F.col(self.target).cast("double").alias("label"))
         out = w.select(*[F.col(k) for k in keep], *cols, *extra)
@@ -69,9 +70,12 @@ class FittedPreprocessor:
     def save(self, path: str) -> None:
         """K7: JSON spec + one Parquet file per fitted map (cluster paths)."""
         spark = None
-        spec = {k: getattr(self, k) for k in ("target", "problem_type", "labels", "impute", "dropped", "one_hot",
+        spec = {k: getattr(self, k) for k in ("target", "problem_type", "impute", "dropped", "one_hot",
                                                 "scaler_kind", "scaler", "passthrough", "after_drop", "notes")}
-        spec["labels"] = [str(v) if not isinstance(v, (int, float)) else v for v in (self.labels or [])] if self.labels is not None else None
+        spec["labelled"] = self.labels is not None
+        if self.labels is not None:
+            spark = self.labels.sparkSession
+            self.labels.write.mode("overwrite").parquet(f"{path}/labels")
         spec["target_globals"] = {c: g for c, (_, g, _) in self.target_maps.items()}
         spec["freq_cols"] = list(self.freq_maps)
         for c, (m, _, _) in self.target_maps.items():
@@ -86,7 +90,8 @@ class FittedPreprocessor:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedPreprocessor":
         spec = json.loads(spark.read.text(f"{path}/spec").collect()[0][0])
-        fp = FittedPreprocessor(spec["target"], spec["problem_type"], spec["labels"], spec["impute"], spec["dropped"],
+        fp = FittedPreprocessor(spec["target"], spec["problem_type"],
+                                spark.read.parquet(f"{path}/labels") if spec["labelled"] else None, spec["impute"], spec["dropped"],
                                 spec["one_hot"], {}, {}, spec["scaler_kind"],
                                 {k: tuple(v) for k, v in spec["scaler"].items()}, spec["passthrough"],
                                 spec["after_drop"], spec["notes"])
@@ -166,10 +171,12 @@ def prepare(df: DataFrame, cfg: PipelineConfig, fit_on: str = "train") -> Prepar
     numeric = [c for c in features if is_measure(dtype_of(df, c))]
     scale_cols = [c for c in (enc.scale_columns if enc.scale_columns is not None else numeric)
                   if c in numeric and c not in passthrough]
-    labels = PR.fit_label_index(fit_x, y) if problem == "classification" else None
-    y_val = PR.label_index_expr(y, labels) if problem == "classification" else F.col(y).cast("double")
+    labels = PR.label_dictionary(fit_x, y) if problem == "classification" else None
+    if labels is not None:
+        fit_x = PR.encode_label(fit_x, y, labels, "__y")
+    y_val = F.col("__y") if labels is not None else F.col(y).cast("double")
     card = distinct_counts(fit_x, texts) if texts else {}
-    n_classes = len(labels) if labels is not None else 0
+    n_classes = labels.count() if labels is not None else 0
     strategies = {c: (PR.suggest_encoding(card[c], problem, n_classes) if enc.strategy == "auto" else enc.strategy)
                   for c in texts}
     notes = {c: f"{s} (cardinality={card[c]})" for c, s in strategies.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureSelectionConfig, PipelineConfig, SplitConfig
 from ..operators import prepare as PR
+from ..operators import score as SC
 from ..operators import split as SP
 from .fixtures import load, view, with_views
 from .prepare import prepare
@@ -86,8 +87,8 @@ g as (select avg(quality) as g from doc_labels)
 select d.doc_id, round(coalesce(m.e, g.g), 6) as source from doc_labels d left join m on d.source = m.source cross join g""")
 def q_target_mean(spark, sf):
     df = view(spark, sf, "doc_labels")
-    labels = PR.fit_label_index(df, "quality")
-    m, g, rows = PR.fit_target_mean(df, "source", PR.label_index_expr("quality", labels))
+    coded = PR.encode_label(df, "quality", PR.label_dictionary(df, "quality"), "__y")
+    m, g, rows = PR.fit_target_mean(coded, "source", F.col("__y"))
     out = PR.apply_map(df, "source", m, rows, "__e", g)
     return out.select("doc_id", F.round("__e", 6).alias("source"))
 
@@ -106,6 +107,16 @@ def q_label_index(spark, sf):
     return PR.label_index(load(spark, sf, "orders"), "o_orderpriority")
 
 
+@register("label_index_many", """select o_orderkey, cast(dense_rank() over (order by 'order ' || cast(o_orderkey as varchar)) - 1 as double)
+ as code, 'order ' || cast(o_orderkey as varchar) as decoded from orders""")
+def q_label_index_many(spark, sf):
+    """As many classes as orders: numbered, encoded and decoded by joins."""
+    df = load(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("y"))
+    labels = PR.label_dictionary(df, "y")
+    coded = PR.encode_label(df, "y", labels, "code").select("o_orderkey", "code", F.col("code").alias("decoded"))
+    return SC.decode_labels(coded, "decoded", labels)
+
+
 def _scale_sql(kind: str) -> str:
     if kind == "standard":
         exprs = [f"round((cast({c} as double) - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1), 6) as {c}" for c in LINE4]
@@ -213,6 +224,33 @@ def q_split_stratified(spark, sf):
     return _label(*SP.split(load(spark, sf, "orders"), 0.2, 42, ["o_orderkey"], "o_orderstatus"))
 
 
+@register("split_stratified_many", """with o as (select l_orderkey, l_linenumber, l_partkey, l_orderkey as s, cast(l_orderkey as varchar) || '|' ||
+  cast(l_partkey as varchar) || '|' || cast(l_suppkey as varchar) || '|' || cast(l_linenumber as varchar) as k from lineitem),
+n as (select count(*) as n, cast(ceil(0.2 * count(*)) as bigint) as nt from o),
+c as (select s, count(*) as c from o group by s),
+q as (select s, (nt * c) // n as base, (nt * c) % n as rem from c cross join n),
+r as (select *, row_number() over (order by rem desc, cast(s as varchar)) as rk from q),
+lft as (select max(nt) - sum(base) as l from q cross join n),
+quota as (select s, base + case when rk <= (select l from lft) then 1 else 0 end as quota from r),
+m as (select o.s, row_number() over (partition by o.s order by md5(k || ':42')) <= quota as test from o join quota on o.s = quota.s)
+select s as l_orderkey, count(*) as n_rows, count(*) filter (test) as n_test from m group by s""")
+def q_split_stratified_many(spark, sf):
+    """As many classes as orders: one grouped cut-off for all."""
+    df = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    train, test = SP.split(df, 0.2, 42, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "l_orderkey")
+    both = train.withColumn("t", F.lit(0)).unionByName(test.withColumn("t", F.lit(1)))
+    return both.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("t").alias("n_test"))
+
+
+@register("split_chronological_text_key", """select k, case when row_number() over (order by o_orderdate, k)
+ <= floor(count(*) over () * (1 - 0.2)) then 'train' else 'test' end as split
+from (select cast(o_orderkey as varchar) || 'x' as k, o_orderdate from orders) t""")
+def q_split_chronological_text_key(spark, sf):
+    df = load(spark, sf, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")).alias("k"), "o_orderdate")
+    train, test = SP.split_chronological(df, "o_orderdate", 0.2, "k")
+    return train.select("k", F.lit("train").alias("split")).unionByName(test.select("k", F.lit("test").alias("split")))
+
+
 @register("split_chronological", with_views("text_dates") + f"""select o_orderkey, case when row_number() over (order by {_TSP} asc nulls last, o_orderkey)
  <= floor(count(*) over () * (1 - 0.2)) then 'train' else 'test' end as split from text_dates""")
 def q_split_chronological(spark, sf):

@@ -13,7 +13,7 @@ from tablewright.functions.cumulative import cumulative
 from tablewright.functions import neighbors
 from tablewright.functions.neighbors import knn_impute, nearest
 from tablewright.functions.selection import column_quantiles, order_statistics
-from tablewright.functions.windows import directional_fill
+from tablewright.functions.ordered import directional_fill, ranked
 
 
 def test_quantiles_match_pandas_with_ties_and_tails(spark):
@@ -43,20 +43,57 @@ def test_cumulative_matches_cumsum(spark):
     assert all(got[i] == c for i, c in zip(pdf["id"], pdf["c"]))
 
 
-def test_directional_fill_hot_key_equals_plain_window(spark):
-    rng = random.Random(3)
-    rows = [(i, i % 3 if i % 7 else 0, float(i), None if rng.random() < 0.4 else float(rng.randint(0, 9))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id long, k long, t double, v double")
+def _gaps(seed=3, n=3000):
+    """A key held by a third of the rows, null keys, ties in the order."""
+    rng = random.Random(seed)
+    keys = ["hot", "hot", None, "a", "b", "c"]
+    return [(i, rng.choice(keys), rng.choice(["m", "n", None, f"t{rng.randint(0, 400):04d}"]),
+             None if rng.random() < 0.6 else float(rng.randint(0, 9))) for i in range(n)]
+
+
+def _filled(rows, keyed, order, direction):
+    """Rows of one moment see each other's values, the largest goes on."""
+    out, groups = {}, {}
+    for r in rows:
+        groups.setdefault(r[1] if keyed else 0, []).append(r)
+    for group in groups.values():
+        moments = {}
+        for r in group:
+            moments.setdefault(order(r), []).append(r)
+        last = None
+        for at in sorted(moments, reverse=direction == "backward"):
+            have = sorted(r[3] for r in moments[at] if r[3] is not None)
+            last = have[-1] if have else last
+            for r in moments[at]:
+                out[r[0]] = r[3] if r[3] is not None else last
+    return out
+
+
+def test_directional_fill_any_order(spark):
+    rows = _gaps()
+    df = spark.createDataFrame(rows, "id long, k string, t string, v double").repartition(7)
+    text = lambda r: (r[2] is not None, r[2] or "")  # noqa: E731  nulls first
     for direction in ("forward", "backward"):
-        plain = directional_fill(df, "v", ["t", "id"], ["k"], direction)
-        split = directional_fill(df, "v", ["t", "id"], ["k"], direction, hot_rows=100, chunk_rows=50)
-        a = {r["id"]: r["v"] for r in plain.collect()}
-        b = {r["id"]: r["v"] for r in split.collect()}
-        assert a == b
-    whole = directional_fill(df, "v", ["t", "id"], None, "forward", hot_rows=100, chunk_rows=64)
-    ref = pd.DataFrame(rows, columns=["id", "k", "t", "v"]).sort_values(["t", "id"])["v"].ffill()
-    got = {r["id"]: r["v"] for r in whole.collect()}
-    assert all((got[i] == v) or (v != v and got[i] is None) for i, v in zip(ref.index, ref))
+        for by, key in ((["t", "id"], lambda r: (*text(r), r[0])), (["t"], text)):
+            for group in (["k"], None):
+                got = {r["id"]: r["v"] for r in directional_fill(df, "v", by, group, direction).collect()}
+                assert got == _filled(rows, bool(group), key, direction), (direction, by, group)
+    constant = df.withColumn("c", F.lit(1))
+    got = {r["id"]: r["v"] for r in directional_fill(constant, "v", ["c"], ["k"]).collect()}
+    assert got == _filled(rows, True, lambda r: 0, "forward")
+    assert directional_fill(df.limit(0), "v", ["t"], ["k"]).count() == 0
+
+
+def test_ranked_any_order(spark):
+    rows = _gaps(4)
+    df = spark.createDataFrame(rows, "id long, k string, t string, v double").repartition(7)
+    got = {r["id"]: r["rank"] for r in ranked(df, ["t", "id"], ["k"]).collect()}
+    seen = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", r[0])):
+        seen[r[1]] = seen.get(r[1], 0) + 1
+        assert got[r[0]] == seen[r[1]]
+    whole = [r["rank"] for r in ranked(df, [F.col("v").desc()]).orderBy("rank").collect()]
+    assert whole == list(range(1, len(rows) + 1))
 
 
 def _brute(queries, donors, k, total, other_rows):
