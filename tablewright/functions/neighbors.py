@@ -278,11 +278,12 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dim: int, total: floa
     want, total = k + 1 if other_rows else k, float(total or dim)
     grp = F.col("grp").cast("string") if same_group else F.lit("")
     known = F.exists("vec", lambda x: x.isNotNull())
-    donors = donors.where(known).select(F.coalesce(grp, F.lit("")).alias("grp"), "did", "vec")
-    asked = queries.where(known).select(F.coalesce(grp, F.lit("")).alias("grp"), "qid", "vec")
+    donors = donors.select(F.coalesce(grp, F.lit("")).alias("grp"), "did", "vec")
+    # written, so that no plan equates a vector with the columns it is made of (its constraints would multiply)
+    asked = cut_lineage(queries.select(F.coalesce(grp, F.lit("")).alias("grp"), "qid", "vec"))
     smallest = Window.partitionBy("grp", "vec").orderBy("did")
-    donors = cut_lineage(donors.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= want).drop("rn"))
-    reps = cut_lineage(asked.groupBy("grp", "vec").agg(F.min("qid").alias("qid")))
+    donors = cut_lineage(donors.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= want).drop("rn")).where(known)
+    reps = cut_lineage(asked.groupBy("grp", "vec").agg(F.min("qid").alias("qid"))).where(known)
     n = donors.count()
     n_pivots = min(MAX_PIVOTS, max(1, n // BLOCK_ROWS))
     sample = donors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()  # at most MAX_PIVOTS rows
