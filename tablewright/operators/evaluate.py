@@ -14,15 +14,17 @@ from ..functions.cumulative import cumulative
 EPS = 2.220446049250313e-16  # float64 machine epsilon (MAPE guard)
 
 
-def _per_class(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """(label, tp, support, predicted) for every label in y or pred."""
+def _per_class(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """(by, label, tp, support, predicted) for every label in y or pred."""
+    keys = [*(by or []), "label"]
     yy, pp = F.col(y).cast("string"), F.col(pred).cast("string")
-    pairs = df.groupBy(yy.alias("a"), pp.alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    sup = pairs.groupBy(F.col("a").alias("label")).agg(F.sum("c").alias("support"))
-    prd = pairs.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("predicted"))
-    tp = pairs.where(F.col("a") == F.col("p")).groupBy(F.col("a").alias("label")).agg(F.sum("c").alias("tp"))
-    return (sup.join(prd, "label", "full").join(tp, "label", "left")
-            .select("label", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "support", "predicted")]))
+    pairs = df.groupBy(*(by or []), yy.alias("a"), pp.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    zero, hit = F.lit(0).cast("long"), F.when(F.col("a") == F.col("p"), F.col("c")).otherwise(F.lit(0))
+    own = pairs.select(*(by or []), F.col("a").alias("label"), F.col("c").alias("support"), zero.alias("predicted"),
+                       hit.cast("long").alias("tp"))
+    guess = pairs.select(*(by or []), F.col("p").alias("label"), zero.alias("support"), F.col("c").alias("predicted"),
+                         zero.alias("tp"))
+    return own.unionByName(guess).groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "support", "predicted")])
 
 
 def _scores(pc: DataFrame) -> DataFrame:
@@ -34,12 +36,12 @@ def _scores(pc: DataFrame) -> DataFrame:
     return s.withColumn("f1_score", f1)
 
 
-def classification_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+def classification_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
     """Accuracy and support-weighted precision / recall / F1 (zero
-    division -> 0), 4 dp."""
-    s = _scores(_per_class(df, y, pred))
+    division -> 0), 4 dp; ``by`` evaluates every group of rows in one job."""
+    s = _scores(_per_class(df, y, pred, by))
     n = F.sum("support")
-    return s.agg(
+    return s.groupBy(*(by or [])).agg(
         F.round(F.sum("tp") / n, 4).alias("accuracy"),
         F.round(F.sum(F.col("precision") * F.col("support")) / n, 4).alias("precision"),
         F.round(F.sum(F.col("recall") * F.col("support")) / n, 4).alias("recall"),
@@ -50,9 +52,10 @@ def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFra
     """Dense (actual, predicted, count) over the sorted label set."""
     yy, pp = F.col(y).cast("string"), F.col(pred).cast("string")
     pairs = df.groupBy(yy.alias("actual"), pp.alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
-    labels = sorted({r[0] for r in pairs.select("actual").union(pairs.select("predicted")).distinct().collect()},
-                    key=lambda v: (v is None, v))
-    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "actual string, predicted string")
+    labels = pairs.select("actual").union(pairs.select("predicted")).distinct()
+    # every label meets every label: the matrix is their square
+    grid = labels.select(F.lit(0).alias("one"), "actual").join(
+        labels.select(F.lit(0).alias("one"), F.col("actual").alias("predicted")), "one").drop("one")
     return (grid.join(pairs, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
@@ -99,49 +102,66 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", positive=1, by: l
     return per.select(*keys, F.round(F.try_divide(F.col("u"), F.col("P").cast("double") * F.col("N")), 4).alias("roc_auc"))
 
 
+def one_vs_rest(df: DataFrame, y: str, prob_cols: dict, keep: list[str] | None = None) -> DataFrame:
+    """(keep, cls, yb, score): one row per row and class; ``prob_cols`` maps a
+    label to its score column."""
+    pairs = F.array(*[F.struct(F.lit(str(v)).alias("cls"), (F.col(y).cast("string") == F.lit(str(v))).cast("int").alias("yb"),
+                               F.col(c).cast("double").alias("score")) for v, c in prob_cols.items()])
+    return df.select(*(keep or []), F.inline(pairs))
+
+
 def roc_auc_ovr(df: DataFrame, y: str, prob_cols: dict) -> DataFrame:
     """M26 multi-class: one-vs-rest AUC per class weighted by support."""
-    parts = None
-    for label, col in prob_cols.items():
-        p = df.select(F.lit(str(label)).alias("cls"), (F.col(y).cast("string") == F.lit(str(label))).cast("int").alias("yb"),
-                      F.col(col).alias("score"))
-        parts = p if parts is None else parts.unionByName(p)
-    aucs = roc_auc(parts, "yb", "score", 1, ["cls"]).withColumnRenamed("roc_auc", "auc")
+    aucs = roc_auc(one_vs_rest(df, y, prob_cols), "yb", "score", 1, ["cls"]).withColumnRenamed("roc_auc", "auc")
     sup = df.groupBy(F.col(y).cast("string").alias("cls")).agg(F.count(F.lit(1)).alias("support"))
     return (aucs.join(sup, "cls").agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("a"))
             .select(F.round("a", 4).alias("roc_auc")))
 
 
-def roc_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> DataFrame:
+def _curve(df: DataFrame, y: str, score: str, positive, by: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Per distinct score, from the highest: positives and negatives so far
+    (cum_), and all of the group (P, N)."""
+    keys = list(by or [])
+    table = _score_table(df.withColumn("__all", F.lit(0)), y, score, positive, ["__all", *keys])
+    totals = table.groupBy("__all", *keys).agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"))
+    t = cumulative(table, "score", ["pos", "neg"], ["__all", *keys], descending=True)
+    return t.join(totals, ["__all", *keys]), keys
+
+
+def _with_end(curve: DataFrame, names: list[str], keys: list[str], ends: DataFrame, at: tuple) -> DataFrame:
+    end = ends.select(*keys, F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(n) for n, v in zip(names, at)])
+    return curve.unionByName(end).select(*keys, "threshold", *[F.round(n, 6).alias(n) for n in names])
+
+
+def roc_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1, by: list[str] | None = None) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score (descending
-    thresholds: rows with score >= threshold are positive) plus the origin."""
-    t = cumulative(_score_table(df, y, score, positive), "score", ["pos", "neg"], descending=True)
-    tot = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
-    curve = t.select(F.col("score").alias("threshold"),
-                     F.try_divide(F.col("cum_neg").cast("double"), F.lit(tot["N"]).cast("double")).alias("fpr"),
-                     F.try_divide(F.col("cum_pos").cast("double"), F.lit(tot["P"]).cast("double")).alias("tpr"))
-    origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
-    return curve.unionByName(origin).select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    thresholds: rows with score >= threshold are positive) plus the origin;
+    ``by`` gives one curve per group (per class after :func:`one_vs_rest`)."""
+    t, keys = _curve(df, y, score, positive, by)
+    curve = t.select(*keys, F.col("score").alias("threshold"), F.try_divide(F.col("cum_neg").cast("double"), "N").alias("fpr"),
+                     F.try_divide(F.col("cum_pos").cast("double"), "P").alias("tpr"))
+    return _with_end(curve, ["fpr", "tpr"], keys, _ends(df, keys), (0.0, 0.0))
 
 
-def pr_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> DataFrame:
+def pr_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1, by: list[str] | None = None) -> DataFrame:
     """(threshold, precision, recall) per distinct score plus the
-    (precision 1, recall 0) end point."""
-    t = cumulative(_score_table(df, y, score, positive), "score", ["pos", "neg"], descending=True)
-    total_pos = t.agg(F.sum("pos")).collect()[0][0]
-    curve = t.select(F.col("score").alias("threshold"),
+    (precision 1, recall 0) end point; ``by`` as in :func:`roc_curve`."""
+    t, keys = _curve(df, y, score, positive, by)
+    curve = t.select(*keys, F.col("score").alias("threshold"),
                      F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
-                     F.try_divide(F.col("cum_pos").cast("double"), F.lit(total_pos).cast("double")).alias("recall"))
-    end = df.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
-    return curve.unionByName(end).select("threshold", F.round("precision", 6).alias("precision"),
-                                         F.round("recall", 6).alias("recall"))
+                     F.try_divide(F.col("cum_pos").cast("double"), "P").alias("recall"))
+    return _with_end(curve, ["precision", "recall"], keys, _ends(df, keys), (1.0, 0.0))
+
+
+def _ends(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys).distinct() if keys else df.sparkSession.range(1)
 
 
-def average_precision(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> DataFrame:
+def average_precision(df: DataFrame, y: str = "y", score: str = "score", positive=1, by: list[str] | None = None) -> DataFrame:
     """AP = sum over thresholds of (recall step) x precision."""
-    t = cumulative(_score_table(df, y, score, positive), "score", ["pos", "neg"], descending=True)
-    return t.agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))),
-                                      F.sum("pos")), 4).alias("average_precision"))
+    t, keys = _curve(df, y, score, positive, by)
+    step = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    return t.groupBy(*keys).agg(F.round(F.try_divide(F.sum(step), F.sum("pos")), 4).alias("average_precision"))
 
 
 def is_imbalanced(df: DataFrame, y: str = "y", ratio: float = 2.0) -> DataFrame:
@@ -152,17 +172,18 @@ def is_imbalanced(df: DataFrame, y: str = "y", ratio: float = 2.0) -> DataFrame:
         ((F.col("k") >= 2) & (F.col("mx") / F.col("mn") > ratio)).alias("is_imbalanced"))
 
 
-def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """RMSE, MAE, R^2, MAPE (eps-guarded), 4 dp."""
+def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """RMSE, MAE, R^2, MAPE (eps-guarded), 4 dp; ``by`` evaluates every
+    group of rows in one job."""
     yy, pp = F.col(y).cast("double"), F.col(pred).cast("double")
     e = yy - pp
-    a = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
+    a = df.groupBy(*(by or [])).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                F.sum(e * e).alias("ss_res"), F.var_pop(yy).alias("vp"), F.count(F.lit(1)).alias("n"),
                F.avg(F.abs(e) / F.greatest(F.abs(yy), F.lit(EPS))).alias("mape"))
     ss_tot = F.col("vp") * F.col("n")
     r2 = (F.when(ss_tot > 0, 1 - F.col("ss_res") / ss_tot)
           .otherwise(F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
-    return a.select(F.round(F.sqrt("mse"), 4).alias("rmse"), F.round("mae", 4).alias("mae"),
+    return a.select(*(by or []), F.round(F.sqrt("mse"), 4).alias("rmse"), F.round("mae", 4).alias("mae"),
                     F.round(r2, 4).alias("r2"), F.round("mape", 4).alias("mape"))
 
 

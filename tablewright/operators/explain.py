@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dtype_of, is_measure, is_text, num
-from ..functions.cumulative import cumulative
+from ..functions.ordered import ranked
 from ..functions.selection import column_quantiles, order_statistics
 from ..functions.stats import typed_modes
 from . import evaluate as EV
@@ -39,64 +40,77 @@ def feature_importance(model, names: list[str], top: int = 15) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in rows], "feature string, importance double")
 
 
-def _shuffled(df: DataFrame, col: str, key: list[str], seed: int) -> DataFrame:
-    """Exact permutation of one column: rank rows by md5(key) and by
-    md5(key:seed:col) (bucketed running counts), join rank to rank."""
-    a = cumulative(df.withColumn("__o", F.conv(F.substring(hash_order(key, 0), 1, 13), 16, 10).cast("double"))
-                   .withColumn("__one", F.lit(1)), "__o", ["__one"]).withColumnRenamed("cum___one", "__ra")
-    b = cumulative(df.select(F.col(col).alias("__v"),
-                             F.conv(F.substring(F.md5(F.concat(hash_order(key, seed), F.lit(col))), 1, 13), 16, 10).cast("double").alias("__o"))
-                   .withColumn("__one", F.lit(1)), "__o", ["__one"]).withColumnRenamed("cum___one", "__ra")
-    return (a.join(b.select("__ra", "__v"), "__ra").withColumn(col, F.col("__v"))
-            .drop("__ra", "__v", "__o", "__one"))
-
-
 def permutation_importance(model, df: DataFrame, features: list[str], problem: str, key: list[str],
                            repeats: int = 2, seed: int = 42) -> DataFrame:
     """Mean drop of the primary score (accuracy / R2) when one feature
-    column is permuted, ``repeats`` times."""
-    from .train import evaluate
+    column is permuted, ``repeats`` times.
 
+    A repeat ranks the rows twice by hashes of their key; joining rank to rank
+    is a permutation, which all features share.  The frames of every (repeat,
+    feature) are stacked, scored and evaluated in one job."""
     metric = "accuracy" if problem == "classification" else "r2"
-    base = evaluate(model.transform(df), problem)[metric]
-    rows = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            sh = _shuffled(df, f, key, seed + r)
-            drops.append(base - evaluate(model.transform(sh), problem)[metric])
-        rows.append((f, sum(drops) / repeats))
+    own = ranked(df.select(*key, "label", *features), [hash_order(key, 0)], name="__place")
+    sets = [own.select(F.lit(-1).alias("__r"), F.lit(-1).alias("__f"), "label", *features)]
+    numbers = F.sequence(F.lit(0), F.lit(len(features) - 1))
+    for r in range(repeats):
+        other = ranked(df.select(*key, *features), [hash_order(key, seed + 1 + r)], name="__place") \
+            .select("__place", *[F.col(f).alias(f"__other_{i}") for i, f in enumerate(features)])
+        both = own.join(other, "__place").withColumn("__f", F.explode(numbers))
+        sets.append(both.select(F.lit(r).alias("__r"), "__f", "label",
+                                *[F.when(F.col("__f") == i, F.col(f"__other_{i}")).otherwise(F.col(f)).alias(f)
+                                  for i, f in enumerate(features)]))
+    stacked = sets[0]
+    for s in sets[1:]:
+        stacked = stacked.unionByName(s)
+    pred = model.transform(stacked)
+    metrics = EV.classification_metrics if problem == "classification" else EV.regression_metrics
+    found = metrics(pred, "label", "prediction", ["__r", "__f"]).select("__r", "__f", metric).collect()
+    score = {(x["__r"], x["__f"]): x[metric] for x in found}
+    base = score.get((-1, -1), 0.0)
+    rows = [(f, sum(base - score[r, i] for r in range(repeats)) / repeats if score else 0.0) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
 def learning_curve(algo: str, df: DataFrame, features: list[str], problem: str, key: list[str],
                    fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 2, max_rows: int | None = None,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, parallelism: int = 4) -> DataFrame:
     """Train / validation score (weighted F1 or R2) at growing train
     sizes with ``folds``-fold CV.  ``max_rows`` bounds the rows a classifier is
     fitted on (about that many over all folds; None: all); every held-out row is
-    scored whatever it is, and regressions are fitted on all rows."""
-    from .split import assign_folds, smallest_by_hash
-    from .train import evaluate, fit
+    scored whatever it is, and regressions are fitted on all rows.
+
+    One distributed ranking places every row in the hash order of each training
+    set; a fraction is a filter on it.  The predictions of all fits are
+    evaluated in one job."""
+    from .train import _folds, evaluate_all, fit
 
-    folded = assign_folds(df, folds, key, seed, "label" if problem == "classification" else None).persist()
+    folded, sizes, n_classes = _folds(df, problem, folds, key, seed)
     metric = "f1_score" if problem == "classification" else "r2"
-    rows = []
-    for frac in fractions:
-        tr_s, va_s, size = [], [], 0
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col("fold"))
+    placed = ranked(folded.withColumn("__out", F.explode(others)), [hash_order(key, seed + 1)], ["__out"], "__place")
+    todo = []
+    for n_frac, frac in enumerate(fractions):
         for i in range(folds):
-            tr_all = folded.where(F.col("fold") != i)
-            n = tr_all.count()
+            n = sum(c for f, c in sizes.items() if f != i)
             if max_rows is not None and problem == "classification":
                 n = min(n, math.ceil(max_rows * (folds - 1) / folds))
-            k = max(1, int(n * frac))
-            tr = smallest_by_hash(tr_all, key, seed + 1, k).where("__sel").drop("__sel")
-            m = fit(algo, tr, features, problem, seed=seed)
-            tr_s.append(evaluate(m.transform(tr), problem)[metric])
-            va_s.append(evaluate(m.transform(folded.where(F.col("fold") == i)), problem)[metric])
-            size = k
-        rows.append((size, sum(tr_s) / folds, sum(va_s) / folds))
+            todo.append((n_frac, i, max(1, int(n * frac))))
+
+    def one(task):
+        _, i, k = task
+        tr = placed.where((F.col("__out") == i) & (F.col("__place") <= k))
+        m = fit(algo, tr, features, problem, n_classes=n_classes or None, seed=seed, n_rows=k)
+        return m.transform(tr), m.transform(folded.where(F.col("fold") == i))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        preds = list(ex.map(one, todo))
+    scores = evaluate_all([(2 * t + part, p) for t, both in enumerate(preds) for part, p in enumerate(both)], problem)
     folded.unpersist()
+    rows = []
+    for at in range(len(fractions)):
+        own = [t for t, x in enumerate(todo) if x[0] == at]
+        rows.append((todo[own[-1]][2], sum(scores[2 * t][metric] for t in own) / folds,
+                     sum(scores[2 * t + 1][metric] for t in own) / folds))
     return df.sparkSession.createDataFrame(rows, "train_size bigint, train_score double, val_score double")
 
 

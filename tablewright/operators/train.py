@@ -15,6 +15,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,11 @@ def make_estimator(algo: str, hp: dict, n_rows: int, n_classes: int, features: l
 
 
 def fit(algo: str, train: DataFrame, features: list[str], problem: str, hp: dict | None = None,
-        weight_col: str | None = None, n_classes: int | None = None, seed: int = 42) -> PipelineModel:
-    """Assemble features and fit one model; returns a PipelineModel."""
-    n = train.count()
+        weight_col: str | None = None, n_classes: int | None = None, seed: int = 42,
+        n_rows: int | None = None) -> PipelineModel:
+    """Assemble features and fit one model; returns a PipelineModel.
+    ``n_rows`` and ``n_classes`` spare their count where the caller knows them."""
+    n = train.count() if n_rows is None else n_rows
     if problem == "classification" and n_classes is None:
         n_classes = train.select("label").distinct().count()
     hp = dict(hp or {})
@@ -205,29 +208,66 @@ def _with_row_id(df: DataFrame, key: list[str] | None) -> DataFrame:
     return df.withColumn("__row_id", F.monotonically_increasing_id())
 
 
-def cross_validate(algo: str, train: DataFrame, features: list[str], problem: str, k: int = 5,
-                   key: list[str] | None = None, hp: dict | None = None, seed: int = 42,
-                   parallelism: int = 2, weight_col: str | None = None) -> dict:
-    """Stratified (classification) or plain k-fold with a
-    persisted fold column; returns mean accuracy & f1_weighted, or r2 & rmse."""
+def evaluate_all(preds: list[tuple], problem: str) -> list[dict]:
+    """Metrics (without AUC) of many prediction frames in one grouped job:
+    ``preds`` holds (number of the group, frame with label and prediction)."""
+    stacked = None
+    for g, p in preds:
+        part = p.select(F.lit(g).alias("__set"), "label", "prediction")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    metrics = EV.classification_metrics if problem == "classification" else EV.regression_metrics
+    found = {r["__set"]: r.asDict() for r in metrics(stacked, "label", "prediction", ["__set"]).collect()}
+    return [found.get(g, {}) for g, _ in preds]
+
+
+def _folds(train: DataFrame, problem: str, k: int, key: list[str], seed: int) -> tuple[DataFrame, dict, int]:
+    """Rows with their fold (written), rows per fold and classes."""
     if not 2 <= k <= 10:
         raise ValueError("cv_folds must be between 2 and 10")
     key = key or ["__row_id"]
     folded = assign_folds(_with_row_id(train, None if key == ["__row_id"] else key), k, key, seed,
-                          "label" if problem == "classification" else None).persist()
+                          "label" if problem == "classification" else None).persist(StorageLevel.DISK_ONLY)
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
     n_classes = folded.select("label").distinct().count() if problem == "classification" else 0
+    return folded, sizes, n_classes
+
+
+def _fit_folds(algo: str, folded: DataFrame, sizes: dict, n_classes: int, features: list[str], problem: str, draws: list[dict],
+               k: int, seed: int, parallelism: int, weight_col: str | None = None) -> list[dict]:
+    """One model per draw and fold, fitted side by side; the predictions of all
+    are evaluated in one job.  Returns the mean scores of each draw."""
+    n = sum(sizes.values())
+    todo = [(d, i) for d in range(len(draws)) for i in range(k)]
 
-    def one(i):
-        m = fit(algo, folded.where(F.col("fold") != i), features, problem, hp, weight_col, n_classes, seed)
-        return evaluate(m.transform(folded.where(F.col("fold") == i)).drop("probability") if algo == "knn" else
-                        m.transform(folded.where(F.col("fold") == i)), problem)
+    def one(task):
+        d, i = task
+        m = fit(algo, folded.where(F.col("fold") != i), features, problem, draws[d], weight_col, n_classes, seed,
+                n - sizes.get(i, 0))
+        return m.transform(folded.where(F.col("fold") == i))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        scores = list(ex.map(one, range(k)))
-    folded.unpersist()
-    if problem == "classification":
-        return {"accuracy": sum(s["accuracy"] for s in scores) / k, "f1_weighted": sum(s["f1_score"] for s in scores) / k}
-    return {"r2": sum(s["r2"] for s in scores) / k, "rmse": sum(s["rmse"] for s in scores) / k}
+        preds = list(ex.map(one, todo))
+    scores = evaluate_all(list(enumerate(preds)), problem)
+    out = []
+    for d in range(len(draws)):
+        own = scores[d * k:(d + 1) * k]
+        if problem == "classification":
+            out.append({"accuracy": sum(s["accuracy"] for s in own) / k, "f1_weighted": sum(s["f1_score"] for s in own) / k})
+        else:
+            out.append({"r2": sum(s["r2"] for s in own) / k, "rmse": sum(s["rmse"] for s in own) / k})
+    return out
+
+
+def cross_validate(algo: str, train: DataFrame, features: list[str], problem: str, k: int = 5,
+                   key: list[str] | None = None, hp: dict | None = None, seed: int = 42,
+                   parallelism: int = 4, weight_col: str | None = None) -> dict:
+    """Stratified (classification) or plain k-fold with a written
+    fold column; returns mean accuracy & f1_weighted, or r2 & rmse."""
+    folded, sizes, n_classes = _folds(train, problem, k, key, seed)
+    try:
+        return _fit_folds(algo, folded, sizes, n_classes, features, problem, [hp or {}], k, seed, parallelism, weight_col)[0]
+    finally:
+        folded.unpersist()
 
 
 def sample_params(algo: str, n_iter: int = 5, seed: int = 42) -> list[dict]:
@@ -244,7 +284,8 @@ def sample_params(algo: str, n_iter: int = 5, seed: int = 42) -> list[dict]:
 
 
 def tune(algo: str, train: DataFrame, test: DataFrame, features: list[str], problem: str, baseline: dict,
-         primary: str, key: list[str] | None = None, seed: int = 42, n_iter: int = 5, folds: int = 3):
+         primary: str, key: list[str] | None = None, seed: int = 42, n_iter: int = 5, folds: int = 3,
+         parallelism: int = 4):
     """Random search (<= n_iter draws x folds-fold CV, scoring weighted
     F1 / R2); the best draw replaces the baseline only if its test metric
     improves (lower is better for rmse / mae / mape)."""
@@ -252,8 +293,12 @@ def tune(algo: str, train: DataFrame, test: DataFrame, features: list[str], prob
     if not draws:
         return None
     score_key = "f1_weighted" if problem == "classification" else "r2"
-    scored = [(cross_validate(algo, train, features, problem, folds, key, hp, seed)[score_key], i, hp)
-              for i, hp in enumerate(draws)]
+    folded, sizes, n_classes = _folds(train, problem, folds, key, seed)
+    try:
+        found = _fit_folds(algo, folded, sizes, n_classes, features, problem, draws, folds, seed, parallelism)
+    finally:
+        folded.unpersist()
+    scored = [(s[score_key], i, hp) for i, (s, hp) in enumerate(zip(found, draws))]
     best_hp = max(scored, key=lambda t: (t[0], -t[1]))[2]
     model = fit(algo, train, features, problem, best_hp, seed=seed)
     metrics = evaluate(model.transform(test), problem)

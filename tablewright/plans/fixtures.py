@@ -47,6 +47,9 @@ select p_partkey, case when p_partkey % 13 = 0 then null else cast(p_size as dou
     "scored": """
 select d.doc_id, l.quality as y, case when d.n_chars > 800 then 1 else 0 end as pred,
  round(cast(d.n_chars as double) / (d.n_chars + 1000), 6) as score from {documents} d join {labels} l on d.doc_id = l.doc_id""",
+    "scored3": """
+select o_orderkey, o_orderstatus as y, cast((o_orderkey * 37) % 1000 as double) / 1000 as p_f,
+ cast((o_custkey * 13) % 1000 as double) / 1000 as p_o, cast((o_orderkey + o_custkey) % 1000 as double) / 1000 as p_p from {orders}""",
     "reg_scored": """
 select l_orderkey, l_linenumber, l_extendedprice as y, l_quantity * 1500 as pred from {lineitem}""",
     "runs": """

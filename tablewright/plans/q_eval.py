@@ -52,6 +52,42 @@ def q_roc_auc(spark, sf):
     return EV.roc_auc(view(spark, sf, "scored"))
 
 
+_OVR = with_views("scored3") + """, l as (select 'F' as cls, cast(y = 'F' as int) as yb, p_f as score from scored3
+ union all select 'O', cast(y = 'O' as int), p_o from scored3 union all select 'P', cast(y = 'P' as int), p_p from scored3),
+t as (select cls, score, sum(yb) as pos, sum(1 - yb) as neg from l group by cls, score),
+c as (select *, sum(pos) over w as cp, sum(neg) over w as cn, sum(pos) over (partition by cls) as p, sum(neg) over (partition by cls) as n
+ from t window w as (partition by cls order by score desc rows between unbounded preceding and current row))
+"""
+_CLASSES = {"F": "p_f", "O": "p_o", "P": "p_p"}
+
+
+def _ovr(spark, sf):
+    return EV.one_vs_rest(view(spark, sf, "scored3"), "y", _CLASSES)
+
+
+@register("roc_curve_ovr", _OVR + """select cls, score as threshold, round(cn / n, 6) as fpr, round(cp / p, 6) as tpr from c
+union all select distinct cls, null, 0.0, 0.0 from l""")
+def q_roc_curve_ovr(spark, sf):
+    return EV.roc_curve(_ovr(spark, sf), "yb", "score", 1, ["cls"])
+
+
+@register("pr_curve_ovr", _OVR + """select cls, score as threshold, round(cp / (cp + cn), 6) as precision, round(cp / p, 6) as recall from c
+union all select distinct cls, null, 1.0, 0.0 from l""")
+def q_pr_curve_ovr(spark, sf):
+    return EV.pr_curve(_ovr(spark, sf), "yb", "score", 1, ["cls"])
+
+
+@register("average_precision_ovr", _OVR + "select cls, round(sum(pos * cp / (cp + cn)) / sum(pos), 4) as average_precision from c group by cls")
+def q_average_precision_ovr(spark, sf):
+    return EV.average_precision(_ovr(spark, sf), "yb", "score", 1, ["cls"])
+
+
+@register("roc_auc_ovr", _OVR + """, a as (select cls, round(sum(pos * (n - cn + neg * 0.5)) / (max(p) * max(n)), 4) as auc, max(p) as support from c group by cls)
+select round(sum(auc * support) / sum(support), 4) as roc_auc from a""")
+def q_roc_auc_ovr(spark, sf):
+    return EV.roc_auc_ovr(view(spark, sf, "scored3"), "y", _CLASSES)
+
+
 @register("roc_curve", _SCORES + """, c as (select *, sum(pos) over (order by score desc rows between unbounded preceding and current row) as cp,
  sum(neg) over (order by score desc rows between unbounded preceding and current row) as cn from t),
 tot as (select sum(pos) as p, sum(neg) as n from t)
