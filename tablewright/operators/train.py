@@ -13,12 +13,16 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import evaluate as EV
 from .split import assign_folds
 
@@ -42,56 +46,159 @@ PARAM_GRIDS = {
 SPARK_MAX_DEPTH = 30
 
 
-class RandomFourierFeatures(Transformer):
+class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """RBF kernel approximation z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma):
-    a plain projection of the feature columns (JVM expressions, no UDF)."""
+    a plain projection of the feature columns (JVM expressions, no UDF), drawn
+    again from its parameters when it is loaded."""
 
-    def __init__(self, features: list[str], gamma: float, n_components: int = 100, seed: int = 42):
+    features = Param(Params._dummy(), "features", "feature columns")
+    gamma = Param(Params._dummy(), "gamma", "kernel width")
+    size = Param(Params._dummy(), "size", "number of random features")
+    seed = Param(Params._dummy(), "seed", "seed of the draw")
+
+    def __init__(self, features: list[str] | None = None, gamma: float = 1.0, n_components: int = 100, seed: int = 42):
         super().__init__()
-        import numpy as np
-        rng = np.random.default_rng(seed)
-        self.features = features
-        self.W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, len(features))).tolist()
-        self.b = rng.uniform(0, 2 * math.pi, size=n_components).tolist()
-        self.n = n_components
+        self._set(features=features or [], gamma=float(gamma), size=n_components, seed=seed)
+
+    @property
+    def n(self) -> int:
+        return self.getOrDefault("size")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        scale = math.sqrt(2.0 / self.n)
+        import numpy as np
+
+        names, n = self.getOrDefault("features"), self.n
+        rng = np.random.default_rng(self.getOrDefault("seed"))
+        weights = rng.normal(0.0, math.sqrt(2 * self.getOrDefault("gamma")), size=(n, len(names))).tolist()
+        shift = rng.uniform(0, 2 * math.pi, size=n).tolist()
+        scale = math.sqrt(2.0 / n)
         cols = []
-        for j in range(self.n):
-            lin = F.lit(self.b[j])
-            for w, f in zip(self.W[j], self.features):
+        for j in range(n):
+            lin = F.lit(shift[j])
+            for w, f in zip(weights[j], names):
                 lin = lin + F.lit(w) * F.col(f)
             cols.append((F.lit(scale) * F.cos(lin)).alias(f"__rff_{j}"))
         return df.select("*", *cols)
 
 
-class KnnClassifierModel(Model):
+class MarginProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Class probabilities from margins: one fitted sigmoid per class (one for
+    two classes), normalised to a sum of one."""
+
+    slopes = Param(Params._dummy(), "slopes", "slope per class")
+    offsets = Param(Params._dummy(), "offsets", "offset per class")
+
+    def __init__(self, slopes: list[float] | None = None, offsets: list[float] | None = None):
+        super().__init__()
+        self._set(slopes=slopes or [], offsets=offsets or [])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        slopes, offsets = self.getOrDefault("slopes"), self.getOrDefault("offsets")
+        raw = vector_to_array("rawPrediction")
+        first = 1 if len(slopes) == 1 else 0
+        ps = [F.lit(1.0) / (1 + F.exp(-(F.lit(a) * raw[first + j] + F.lit(b)))) for j, (a, b) in enumerate(zip(slopes, offsets))]
+        if len(ps) == 1:
+            return df.withColumn("probability", array_to_vector(F.array(1 - ps[0], ps[0])))
+        total = sum(ps[1:], ps[0])
+        return df.withColumn("probability", array_to_vector(F.array(*[F.try_divide(p, total) for p in ps])))
+
+
+#: Parts of the training rows that give the margins a sigmoid is fitted on.
+CALIBRATION_FOLDS = 3
+
+
+def calibrate(stages: list, train: DataFrame, features: list[str], n_classes: int) -> MarginProbability:
+    """Sigmoids fitted on out-of-fold margins: rows are dealt to parts by a hash
+    of their features (copies stay together), each part is scored by a model of
+    the others."""
+    part = F.pmod(F.xxhash64(*features), F.lit(CALIBRATION_FOLDS)).alias("__part")
+    dealt = cut_lineage(train.select("*", part))
+    scored = None
+    for i in range(CALIBRATION_FOLDS):
+        model = Pipeline(stages=stages).fit(dealt.where(F.col("__part") != i))
+        held = model.transform(dealt.where(F.col("__part") == i)).select("label", vector_to_array("rawPrediction").alias("m"))
+        scored = held if scored is None else scored.unionByName(held)
+    scored = scored.persist(StorageLevel.DISK_ONLY)
+    slopes, offsets = [], []
+    for j in [1] if n_classes <= 2 else range(n_classes):
+        rows = scored.select(array_to_vector(F.array(F.col("m")[j])).alias("features"),
+                             (F.col("label") == j).cast("double").alias("label"))
+        sigmoid = LogisticRegression(maxIter=100).fit(rows)
+        slopes.append(float(sigmoid.coefficients[0]))
+        offsets.append(float(sigmoid.intercept))
+    scored.unpersist()
+    return MarginProbability(slopes, offsets)
+
+
+class KnnClassifierModel(Model, MLWritable, MLReadable):
     """M5: k-NN vote (uniform, ties -> smallest label) against the training
-    rows via the exact blocked neighbour join; needs a row id column."""
+    rows by the block index; ``probability`` holds the shares of the votes.
+    Rows of equal features share their neighbours, so queries need no key."""
 
-    def __init__(self, train: DataFrame, features: list[str], k: int, id_col: str):
+    def __init__(self, train: DataFrame, features: list[str], k: int, n_classes: int):
         super().__init__()
-        self.train, self.features, self.k, self.id_col = train, features, k, id_col
+        self.train, self.features, self.k, self.n_classes = train, features, k, n_classes
 
     def _transform(self, df: DataFrame) -> DataFrame:
         from ..functions.neighbors import nearest
 
-        vec = F.array(*[F.col(f).cast("double") for f in self.features]).alias("vec")
-        t = self.train.select(F.col(self.id_col).alias("did"), F.col("label").alias("dlabel"), vec)
-        nn = nearest(df.select(F.col(self.id_col).alias("qid"), vec), t.drop("dlabel"), self.k, len(self.features))
-        votes = (nn.join(t.select("did", "dlabel"), "did").groupBy("qid", "dlabel").agg(F.count(F.lit(1)).alias("v")))
-        best = votes.groupBy("qid").agg(F.min_by("dlabel", F.struct((-F.col("v")).alias("a"), F.col("dlabel").alias("b"))).alias("prediction"))
-        return df.join(best.withColumnRenamed("qid", self.id_col), self.id_col, "left")
+        vec = F.array(*[F.col(f).cast("double") for f in self.features])
+        told = F.concat_ws(":", F.xxhash64(vec).cast("string"), F.xxhash64(F.lit("second"), vec).cast("string"))
+        keyed = df.withColumn("__vec_id", told)
+        nn = nearest(keyed.select(F.col("__vec_id").alias("qid"), vec.alias("vec")).dropDuplicates(["qid"]),
+                     self.train.select("did", "vec"), self.k, len(self.features))
+        votes = nn.join(self.train.select("did", "label"), "did").groupBy("qid").agg(
+            *[F.count_if(F.col("label") == j).alias(f"v{j}") for j in range(self.n_classes)])
+        counts = F.array(*[F.col(f"v{j}").cast("double") for j in range(self.n_classes)])
+        total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
+        best = votes.select(F.col("qid").alias("__vec_id"), counts.alias("c")).select(
+            "__vec_id", (F.array_position("c", F.array_max("c")) - 1).cast("double").alias("prediction"),
+            array_to_vector(F.transform("c", lambda x: F.try_divide(x, total))).alias("probability"))
+        return keyed.join(best, "__vec_id", "left").drop("__vec_id")
+
+    def write(self):
+        return _KnnWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _KnnReader()
+
+
+class _KnnWriter(MLWriter):
+    def __init__(self, model: KnnClassifierModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        m = self.model
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession,
+                                         {"features": m.features, "k": m.k, "n_classes": m.n_classes})
+        m.train.write.parquet(f"{path}/train")
+
+
+class _KnnReader(MLReader):
+    def load(self, path: str) -> KnnClassifierModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KnnClassifierModel(self.sparkSession.read.parquet(f"{path}/train"), meta["features"], meta["k"],
+                                   meta["n_classes"])
+        model._resetUid(meta["uid"])
+        return model
 
 
 class KnnClassifier(Estimator):
+    """Keeps the training rows (did, label, vec), written once; ``id_col`` orders
+    equal distances where the rows have it."""
+
     def __init__(self, features: list[str], k: int = 5, id_col: str = "__row_id"):
         super().__init__()
         self.features, self.k, self.id_col = features, k, id_col
 
     def _fit(self, df: DataFrame) -> KnnClassifierModel:
-        return KnnClassifierModel(df.select(self.id_col, "label", *self.features).persist(), self.features, self.k, self.id_col)
+        did = F.col(self.id_col) if self.id_col in df.columns else F.monotonically_increasing_id()
+        vec = F.array(*[F.col(f).cast("double") for f in self.features])
+        train = cut_lineage(df.select(did.alias("did"), "label", vec.alias("vec")))
+        top = train.agg(F.max("label")).first()[0]
+        return KnnClassifierModel(train, self.features, self.k, int(top or 0) + 1)
 
 
 def make_estimator(algo: str, hp: dict, n_rows: int, n_classes: int, features: list[str],
@@ -101,7 +208,7 @@ def make_estimator(algo: str, hp: dict, n_rows: int, n_classes: int, features: l
     M1 logistic regression (regParam = 1/(C n)); M2 random forest (sqrt
     features, depth <= 30); M3 boosted trees -> GBTClassifier (one-vs-rest for
     > 2 classes); M4 SVM -> LinearSVC, RBF via random Fourier features; M5 k-NN
-    (exact blocked neighbour join); M6 OLS (normal equations); M7 ridge
+    (exact, by the block index); M6 OLS (normal equations); M7 ridge
     (regParam = alpha/n); M8 lasso (L1, regParam = alpha); M9 random forest
     regressor (all features per split); M10 boosted regressor -> GBTRegressor."""
     hp = dict(hp or {})
@@ -125,7 +232,7 @@ def make_estimator(algo: str, hp: dict, n_rows: int, n_classes: int, features: l
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **kw)
     if algo == "svm":
         c = float(hp.get("C", 1.0))
-        svc = LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=200, **kw, **kw_w)
+        svc = LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=20, tol=1e-3, **kw, **kw_w)
         est = svc if n_classes <= 2 else OneVsRest(classifier=svc, **kw)
         return est
     if algo == "knn":
@@ -171,6 +278,8 @@ def fit(algo: str, train: DataFrame, features: list[str], problem: str, hp: dict
     if algo != "knn":
         stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"))
     stages.append(est)
+    if algo == "svm":
+        stages.append(calibrate(stages, train, features, n_classes or 0))
     return Pipeline(stages=stages).fit(train)
 
 
