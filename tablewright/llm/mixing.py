@@ -12,8 +12,9 @@
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; a source without words has target 0 and its documents are
-taken 0 words; rows that agree in key, source and seed get the same decision;
-a null key hashes as the empty text; an empty table gives no rows.
+taken 0 words; rows of a null or repeated key are numbered within it, in the
+order of their content, and the number is hashed too, so that each draws for
+itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.ordered import ranked
+
 from .common import fits, materialize, unit_hash, word_count
 
 #: The source table is broadcast up to this many sources, else joined by shuffle.
@@ -51,12 +54,26 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
                       F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
+def _with_chance(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` and a draw in [0, 1) each.  Only rows of null or repeated keys
+    are numbered, by a distributed scan that deals out a hot key."""
+    again = materialize(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+                        .select(F.col("doc_id").alias("doc_id_")), "mix-again")
+    if again.isEmpty():
+        return rows.withColumn("chance", unit_hash(F.lit(str(seed)), "doc_id"))
+    same = rows["doc_id"].eqNullSafe(again["doc_id_"])
+    single = rows.join(again, same, "left_anti").withColumn("chance", unit_hash(F.lit(str(seed)), "doc_id"))
+    shared = ranked(rows.join(again, same, "left_semi"), ["source"], ["doc_id"], "number_")
+    return single.unionByName(shared.withColumn("chance", unit_hash(F.lit(str(seed)), "doc_id", "number_")).drop("number_"))
+
+
 def _with_copies(rows: DataFrame, sizes: DataFrame, seed: int, **kw) -> DataFrame:
     """``rows`` (doc_id, source, ...) with the target, rate and copies of each."""
     targets = materialize(source_targets(sizes, **kw), "mix-targets").withColumnRenamed("source", "source_")
     small = fits(targets, BROADCAST_SOURCES)
     out = rows.join(F.broadcast(targets) if small else targets, rows["source"].eqNullSafe(targets["source_"]))
-    chance = unit_hash(F.lit(str(seed)), "doc_id")
+    out = _with_chance(out, seed)
+    chance = F.col("chance")
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long"))
                           .cast("long"))
 

@@ -28,6 +28,8 @@ from .components import components
 #: Query parameters that do not change the address.
 TRACKING = r"(^|&)(utm_[^=&]*|gclid|fbclid|ref)=[^&]*"
 TAG = r"(?i)<(?:link|meta)\s[^>]*>"
+REL = r"""(?i)\srel\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def lower_ascii(c: Column) -> Column:
@@ -55,7 +57,8 @@ def node(url: Column) -> Column:
 def links(html: Column) -> Column:
     """array<string>: targets of the canonical links and refresh redirects."""
     def target(tag):
-        rel = F.regexp_extract(tag, r"""(?i)\srel\s*=\s*["']?\s*canonical\b""", 0) != ""
+        words = F.concat(*[F.regexp_extract(tag, REL, i) for i in (1, 2, 3)])
+        rel = words.rlike(r"(?i)(^|\s)canonical(\s|$)")
         refresh = F.regexp_extract(tag, r"""(?i)\shttp-equiv\s*=\s*["']?\s*refresh\b""", 0) != ""
         href = F.regexp_extract(tag, r"""(?i)\shref\s*=\s*["']?([^"'\s>]+)""", 1)
         url = F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
@@ -64,15 +67,29 @@ def links(html: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), target), lambda t: t != "")
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute url whose path has no ``.`` and ``..`` segments."""
+    root, path = (F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*)([^?#]*)", i) for i in (1, 2))
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"),
+                       lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1))))
+                       .otherwise(F.concat(a, F.array(s))))
+    end = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(root, F.array_join(kept, "/"), end, rest)).otherwise(url)
+
+
 def resolve(url: Column, link: Column) -> Column:
-    """``link`` as an absolute url, seen from the page ``url``."""
+    """``link`` as an absolute url, seen from the page ``url``; a link that only
+    holds ``://`` further on is relative."""
     scheme = F.regexp_extract(url, r"^([^:/?#]*):", 1)
     root = F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*(?:/[^?#]*)?/)[^/?#]*", 1)
-    return (F.when(F.contains(link, F.lit("://")), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link))
+    page = F.regexp_extract(url, r"^([^?#]*)", 1)
+    seen = (F.when(link.startswith("/"), F.concat(root, link))
+            .when(link.rlike(r"^[?#]"), F.concat(page, link))
             .otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(root, F.lit("/"))), link)))
+    return (F.when(link.rlike(ABSOLUTE), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+            .otherwise(without_dots(seen)))
 
 
 def matched(host: Column, path: Column, rules) -> Column:

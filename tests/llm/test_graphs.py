@@ -170,3 +170,32 @@ def test_ann_recall_with_uneven_lengths(spark):
         scores[q] = -np.inf
         hit += (part["score"] >= np.sort(scores)[-20] - 1e-9).sum()
     assert out["query_id"].nunique() == 200 and hit / 4000 >= 0.9
+
+
+def test_links_are_resolved_like_a_browser_would(spark):
+    """Relative links that hold ``://``, dot segments, queries, several rel words."""
+    rules = (("bad.net", "/", "block"), ("example.com", "/x/", "block"))
+    tag = '<link rel="{}" href="{}">'.format
+    pages = [
+        (1, "http://good.org/a/page", tag("canonical", "/out?to=https://bad.net/")),   # its own address
+        (2, "http://good.org/b/c/page", tag("canonical", "../../y")),
+        (3, "http://good.org/y", tag("alternate canonical", "https://bad.net/z")),
+        (4, "http://example.com/p/q/page", tag("canonical", "../../x/./1")),
+        (5, "http://good.org/list", tag("canonical", "?page=1")),
+        (6, "http://good.org/list?page=1", tag("canonical", "http://bad.net/l")),
+        (7, "http://good.org/d", tag("canonicals", "https://bad.net/z")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow"}
+
+
+def test_mixture_of_null_and_repeated_keys_comes_near_its_target(spark):
+    from tablewright.llm import mixing
+
+    rows = [(None if i % 2 else 5, "word " * 10, f"s{i % 3}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    for _ in range(2):
+        plan = mixing.mix_plan(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+        assert all(abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.05 for r in plan)
+        assert mixing.mix(docs).count() * 10 == pytest.approx(sum(r["max(target)"] for r in plan), rel=0.05)
