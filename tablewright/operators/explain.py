@@ -21,13 +21,18 @@ def _final_stage(model):
     return model.stages[-1] if isinstance(model, PipelineModel) else model
 
 
-def feature_importance(model, names: list[str], top: int = 15) -> DataFrame:
+def feature_importance(model, names: list[str], top: int = 15, df: DataFrame | None = None,
+                       problem: str = "classification", key: list[str] | None = None) -> DataFrame:
     """Tree importances, else mean |coefficient| over classes;
-    top ``top`` by importance (ties by name)."""
+    top ``top`` by importance (ties by name).  A model that has neither for its
+    input columns (k-NN, RBF SVM, one-vs-rest) takes the permutation importance
+    over ``df`` (M37)."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
     st = _final_stage(model)
+    if type(st).__name__ == "MarginProbability":  # calibrated: the margin's model stands before
+        st = model.stages[-2]
     vals = None
     if hasattr(st, "featureImportances"):
         vals = list(st.featureImportances.toArray())
@@ -36,7 +41,12 @@ def feature_importance(model, names: list[str], top: int = 15) -> DataFrame:
         vals = [float(abs(m[:, j]).mean()) for j in range(m.shape[1])]
     elif hasattr(st, "coefficients"):
         vals = [abs(float(v)) for v in st.coefficients.toArray()]
-    rows = [] if vals is None or len(vals) != len(names) else sorted(zip(names, vals), key=lambda t: (-t[1], t[0]))[:top]
+    if vals is None or len(vals) != len(names):
+        if df is None or not key:
+            raise ValueError("this model has no importances of its own: give df and key for the permutation importance")
+        by = permutation_importance(model, df, names, problem, key)
+        return by.orderBy(F.col("importance").desc(), "feature").limit(top)
+    rows = sorted(zip(names, vals), key=lambda t: (-t[1], t[0]))[:top]
     return spark.createDataFrame([(n, float(v)) for n, v in rows], "feature string, importance double")
 
 

@@ -119,22 +119,15 @@ def datetime_columns(df: DataFrame, key: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, reason string")
 
 
+#: Largest cardinality, then the encoding for a binary class, several classes and a number.
+ENCODINGS = ((ONE_HOT_MAX, "one_hot", "one_hot", "one_hot"), (TARGET_ENC_MAX, "target", "one_hot", "one_hot"),
+             (float("inf"), "target", "target", "frequency"))
+
+
 def suggest_encoding(cardinality: int, problem_type: str, n_classes: int) -> str:
-    """<=10 one_hot; <=50 target for binary classification else one_hot;
-    >50 target (classification) / frequency."""
-    if cardinality <= ONE_HOT_MAX:
-        return "one_hot"
-    if cardinality <= TARGET_ENC_MAX:
-        return "target" if problem_type == "classification" and n_classes == 2 else "one_hot"
-    return "target" if problem_type == "classification" else "frequency"
-
-
-def encoding_expr(card: str, problem: str, n_classes: str):
-    """P4 as a Column expression over (cardinality, problem_type, n_classes)."""
-    c, p, k = F.col(card), F.col(problem), F.col(n_classes)
-    return (F.when(c <= ONE_HOT_MAX, "one_hot")
-            .when(c <= TARGET_ENC_MAX, F.when((p == "classification") & (k == 2), "target").otherwise("one_hot"))
-            .otherwise(F.when(p == "classification", "target").otherwise("frequency")))
+    """The row of :data:`ENCODINGS` that holds the cardinality."""
+    kind = 3 if problem_type != "classification" else 1 if n_classes == 2 else 2
+    return next(row[kind] for row in ENCODINGS if cardinality <= row[0])
 
 
 def suggest_scaling(outliers: DataFrame) -> DataFrame:

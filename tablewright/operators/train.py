@@ -440,9 +440,11 @@ def train_all(train: DataFrame, test: DataFrame, features: list[str], problem: s
     weight_col = None
     if use_class_weight and problem == "classification":
         from .split import class_weights
-        w = class_weights(train, "label", boosted_binary=False).select(F.col("label").alias("__wl"), F.col("weight").alias("__w"))
-        train = train.join(F.broadcast(w), F.col("label").cast("string") == F.col("__wl"), "left").drop("__wl").persist()
-        weight_col = "__w"
+        for name, boosted in (("__w", False), ("__w_boosted", True)):
+            w = class_weights(train, "label", boosted).select(F.col("label").alias("__wl"), F.col("weight").alias(name))
+            train = train.join(F.broadcast(w), F.col("label").cast("string") == F.col("__wl"), "left").drop("__wl")
+        train = train.persist()
+        weight_col = {"xgboost": "__w_boosted", "knn": None}
     results, models = {}, {}
     for algo in algos:
         hp = hyperparameters.get(algo) if hyperparameters and isinstance(hyperparameters.get(algo), dict) else \
@@ -450,8 +452,8 @@ def train_all(train: DataFrame, test: DataFrame, features: list[str], problem: s
         t0 = time.time()
         try:
             cv = cross_validate(algo, train, features, problem, cv_folds, ["__row_id"], hp, seed,
-                                weight_col=None if algo in ("knn",) else weight_col)
-            model = fit(algo, train, features, problem, hp, None if algo == "knn" else weight_col, seed=seed)
+                                weight_col=weight_col and weight_col.get(algo, "__w"))
+            model = fit(algo, train, features, problem, hp, weight_col and weight_col.get(algo, "__w"), seed=seed)
             metrics = evaluate(model.transform(test), problem)
             metrics["cv_mean_score"] = cv.get("f1_weighted", cv.get("r2"))
             results[algo] = {"status": "completed", "metrics": metrics, "hp": hp, "tuned": False,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import CleaningConfig, MissingStrategy, OutlierStrategy
@@ -231,20 +232,24 @@ def q_column_changes(spark, sf):
     return _clean_orders(spark, sf).column_changes
 
 
-@register("cleaning_runs")
+@register("cleaning_runs", with_views("orders_dirty") + """, n as (select count(*) as c,
+  count(*) filter (price is null) as no_price, count(*) filter (priority is null) as no_priority,
+  cast(bool_or(priority <> lower(priority)) as int) + cast(bool_or(status <> lower(status)) as int) as lowered from orders_dirty),
+d as (select count(*) as c from (select distinct * from orders_dirty) t)
+select id, n.c as before_rows, d.c as after_rows, cast((n.c > d.c)::int + lowered
+  + case when id = 2 then (no_price > 0)::int + (no_priority > 0)::int else 0 end as int) as step_count,
+ cast(3 - id as int) as newest from n cross join d cross join (values (1), (2)) r(id)""")
 def q_cleaning_runs(spark, sf):
-    """C26 over two real runs on the dirty orders view (newest first)."""
-    import datetime as dt
-
+    """C26 over two runs on the dirty orders view: their written reports, newest
+    first."""
     from .cleaning import cleaning_runs
+    from .manifest import write_cleaning_report
+    from .q_io import scratch
 
-    df = view(spark, sf, "orders_dirty")
-    runs = []
-    for i, cfg in enumerate([CleaningConfig(), _planned_config(C.plan_cleaning(C.cleaning_suggestions(df)).collect())]):
-        res = clean(df, cfg, key="o_orderkey")
-        b, a = res.before.collect()[0], res.after.collect()[0]
-        steps = [r["step"] for r in res.log.orderBy("seq").collect()]
-        runs.append((i + 1, dt.datetime(2026, 1, 1 + i), (b["row_count"],), (a["row_count"],), steps))
-    reports = spark.createDataFrame(runs, "id int, created_at timestamp, before struct<row_count:bigint>, "
-                                          "after struct<row_count:bigint>, steps array<string>")
-    return cleaning_runs(reports)
+    df, path = view(spark, sf, "orders_dirty"), scratch(spark) + "/cleaning_reports"
+    plan = C.plan_cleaning(C.cleaning_suggestions(df)).collect()
+    for i, cfg in enumerate([CleaningConfig(), _planned_config(plan)]):
+        write_cleaning_report(clean(df, cfg, key="o_orderkey"), path, i + 1)
+    runs = cleaning_runs(spark.read.parquet(path))
+    newest = Window.orderBy(F.col("created_at").desc(), F.col("id").desc())  # one row per run
+    return runs.withColumn("newest", F.row_number().over(newest)).drop("created_at")

@@ -15,7 +15,9 @@ from ..operators import score as SC
 from ..operators import split as SP
 from ..operators import train as TR
 from ..operators.profile import value_presence
+from ..config import PipelineConfig
 from .fixtures import load, view, with_views
+from .prepare import prepare
 from .q_prepare import _doc_prep
 from .registry import register
 
@@ -181,3 +183,51 @@ def q_decode_labels(spark, sf):
 @register("predict_layout", with_views("scored") + 'select doc_id, y, pred as "y(predicted)", score from scored')
 def q_predict_layout(spark, sf):
     return SC.layout_predictions(view(spark, sf, "scored"), "y", "pred")
+
+
+def _line_xy(spark, sf):
+    return load(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+
+
+def _fitted(spark, df, algo, hp, digits):
+    m = TR.fit(algo, df, ["l_quantity"], "regression", hp).stages[-1]
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "coefficient double, intercept double") \
+        .select(F.round("coefficient", digits).alias("coefficient"), F.round("intercept", digits).alias("intercept"))
+
+
+_XY = """with m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, count(*) as n from lineitem),
+s as (select sum((l_quantity - mx) * (l_extendedprice - my)) as sxy, sum((l_quantity - mx) * (l_quantity - mx)) as sxx from lineitem, m),
+"""
+
+
+@register("ridge", _XY + """b as (select sxy / (sxx + 10.0) as b from s)
+select round(b, 1) as coefficient, round(my - b * mx, 1) as intercept from b, m""")
+def q_ridge(spark, sf):
+    return _fitted(spark, _line_xy(spark, sf), "ridge", {"alpha": 10.0}, 1)
+
+
+@register("lasso", _XY + """b as (select greatest(sxy / n - 1.0, 0) / (sxx / n) as b from s, m)
+select round(b, 1) as coefficient, round(my - b * mx, 1) as intercept from b, m""")
+def q_lasso(spark, sf):
+    return _fitted(spark, _line_xy(spark, sf), "lasso", {"alpha": 1.0}, 1)
+
+
+@register("replay_run", with_views("doc_labels") + "select doc_id, true as same from doc_labels")
+def q_replay_run(spark, sf):
+    """A run is written, read back and replayed on the raw rows; its
+    predictions equal those of the run itself."""
+    from ..config import CleaningConfig
+    from .cleaning import clean
+    from .manifest import replay, write_manifest
+    from .q_io import scratch
+
+    raw = view(spark, sf, "doc_labels")
+    cfg = CleaningConfig(drop_constant_columns=False)
+    p = prepare(clean(raw, cfg, key="doc_id").data, PipelineConfig(target_column="quality", key_columns=("doc_id",)))
+    feats = p.model.feature_names()
+    m = TR.fit("logistic_regression", p.train, feats, "classification")
+    bundle, path = SC.Bundle(p.model, m, feats, "quality"), scratch(spark) + "/run"
+    write_manifest(spark, path, cfg, "doc_id", bundle, raw.columns, {"algorithm": "logistic_regression"})
+    own = SC.predict(bundle, clean(raw, cfg, key="doc_id").data).select("doc_id", F.col("quality(predicted)").alias("a"))
+    again = replay(spark, path, raw).select("doc_id", F.col("quality(predicted)").alias("b"))
+    return own.join(again, "doc_id", "full").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))

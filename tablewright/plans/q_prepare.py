@@ -316,3 +316,61 @@ select 'quality' as target_column, case when count(*) < 2 then 'invalid' when co
  round((max(c) / max(n)) / (min(c) / max(n)), 4) as imbalance_ratio, '' as datetime_columns from c cross join n""")
 def q_describe_target(spark, sf):
     return PR.describe_target(load(spark, sf, "labels"), "quality", ["doc_id"])
+
+
+@register("suggest_encodings", """with c as (select 'p_name' as column_name, count(distinct p_name) as cardinality from part
+ union all select 'p_brand', count(distinct p_brand) from part union all select 'p_type', count(distinct p_type) from part)
+select column_name, cardinality, case when cardinality <= 10 then 'one_hot' else 'target' end as binary_class,
+ case when cardinality <= 50 then 'one_hot' else 'target' end as classes,
+ case when cardinality <= 50 then 'one_hot' else 'frequency' end as number from c""")
+def q_suggest_encodings(spark, sf):
+    from ..functions.cardinality import distinct_counts
+
+    card = distinct_counts(load(spark, sf, "part"), ["p_name", "p_brand", "p_type"])
+    kinds = (("classification", 2), ("classification", 5), ("regression", 0))
+    return spark.createDataFrame([(c, n, *[PR.suggest_encoding(n, *k) for k in kinds]) for c, n in card.items()],
+                                 "column_name string, cardinality bigint, binary_class string, classes string, number string")
+
+
+@register("suggest_pipeline", """select 'quality' as column_name, cast(count(distinct quality) as bigint) as cardinality,
+ 'target' as suggested_role, null as suggested_encoding from labels
+union all select 'toxic', count(distinct toxic), 'target', null from labels
+union all select 'doc_id', count(distinct doc_id), 'feature', null from labels""")
+def q_suggest_pipeline(spark, sf):
+    return PR.suggest_pipeline(load(spark, sf, "labels")).select("column_name", "cardinality", "suggested_role",
+                                                                 "suggested_encoding")
+
+
+@register("splits_roundtrip", """select o_orderkey, case when row_number() over (order by md5(cast(o_orderkey as varchar) || ':42'))
+ <= ceil(0.2 * count(*) over ()) then 'test' else 'train' end as split, cast(1 as bigint) as in_csv from orders""")
+def q_splits_roundtrip(spark, sf):
+    """Splits written as Parquet, read back, exported to CSV."""
+    from types import SimpleNamespace
+
+    from ..sources.sinks import export_splits
+    from .prepare import read_splits, write_splits
+    from .q_io import scratch
+
+    path = scratch(spark)
+    train, test = SP.split(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), 0.2, 42, ["o_orderkey"])
+    write_splits(SimpleNamespace(train=train, test=test), f"{path}/splits")
+    both = _label(*read_splits(spark, f"{path}/splits", "o_orderstatus"))
+    export_splits(spark, f"{path}/splits", f"{path}/csv")
+    csv = [spark.read.csv(f"{path}/csv/{n}_preprocessed", header=True, schema="o_orderkey long, o_orderstatus string")
+           .select("o_orderkey", F.lit(n).alias("split")) for n in ("train", "test")]
+    seen = csv[0].unionByName(csv[1]).groupBy("o_orderkey", "split").agg(F.count(F.lit(1)).alias("in_csv"))
+    return both.join(seen, ["o_orderkey", "split"], "left")
+
+
+@register("target_distribution", """select o_orderstatus as value, count(*) as count from orders where o_orderstatus is not null group by 1""")
+def q_target_distribution(spark, sf):
+    from ..operators.profile import class_distribution
+
+    return class_distribution(load(spark, sf, "orders"), "o_orderstatus")
+
+
+@register("scan_parquet", "select event_id, user_id, event_type, value from events")
+def q_scan_parquet(spark, sf):
+    from ..sources.readers import read_table
+
+    return read_table(spark, f"{sf.rstrip('/')}/events.parquet").select("event_id", "user_id", "event_type", "value")

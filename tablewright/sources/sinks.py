@@ -3,8 +3,6 @@ to the given (shared) path; nothing is funnelled through the driver."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,34 +65,6 @@ def write_report(sections: dict, path: str) -> None:
     report_frame(sections).write.mode("overwrite").json(path)
 
 
-def export_recipe(spark, cleaning_cfg, pipeline_cfg, algorithm: str, hyperparameters: dict, path: str) -> None:
-    """Reproducibility recipe (cleaning + pipeline + model config) as JSON."""
-    from dataclasses import asdict, is_dataclass
-
-    def plain(x):
-        return asdict(x) if is_dataclass(x) else x
-    body = {"cleaning": plain(cleaning_cfg), "pipeline": plain(pipeline_cfg), "model": {"algorithm": algorithm,
-                                                                                         "hyperparameters": hyperparameters}}
-    spark.createDataFrame([(json.dumps(body, default=str),)], "recipe string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def load_recipe(spark, path: str) -> dict:
-    return json.loads(spark.read.text(path).collect()[0][0])
-
-
-def apply_recipe(df: DataFrame, recipe: dict, key: str | None = None):
-    """Replay the recipe's cleaning with the same operators."""
-    from ..config import CleaningConfig, MissingStrategy, OutlierStrategy
-    from ..plans.cleaning import clean
-
-    c = dict(recipe["cleaning"])
-    c["missing_strategies"] = tuple(MissingStrategy(**m) for m in c.get("missing_strategies", ()))
-    c["outlier_strategies"] = tuple(OutlierStrategy(**o) for o in c.get("outlier_strategies", ()))
-    c["order_by"] = tuple(c.get("order_by", ()))
-    c["partition_by"] = tuple(c.get("partition_by", ()))
-    return clean(df, CleaningConfig(**c), key=key)
-
-
 def run_report(sections: dict) -> DataFrame:
     """Run summary (before/after counts, steps, leaderboard, metrics)
     as one (section, json) frame."""
