@@ -206,7 +206,7 @@ def q_ridge(spark, sf):
     return _fitted(spark, _line_xy(spark, sf), "ridge", {"alpha": 10.0}, 1)
 
 
-@register("lasso", _XY + """b as (select greatest(sxy / n - 1.0, 0) / (sxx / n) as b from s, m)
+@register("lasso", _XY + """b as (select sign(sxy) * greatest(abs(sxy) / n - 1.0, 0) / (sxx / n) as b from s, m)
 select round(b, 1) as coefficient, round(my - b * mx, 1) as intercept from b, m""")
 def q_lasso(spark, sf):
     return _fitted(spark, _line_xy(spark, sf), "lasso", {"alpha": 1.0}, 1)
