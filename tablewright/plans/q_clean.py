@@ -222,12 +222,37 @@ def q_clean_run(spark, sf):
     return _round_doubles(_clean_orders(spark, sf).data)
 
 
-@register("clean_log")
+_CLEANED = with_views("orders_dirty") + """, d as (select distinct * from orders_dirty),
+n as (select (select count(*) from orders_dirty) as rows_in, (select count(*) from d) as rows_left,
+  (select count(*) filter (price is null) from orders_dirty) as price_in, (select count(*) filter (priority is null) from orders_dirty) as priority_in),
+m as (select quantile_cont(price, 0.5) as med, count(*) filter (price is null) as no_price, count(*) filter (priority is null) as no_priority from d),
+mo as (select priority as v from (select priority, count(*) as c from d where priority is not null group by priority) t order by c desc, priority limit 1),
+f as (select coalesce(priority, v) as priority, status from d cross join mo),
+l as (select count(*) filter (lower(priority) <> priority) as p, count(distinct priority) as p1, count(distinct lower(priority)) as p2,
+  count(*) filter (lower(status) <> status) as s, count(distinct status) as s1, count(distinct lower(status)) as s2 from f),
+w as (select 'lowered=' || p || ' distinct=' || p1 || '->' || p2 as priority, 'lowered=' || s || ' distinct=' || s1 || '->' || s2 as status from l)
+"""
+
+
+@register("clean_log", _CLEANED + """select 1 as seq, 'remove_duplicates' as step, 'duplicates' as description, '' as columns_affected,
+ rows_in - rows_left as rows_affected, (rows_in - rows_left) * 5 as cells_affected,
+ 'rows=' || (rows_in - rows_left) || ' width=5' as details from n
+union all select 2, 'missing_values', 'filled: median', 'price', no_price, no_price,
+ 'missing=' || no_price || ' by=median value=' || printf('%.4f', med) from m
+union all select 3, 'missing_values', 'filled: mode', 'priority', no_priority, no_priority, 'missing=' || no_priority || ' by=mode' from m
+union all select 4, 'categorical_clean', 'values unified', 'priority', 0, p, w.priority from l cross join w
+union all select 5, 'categorical_clean', 'values unified', 'status', 0, s, w.status from l cross join w""")
 def q_clean_log(spark, sf):
     return _clean_orders(spark, sf).log
 
 
-@register("column_changes")
+@register("column_changes", _CLEANED + """select 'o_orderkey' as column_name, 'bigint' as before_dtype, 'bigint' as after_dtype,
+ 0 as before_missing, 0 as after_missing, cast(0 as double) as before_missing_pct, cast(0 as double) as after_missing_pct, '' as changes
+union all select 'price', 'double', 'double', price_in, 0, round(price_in / rows_in, 4), cast(0 as double), 'nulls ' || price_in || '->0' from n
+union all select 'priority', 'string', 'string', priority_in, 0, round(priority_in / rows_in, 4), cast(0 as double),
+ w.priority || '; nulls ' || priority_in || '->0' from n cross join w
+union all select 'status', 'string', 'string', 0, 0, cast(0 as double), cast(0 as double), status from w
+union all select 'odate', 'timestamp_ntz', 'timestamp_ntz', 0, 0, cast(0 as double), cast(0 as double), ''""")
 def q_column_changes(spark, sf):
     return _clean_orders(spark, sf).column_changes
 
