@@ -4,6 +4,8 @@ intermediates in the shared folder and digests."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,28 +32,53 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts
-    lineage, survives lost executors and is column-pruned when read.  The
-    shuffle files of the write go when it is done: nothing reads them again."""
+#: The folders made by :func:`materialize`, one list per open :func:`temporary`.
+_owned: ContextVar[tuple] = ContextVar("owned", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Folders that :func:`materialize` makes inside go at the end, but those
+    made with ``outer``, which belong to the next :func:`temporary` around, or
+    stay until the application ends if there is none."""
+    made: list[str] = []
+    token = _owned.set((*_owned.get(), made))
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, outer: bool = False, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder (a folder per value of
+    ``by``) and read it back: cuts lineage, survives lost executors and is
+    column-pruned when read.  The shuffle files of the write go when it is
+    done: nothing reads them again.  For ``outer`` see :func:`temporary`."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    owners = _owned.get()[:-1] if outer else _owned.get()
+    if owners:
+        owners[-1].append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
-    """Remove the files of a frame made by :func:`materialize`."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Remove the files of a frame made by :func:`materialize` (without ``by``)."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(col) -> F.Column:

@@ -37,12 +37,15 @@ ids last); repeated rows are copies; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, map_texts, materialize
+from .common import drop, map_texts, materialize, temporary
 from .components import components
 from .words import words_of
 
@@ -50,6 +53,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 STARS = 2
+#: Written partitions whose rows are decided at a time, by one bit a row.
+SLICE = 250
 #: Word hashes kept per task.
 MEMO = 500_000
 
@@ -300,8 +305,10 @@ def groups(bands: DataFrame, shingles: DataFrame, weights: str = "unit", similar
         pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         new = _checked(pairs, None, sig, weights, similarity)
         done = pairs if done is None else done.union(pairs)
-        links = new if links is None else links.union(new)
-        links = materialize(links, "links")
+        old = links
+        links = materialize(new if old is None else old.union(new), "links")
+        if old is not None:
+            drop(old)
         roots = materialize(components(links), "roots")
     return roots
 
@@ -309,41 +316,65 @@ def groups(bands: DataFrame, shingles: DataFrame, weights: str = "unit", similar
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
             weights: str = "unit", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: the carried columns in ``row``, class_id,
-    class_size and kept (one row of each class)."""
-    given = docs.withColumn("tw_uid", F.monotonically_increasing_id())
-    rows = carry or docs.columns
-    given = given.select(F.struct(*rows).alias("row"), F.col(key).alias("doc_id"), "tw_uid", F.col(text).alias("text"))
-    whole = None
-    if text in rows:  # wide rows are written once, with their number, and stay out of the signatures
-        whole = materialize(given.drop("text"), "documents")
-        given = whole.select(F.struct("doc_id").alias("row"), "doc_id", "tw_uid", F.col("row")[text].alias("text"))
-    sig = signatures(given, "text", ["row", "doc_id", "tw_uid"], weights)
-    sig = materialize(sig.select("row.row", "row.doc_id", F.col("row.tw_uid").alias("uid"), "key", "n", "shingles",
-                                 "weights", "bands"), "signatures")
-    # copies: the smallest row number stands for a text
-    first = sig.where("key is not null").groupBy("key").agg(F.min("uid").alias("first"))
-    first = materialize(first, "texts")
-    bands = sig.select("uid", "n", "bands").join(first.select("first"), F.col("uid") == F.col("first"), "left_semi")
-    # the shingles go once the candidates' are copied; rows and keys stay
-    signatures_, sig = sig, materialize(sig.select("row", "doc_id", "uid", "key"), "rows")
-    roots = groups(bands, signatures_.select("uid", "n", "shingles", "weights"), weights, similarity,
-                   lambda: drop(signatures_))
-    found = first.join(roots, F.col("first") == F.col("node"), "left") \
-        .select(F.col("key").alias("key_"), F.coalesce("root", "first").alias("class"))
-    slim = sig.select("uid", "doc_id", "key").join(found, F.col("key") == F.col("key_"), "left") \
-        .select("uid", "doc_id", F.coalesce("class", F.col("uid")).alias("class"))
-    slim = materialize(slim, "classed")
-    per = slim.groupBy("class").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best"),
-        F.count("*").alias("class_size"))
-    per = materialize(per, "class-best")  # the class of a third of all rows is split in the join
-    slim = slim.join(per, "class").select("uid", F.col("best.doc_id").alias("class_id"), "class_size",
-                                          (F.col("uid") == F.col("best.uid")).alias("kept"))
-    if whole is not None:
-        sig, slim = whole.withColumnRenamed("tw_uid", "uid"), materialize(slim, "decided")
-    return sig.select("uid", "row").join(slim, "uid").select("row", "class_id", "class_size", "kept")
+    class_size and kept (one row of each class).  The result joins the carried
+    columns by shuffle: carry narrow ones, or use :func:`deduplicate`."""
+    with temporary(docs.sparkSession):
+        given = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(key).alias("doc_id"),
+                            F.col(text).alias("text")).withColumn("uid", F.monotonically_increasing_id())
+        sig = signatures(given, "text", ["row", "doc_id", "uid"], weights)
+        sig = materialize(sig.select("row.row", "row.doc_id", "row.uid", "key", "n", "shingles", "weights", "bands"),
+                          "signatures")
+        # copies: the smallest row number stands for a text
+        first = sig.where("key is not null").groupBy("key").agg(F.min("uid").alias("first"))
+        first = materialize(first, "texts")
+        bands = sig.select("uid", "n", "bands").join(first.select("first"), F.col("uid") == F.col("first"),
+                                                     "left_semi")
+        # the shingles go once the candidates' are copied; rows and keys stay
+        rows = materialize(sig.select("row", "doc_id", "uid", "key"), "rows", outer=True)
+        roots = groups(bands, sig.select("uid", "n", "shingles", "weights"), weights, similarity, lambda: drop(sig))
+        found = first.join(roots, F.col("first") == F.col("node"), "left") \
+            .select(F.col("key").alias("key_"), F.coalesce("root", "first").alias("class"))
+        slim = rows.select("uid", "doc_id", "key").join(found, F.col("key") == F.col("key_"), "left") \
+            .select("uid", "doc_id", F.coalesce("class", F.col("uid")).alias("class"))
+        slim = materialize(slim, "classed")
+        per = slim.groupBy("class").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best"),
+            F.count("*").alias("class_size"))
+        per = materialize(per, "class-best")  # the class of a third of all rows is split in the join
+        slim = slim.join(per, "class").select("uid", F.col("best.doc_id").alias("class_id"), "class_size",
+                                              (F.col("uid") == F.col("best.uid")).alias("kept"))
+        slim = materialize(slim, "decided", outer=True)
+    return rows.select("uid", "row").join(slim, "uid").select("row", "class_id", "class_size", "kept")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The documents, one of each class, with the columns of ``docs``."""
-    return classes(docs, key, text, **kw).where("kept").select("row.*")
+    """The documents, one of each class, with the columns of ``docs``.
+
+    Wide rows are written once with their number and never shuffled: a bit a row
+    says which are kept, and the rows of ``SLICE`` written partitions meet the
+    bits of these partitions, a broadcast within Spark's limit (with more bits
+    than that Spark shuffles the slice).  Several slices are written one after
+    another, so the driver holds the bits of one."""
+    spark = docs.sparkSession
+    with temporary(spark):
+        whole = docs.select(F.struct(*docs.columns).alias("row")).withColumn("uid", F.monotonically_increasing_id())
+        whole = materialize(whole, "documents", outer=True)
+        slim = whole.select("uid", F.col("row")[key].alias("doc_id"), F.col("row")[text].alias("text"))
+        kept = classes(slim, carry=["uid"], **kw).where("kept").select("row.uid")
+        bits = kept.groupBy(F.shiftright("uid", 6).alias("block")).agg(
+            F.expr("bit_or(shiftleft(1L, cast(uid & 63 as int)))").alias("bits"))
+        # a row number is its partition times 2 ** 33 and its place there
+        bits = bits.withColumn("slice", F.expr(f"cast(shiftright(block, 27) div {SLICE} as int)"))
+        bits = materialize(bits, "kept-bits", outer=True, by="slice")
+        slices: dict[int, list[str]] = {}
+        for file in whole.inputFiles():
+            at = int(re.search(r"part-(\d+)", file.rsplit("/", 1)[1])[1])
+            slices.setdefault(at // SLICE, []).append(file)
+        parts = []
+        for at, files in sorted(slices.items()):
+            rows = spark.read.schema(whole.schema).parquet(*files)
+            mine = bits.where(F.col("slice") == at)
+            part = rows.join(mine, F.shiftright("uid", 6) == F.col("block")) \
+                .where("shiftright(bits, cast(uid & 63 as int)) & 1 = 1").select("row")
+            parts.append(part if len(slices) == 1 else materialize(part, "unique", outer=True))
+    return reduce(DataFrame.unionAll, parts or [whole.select("row")]).select("row.*")

@@ -9,11 +9,14 @@ For each stratum, rate and cutoff of a fixed grid, the null hypothesis "this
 cutoff rejects more than ``risk / len(RATES)`` of the good texts" is tested by
 the exact binomial tail ``P(Bin(n, risk / len(RATES)) <= k)``, ``k`` of ``n``
 good texts being rejected; this is the exact (Clopper-Pearson) upper bound read
-as a test.  All tests of all strata share the error ``delta`` (Bonferroni), so
-with probability ``1 - delta`` every stratum loses at most ``risk`` of its good
-texts, all rules together.  Among the cutoffs that pass, the one with the best
-true minus ``FALSE_WEIGHT`` times false rejections is taken, the highest on
-ties; a stratum without enough labels gets no cutoff and loses nothing.
+as a test.  The cutoffs of one rate are tested as a fixed sequence from the
+loosest to the strictest, which ends at the first that fails and so needs no
+correction; the sequences of all strata and rates share the error ``delta``
+(Bonferroni).  With probability ``1 - delta`` every stratum loses at most
+``risk`` of its good texts, all rules together.  Among the cutoffs that pass,
+the one with the best true minus ``FALSE_WEIGHT`` times false rejections is
+taken, the highest on ties; a stratum without enough labels gets no cutoff and
+loses nothing.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 null language is a stratum of its own; several labels of a document count as
@@ -113,20 +116,20 @@ def cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> Dat
         .agg(F.count("*").alias("n"))
     tests = materialize(counts, "quality-counts")
     strata = tests.select("stratum").distinct().count()
-    level = delta / max(1, strata * len(RATES) * len(GRID))
+    level = delta / max(1, strata * len(RATES))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         good, bad = ([0] * (len(GRID) + 1), [0] * (len(GRID) + 1))
         for q, passed, n in zip(pdf["quality"], pdf["passed"], pdf["n"]):
             (good if q else bad)[int(passed)] += int(n)
         n_good, n_bad, best = sum(good), sum(bad), None
-        for i, g in enumerate(GRID):
+        for i in reversed(range(len(GRID))):
             false, true = sum(good[i + 1:]), sum(bad[i + 1:])
-            if not n_good or not true or binomial_tail(false, n_good, risk / len(RATES)) > level:
-                continue
-            gain = true / n_bad - FALSE_WEIGHT * false / n_good
-            if gain > 0 and (best is None or gain >= best[0]):
-                best = (gain, g)
+            if not n_good or binomial_tail(false, n_good, risk / len(RATES)) > level:
+                break
+            gain = (true / n_bad if n_bad else 0.0) - FALSE_WEIGHT * false / n_good
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, GRID[i])
         return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "rate": [pdf["rate"].iloc[0]],
                              "cutoff": [best[1] if best else None]}).astype({"cutoff": "float64"})
 

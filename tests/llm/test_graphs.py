@@ -104,6 +104,36 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_deduplicate_keeps_user_columns_in_any_number_of_slices(spark, corpus, monkeypatch):
+    rows = [(i, t, i, f"r{i}") for i, t in enumerate(corpus)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, tw_uid int, row string").repartition(5)
+    whole = sorted(neardup.deduplicate(df).collect())
+    worded = [r["doc_id"] for r in whole if r["doc_id"] > 2]           # texts without words stay, each row its own class
+    assert len(set(worded)) == len(worded) == len(whole) - 6 < len(corpus)
+    assert all(r["tw_uid"] == r["doc_id"] and r["row"] == f"r{r['doc_id']}" and r["text"] == corpus[r["doc_id"]]
+               for r in whole)
+    monkeypatch.setattr(neardup, "SLICE", 2)
+    assert sorted(neardup.deduplicate(df).collect()) == whole
+    assert neardup.deduplicate(df.limit(0)).columns == df.columns and neardup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_scratch_folders_go_with_their_owner(spark, corpus):
+    import glob
+
+    from tablewright.llm.common import materialize, temporary
+    from tablewright.session import checkpoint_dir
+
+    def folders():
+        return set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/tw-*"))
+
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    before = folders()
+    with temporary(spark):
+        kept = materialize(neardup.deduplicate(df), "kept", outer=True)
+        assert len(folders() - before) > 1
+    assert len(folders() - before) == 1 and kept.count() > 0
+
+
 def probability_jaccard(x, y):
     return sum(1 / sum(max(x.get(j, 0) / x[d], y.get(j, 0) / y[d]) for j in x.keys() | y.keys())
                for d in x.keys() & y.keys())

@@ -220,6 +220,47 @@ def test_quality_cutoffs_hold_their_risk(spark):
         assert 0.02 <= c["cut_symbol_rate"] <= 0.2 and c["cut_upper_rate"] is None and c["cut_repeat_rate"] is None
 
 
+def plain_cutoffs(rows, risk=0.05, delta=0.05):
+    """Cutoffs by the definition: per stratum and rate the sequence from the loosest to the strictest."""
+    from fractions import Fraction
+    from math import comb
+
+    out, strata = {}, {r[0] for r in rows}
+    p = Fraction(1, 80)
+    assert risk / 4 == float(p)
+    for s in strata:
+        for k, rate in enumerate(quality.RATES):
+            good = [r[2 + k] for r in rows if r[0] == s and r[1] == 1]
+            bad = [r[2 + k] for r in rows if r[0] == s and r[1] == 0]
+            best = (0.0, None)
+            for g in sorted(quality.GRID, reverse=True):
+                false, true = sum(v > g for v in good), sum(v > g for v in bad)
+                tail = sum(comb(len(good), i) * p**i * (1 - p)**(len(good) - i) for i in range(false + 1))
+                if not good or tail > delta / (4 * len(strata)):
+                    break
+                gain = (true / len(bad) if bad else 0) - 5 * false / len(good)
+                best = max(best, (gain, g), key=lambda x: x[0])
+            out[s, rate] = best[1]
+    return out
+
+
+def test_quality_cutoffs_equal_plain_python(spark):
+    r = random.Random(8)
+    rows = []
+    for stratum, n in (("en", 900), ("de", 600), ("fr", 60), (None, 600)):
+        for i in range(n):
+            bad = i % 6 == 0
+            rows.append((stratum, 0 if bad else 1, r.uniform(0, 0.6) if bad else r.uniform(0, 0.04),
+                         r.random() ** (1 if bad else 9), 0.5 if bad and i % 4 else 0.0, 0.0))
+    df = spark.createDataFrame(rows, "stratum string, quality int, symbol_rate double, upper_rate double, "
+                                     "dup_line_rate double, repeat_rate double")
+    want = plain_cutoffs(rows)
+    got = {(c["stratum"], k): c[f"cut_{k}"] for c in quality.cutoffs(df).collect() for k in quality.RATES}
+    assert got == want
+    # 459 good labels are enough without a false rejection where four strata share the error, 50 never are
+    assert got["de", "dup_line_rate"] is not None and got["fr", "dup_line_rate"] is None
+
+
 def test_binomial_tail_is_exact():
     from math import comb
     for n, k, p in ((10, 0, 0.1), (50, 3, 0.05), (400, 7, 0.0125)):
