@@ -19,7 +19,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from tablewright.llm import bpe, mixing, neardup, quality, secrets
-from tablewright.llm.common import materialize, read
+from tablewright.llm.common import drop, materialize, read, temporary
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -49,10 +49,15 @@ STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("se
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; what a stage returns is written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage returns is written and read again.  A stage's own files and
+    its predecessor's result go when its result is written."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
