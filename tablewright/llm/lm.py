@@ -6,18 +6,21 @@ per word can be subtracted: ``score = target_loss - background_loss`` in nats
 per word; the lower, the closer to the target.
 
 Counts cover every document.  Every word and bigram seen ``MIN_COUNT`` times is
-in the model, which lives in Spark tables.  Rarer words are the unknown word,
-rarer bigrams back off:
+in the model.  Rarer words are the unknown word, rarer bigrams back off:
 
     P(w | v) = L * c(v, w) / c(v) + (1 - L * kept(v)) * P(w)
 
 with ``kept(v)`` the share of v's bigrams in the model, and add-one unigrams.
-A text's log probability is the sum of ``log P(w)`` and of the heads' backoff
-factors over its words, plus for each bigram in the model what it adds to them.
-These three kinds of entries are counted per document and joined to the model
-by shuffle.  Entries that make up ``HOT_SHARE`` of all words are looked up in a
-broadcast instead, at most ``1 / HOT_SHARE`` of each kind; this keeps hot keys
-out of the join and changes no result.
+
+Words are written once, as numbers into the word list of their block: a block
+is about ``BLOCK_WORDS`` words of one task.  Each block sends what it counted
+of its bigrams, words and heads, sorted by key, to the buckets of the key space
+(one shuffle: the only one that is larger than the words themselves).  A
+bucket adds the blocks' counts up and answers each block in the order of its
+keys, so that counting and looking up are one exchange, and a block scores its
+texts with the answers.  A frequent entry is one number per block, so no key
+is hot; buckets and blocks have a bounded size, and at most one row per entry
+is exchanged.  Nothing is broadcast or sent to the driver but totals.
 
 Words and entries are told apart by 64-bit hashes: two of a billion are equal
 with a probability of 3 %.
@@ -26,7 +29,8 @@ The target is every document labelled good, found by a shuffle join on the id.
 As its texts are among all documents, a bigram that it has seen twice is in the
 model by the count of all documents.
 
-Defined cases: a null or empty text has no words and null losses and score;
+Defined cases: a null or empty text has no words and null losses and score; a
+text longer than a block is cut into pieces that know the word before them;
 null labels and labels of unknown documents are ignored, the lowest of several
 counts; without target texts both models' target side is the uniform
 distribution; an empty table gives no rows.
@@ -44,17 +48,21 @@ from pyspark.sql import functions as F
 from tablewright.session import ship_package
 
 from .common import drop, materialize, unit_hash
-from .words import START, UNKNOWN, find, words_of
+from .words import START, UNKNOWN, words_of
 
 MIN_COUNT = 2
 WEIGHT = 0.7
-HOT_SHARE = 1e-6
-#: In the model's keys (v, w): "P(w)" has this v, "backoff factor of v" this w.
+#: Second parts of the keys that are no bigrams: "P(w)" and "what follows v".
 UNIGRAM, BACKOFF = 2, 3
-#: Bigrams are counted, and entries joined, in so many slices by hash: less is on disk at a time.
-SLICES = 3
-#: Words a task counts before it hands the counts on.
+#: A block is closed when it has so many words, and a longer text is cut.
+BLOCK_WORDS = 1 << 20
+#: Words of all documents per bucket of keys, and per task at large inputs.
+BUCKET_WORDS, TASK_WORDS = 1 << 21, 1 << 25
+#: Word hashes a task remembers.
 HELD = 1_000_000
+#: What the block ``told`` is told, by ``kind``; from 0 on: the bucket that answers.
+RARE, TARGET, KEPT = -1, -2, -3
+TOLD = "told long, kind long, x long, y long, z long, n array<long>, t array<long>"
 
 
 class _Hashes(dict):
@@ -68,6 +76,32 @@ class _Hashes(dict):
         return h
 
 
+class _Block(dict):
+    """Word -> its number in this block, filled on demand; the word list begins
+    with the unknown word and the text's start."""
+
+    def __init__(self, hashes: _Hashes):
+        self.hashes, self.places, self.held = hashes, {UNKNOWN: 0, START: 1}, []
+        self.size = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = self.places.setdefault(self.hashes[word], len(self.places))
+        return at
+
+    def add(self, words: list[str], head: str | None) -> np.ndarray:
+        """Numbers of the word before (None: the start) and of the words."""
+        get = self.__getitem__
+        out = np.empty(len(words) + 1, np.int32)
+        out[0] = START if head is None else get(head)
+        out[1:] = np.fromiter(map(get, words), np.int32, len(words))
+        self.held.append(out[1:])
+        self.size += len(words)
+        return out
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(np.concatenate(self.held), minlength=len(self.places)).astype(np.int32)
+
+
 def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One 64-bit key of each pair of ids."""
     x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -76,199 +110,206 @@ def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """(at: number of the row, row, doc_id, n, words: hashes) from (row, doc_id, text)."""
+def _lists(offsets, values):
     import pyarrow as pa
-    from pyspark.sql.types import ArrayType, LongType, StructType
 
-    ship_package(docs.sparkSession)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
-    def run(batches):
-        at, hashes = TaskContext.get().partitionId() << 40, _Hashes()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                words = [[hashes[w] for w in words_of(t)] for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(at, at + len(words)), pa.int64()), part.column(0), part.column(1),
-                     pa.array([len(w) for w in words], pa.int64()), pa.array(words, pa.list_(pa.int64()))],
-                    ["at", "row", "doc_id", "n", "words"])
-                at += len(words)
 
-    kind = docs.schema
-    out = StructType().add("at", LongType()).add(kind["row"]).add(kind["doc_id"]).add("n", LongType()) \
-        .add("words", ArrayType(LongType()))
-    return docs.mapInArrow(run, out)
+def _flat(column) -> np.ndarray:
+    """All values of a list column, row after row."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _flat(batch):
-    """(flat ids, starts of the texts) of a batch's word lists; words that its lists
-    ``rare`` name are unknown (a word is rare in all texts or in none)."""
+def _ends(column) -> np.ndarray:
+    """0 and the end of each of a list column's rows."""
     import pyarrow.compute as pc
 
-    lists = batch.column(batch.schema.get_field_index("words"))
-    starts = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=starts[1:])
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    at = batch.schema.get_field_index("rare")
-    if at >= 0:
-        rare = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat[np.isin(flat, rare)] = UNKNOWN
-    return flat, starts
-
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]).astype(np.int64)
 
-def _heads(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    before[starts[:-1][np.diff(starts) > 0]] = START
-    return before
 
-
-def _word_counts(tokens: DataFrame) -> DataFrame:
-    """(word, n, at: the first row with it)."""
+def _tokens(docs: DataFrame) -> DataFrame:
+    """Blocks of (row, doc_id, text): a row a piece of a text with (block, at: the
+    text's number, row, doc_id, n: the text's words, both only at its first
+    piece, words: numbers into the block's word list, the word before them
+    first), and a row a block with its word list and counts."""
     import pyarrow as pa
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-    def run(batches):
-        held: list = []
-
-        def out():
-            flat, at = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            words, first, n = np.unique(flat, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_pydict({"word": pa.array(words), "n": pa.array(n.astype(np.int64)),
-                                               "at": pa.array(at[first])})
-
-        for batch in batches:
-            flat, starts = _flat(batch)
-            held.append((flat, np.repeat(batch.column(0).to_numpy(), np.diff(starts))))
-            if sum(len(x) for x, _ in held) > 2 * HELD:
-                yield out()
-        if held:
-            yield out()
-
-    return tokens.select("at", "words").mapInArrow(run, "word long, n long, at long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.min("at").alias("at"))
-
-
-def _counts(texts: DataFrame, part: int | None) -> DataFrame:
-    """(v, w, n, t): counts in all texts and in the target's; of the bigrams of one
-    slice, or (``part`` None) of words (v = UNIGRAM) and heads (w = BACKOFF)."""
-    import pyarrow as pa
+    ship_package(docs.sparkSession)
+    limit = BLOCK_WORDS
+    kind = docs.schema
+    out = StructType().add("block", LongType()).add("at", LongType()).add("row", kind["row"].dataType) \
+        .add("doc_id", kind["doc_id"].dataType).add("n", LongType()).add("words", ArrayType(IntegerType())).add("vocab", ArrayType(LongType())) \
+        .add("counts", ArrayType(IntegerType()))
 
     def run(batches):
-        held: list = []
+        task = TaskContext.get().partitionId()
+        at, number, hashes = task << 40, task << 24, _Hashes()
+        block, kinds = _Block(hashes), None
 
-        def out():
-            v, w, t = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            _, first, place, n = np.unique(_mixed(v, w), return_index=True, return_inverse=True, return_counts=True)
-            return pa.RecordBatch.from_pydict({
-                "v": pa.array(v[first]), "w": pa.array(w[first]), "n": pa.array(n.astype(np.int64)),
-                "t": pa.array(np.bincount(place, weights=t, minlength=len(n)).astype(np.int64))})
+        def close():
+            words = np.fromiter(block.places, np.int64, len(block.places))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, k) for k in kinds],
+                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), _lists([0, len(words)], words),
+                 _lists([0, len(words)], block.counts())], out.names)
 
         for batch in batches:
-            flat, starts = _flat(batch)
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
-            before = _heads(flat, starts)
-            if part is None:
-                held.append((np.concatenate([np.full(len(flat), UNIGRAM), before]),
-                             np.concatenate([flat, np.full(len(flat), BACKOFF)]), np.tile(target, 2)))
-            else:
-                mine = _mixed(before, flat) % np.uint64(SLICES) == part
-                held.append((before[mine], flat[mine], target[mine]))
-            if sum(len(x) for x, _, _ in held) > 2 * HELD:
-                yield out()
-        if held:
-            yield out()
-
-    return texts.select("at", "target", "words", "rare").mapInArrow(run, "v long, w long, n long, t long") \
-        .groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _keyed(model: DataFrame) -> DataFrame:
-    """(key, slice, n, b, t) from (v, w, n, b, t)."""
-    import pyarrow as pa
-
-    def run(batches):
-        for x in batches:
-            key = _mixed(x.column(0).to_numpy(), x.column(1).to_numpy())
-            part = (key % np.uint64(SLICES)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), *x.columns[2:]],
-                                             ["key", "slice", "n", "b", "t"])
-
-    return model.select("v", "w", "n", "b", "t").mapInArrow(
-        run, "key long, slice int, n long, b double, t double")
+            kinds = [batch.column(0).type, batch.column(1).type]
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                places, ats, owner, ids, n, full = [], [], [], [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    words = words_of(text)
+                    for begin in range(0, max(len(words), 1), limit):
+                        places.append(number)
+                        ats.append(at)
+                        owner.append(i)
+                        n.append(None if begin else len(words))
+                        ids.append(block.add(words[begin:begin + limit], words[begin - 1] if begin else None))
+                        if block.size >= limit:
+                            full.append(close())
+                            block, number = _Block(hashes), number + 1
+                    at += 1
+                owner = pa.array(owner, pa.int32())
+                first = pa.array([i if x is not None else None for i, x in zip(owner.to_pylist(), n)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(places, pa.int64()), pa.array(ats, pa.int64()), part.column(0).take(first),
+                     part.column(1).take(owner), pa.array(n, pa.int64()),
+                     _lists(np.cumsum([0, *map(len, ids)]), np.concatenate(ids)),
+                     pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], out.names)
+                yield from full
+        if block.size:
+            yield close()
 
+    return docs.mapInArrow(run, out)
 
-def _entries(texts: DataFrame, shared, part: int) -> DataFrame:
-    """(at, key, c) of one slice's entries to join; the first slice also has one row
-    a text with the sums b and t of its hot entries (c is 0, the key any)."""
-    import pyarrow as pa
 
-    def run(batches):
-        known, *logs = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                rows = batch.slice(a, 512)
-                at = rows.column(0).to_numpy()
-                flat, starts = _flat(rows)
-                if not len(flat):
-                    continue
-                n, before = len(flat), _heads(flat, starts)
-                doc = np.tile(np.repeat(np.arange(len(at)), np.diff(starts)), 3)
-                key = _mixed(np.concatenate([before, np.full(n, UNIGRAM), before]),
-                             np.concatenate([flat, flat, np.full(n, BACKOFF)]))
-                if part:
-                    mine = key % np.uint64(SLICES) == part
-                    doc, key = doc[mine], key[mine]
-                where, there = find(known, key)
-                if not part:
-                    sums = [np.bincount(doc[there], weights=x[where[there]], minlength=len(at)).astype(float)
-                            for x in logs]
-                    yield pa.RecordBatch.from_pydict({
-                        "at": pa.array(at), "key": pa.array(_mixed(at, at).view(np.int64)),
-                        "c": pa.array(np.zeros(len(at), np.int64)), "b": pa.array(sums[0]), "t": pa.array(sums[1])})
-                    there |= key % np.uint64(SLICES) != 0
-                rest = np.flatnonzero(~there)
-                _, first, c = np.unique(_mixed(key[rest], doc[rest]), return_index=True, return_counts=True)
-                rest = rest[first]
-                none = pa.nulls(len(rest), pa.float64())
-                yield pa.RecordBatch.from_pydict({
-                    "at": pa.array(at[doc[rest]]), "key": pa.array(key[rest].view(np.int64)),
-                    "c": pa.array(c.astype(np.int64)), "b": none, "t": none})
-
-    return texts.select("at", "words", "rare").mapInArrow(run, "at long, key long, c long, b double, t double")
-
-
-def fit(texts: DataFrame, total: int, size: int, least: float) -> DataFrame:
-    """The model: (key, slice, n: background count, b, t: background and target log
-    values) of bigrams, words (v = UNIGRAM) and heads (w = BACKOFF)."""
-    singles = materialize(_counts(texts, None), "lm-singles")
-    parts = [materialize(_counts(texts, k).where(F.col("n") >= least), "lm-bigrams") for k in range(SLICES)]
-    pairs = parts[0]
-    for more in parts[1:]:
-        pairs = pairs.unionAll(more)
-    words = singles.where(F.col("v") == UNIGRAM)
-    target_total = words.agg(F.sum("t")).first()[0] or 0
-    words = words.select("w", F.col("n").alias("all_n"), *[
-        F.log((F.col(k) + 1) / F.lit(float(of + size))).alias(f"word_{k}")
-        for k, of in (("n", total), ("t", target_total))])
-    kept = pairs.groupBy("v").agg(F.sum("n").alias("kept_n"), F.sum("t").alias("kept_t"))
-    heads = singles.where(F.col("w") == BACKOFF).select(
-        "v", F.col("n").alias("fan_n"), F.greatest("t", F.lit(1)).alias("fan_t")).join(kept, "v", "left")
-    heads = materialize(heads.select("v", "fan_n", "fan_t", *[
-        F.log(1 - WEIGHT * F.coalesce(f"kept_{k}", F.lit(0)) / F.col(f"fan_{k}")).alias(f"left_{k}")
-        for k in "nt"]), "lm-heads")
-    more = [(F.log(WEIGHT * F.col(k) / F.col(f"fan_{k}") + F.exp(F.col(f"left_{k}") + F.col(f"word_{k}")))
-             - F.col(f"left_{k}") - F.col(f"word_{k}")) for k in "nt"]
-    bigrams = pairs.join(heads, "v").join(words, "w").select(
-        "v", "w", "n", more[0].alias("b"), more[1].alias("t"))
-    model = bigrams.unionAll(words.select(F.lit(UNIGRAM).cast("long"), "w", "all_n", "word_n", "word_t")) \
-        .unionAll(heads.select("v", F.lit(BACKOFF).cast("long"), "fan_n", "left_n", "left_t"))
-    model = materialize(_keyed(model), "lm-model")
-    for df in (*parts, heads, singles):
-        drop(df)
-    return model
+class _Texts:
+    """One block's pieces, with rare words unknown: ``at`` of each piece, ``piece``
+    and bigram of each word, and the block's entries in the order of their keys."""
+
+    def __init__(self, pieces, told):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        listed = pieces.filter(pc.is_valid(pieces["vocab"]))
+        texts = pieces.filter(pc.is_valid(pieces["words"]))
+        self.vocab = _flat(listed["vocab"]).astype(np.int64)
+        rare = self.told(told, RARE, "x")
+        number = np.where(np.isin(self.vocab, rare), 0, np.arange(len(self.vocab)))
+        ends = _ends(texts["words"])
+        ids = number[_flat(texts["words"])]
+        inner = np.ones(len(ids), bool)
+        inner[ends[:-1]] = False
+        word = np.flatnonzero(inner)
+        self.at = texts["at"].combine_chunks().to_numpy(zero_copy_only=False)
+        self.piece = np.repeat(np.arange(len(self.at)), np.diff(ends) - 1)
+        pair, self.bigram, self.n = np.unique(ids[word - 1] * len(self.vocab) + ids[word], return_inverse=True,
+                                              return_counts=True)
+        self.head, self.word = np.divmod(pair, max(len(self.vocab), 1))
+        self.targets = np.isin(self.at, self.told(told, TARGET, "x"))
+        v, w = self.vocab[self.head], self.vocab[self.word]
+        key = np.concatenate([_mixed(v, w), _mixed(np.full_like(self.vocab, UNIGRAM), self.vocab),
+                              _mixed(self.vocab, np.full_like(self.vocab, BACKOFF))])
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
+        self.v = np.concatenate([v, np.full(2 * len(self.vocab), UNIGRAM)])[self.order]
+
+    @staticmethod
+    def told(told, kind: int, column: str) -> np.ndarray:
+        import pyarrow.compute as pc
+
+        return told.filter(pc.equal(told["kind"], kind))[column].combine_chunks().to_numpy(zero_copy_only=False)
+
+    def entries(self, pairs: np.ndarray) -> np.ndarray:
+        """Counts of bigrams, words and heads, in the order of the keys."""
+        size = len(self.vocab)
+        return np.concatenate([pairs, np.bincount(self.word, pairs, size), np.bincount(self.head, pairs, size)])[
+            self.order]
+
+    def answers(self, told, column: str) -> list[np.ndarray]:
+        """What the buckets answered, for bigrams, words and heads."""
+        import pyarrow.compute as pc
+
+        given = told.filter(pc.greater_equal(told["kind"], 0)).sort_by("kind")
+        out = np.empty(len(self.order))
+        out[self.order] = _flat(given[column])
+        return np.split(out, [len(self.n), len(self.n) + len(self.vocab)])
+
+
+def _ask(buckets: int):
+    """A block's counts, a row a bucket: (bucket, block, key, v, n, t)."""
+    def run(pieces, told):
+        import pyarrow as pa
+
+        texts = _Texts(pieces, told)
+        hits = np.bincount(texts.bigram, texts.targets[texts.piece], len(texts.n))
+        place = ((texts.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        bucket, begin = np.unique(place, return_index=True)
+        ends = np.append(begin, len(place))
+        block = pieces["block"][0].as_py()
+        return pa.Table.from_arrays(
+            [pa.array(bucket.astype(np.int64)), pa.array(np.full(len(bucket), block)),
+             _lists(ends, texts.key.view(np.int64)), _lists(ends, texts.v),
+             _lists(ends, texts.entries(texts.n.astype(float)).astype(np.int32)),
+             _lists(ends, texts.entries(hits).astype(np.int32))], ["bucket", "block", "key", "v", "n", "t"])
+
+    return run, "bucket long, block long, key array<long>, v array<long>, n array<int>, t array<int>"
+
+
+def _answer(least: float):
+    """A bucket's sums for each block that asked, 0 for bigrams that are not in the
+    model, and (kind KEPT, lists x, n, t) how often bigrams of the model follow
+    each head."""
+    def run(asked):
+        import pyarrow as pa
+
+        key, v = _flat(asked["key"]), _flat(asked["v"])
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        n, t = (np.bincount(place, _flat(asked[c])) for c in "nt")
+        v = v[first]
+        pair = v != UNIGRAM
+        kept = pair & (n >= least)
+        heads, head = np.unique(v[kept], return_inverse=True)
+        kept_n, kept_t = (np.bincount(head, x[kept], len(heads)) for x in (n, t))
+        n, t = (np.where(pair & ~kept, 0, x) for x in (n, t))
+        ends, more = _ends(asked["key"]), len(heads)
+        lists = [np.concatenate(x).astype(np.int64) for x in ((n[place], kept_n), (t[place], kept_t))]
+        rows = asked.num_rows
+        ends = np.append(ends, ends[-1] + more)
+        return pa.Table.from_arrays(
+            [pa.array([*asked["block"].to_pylist(), None], pa.int64()),
+             pa.array([*asked["bucket"].to_pylist(), KEPT], pa.int64()),
+             _lists(np.append(np.zeros(rows + 1, np.int64), more), heads), _lists(ends, lists[0]),
+             _lists(ends, lists[1])], ["block", "kind", "heads", "n", "t"])
+
+    return run, "block long, kind long, heads array<long>, n array<long>, t array<long>"
+
+
+def _score(totals: tuple, size: int):
+    """Log probability of each piece of a text under both models: (at, b, t)."""
+    def run(pieces, told):
+        import pyarrow as pa
+
+        texts = _Texts(pieces, told)
+        heads = texts.told(told, KEPT, "x")
+        order = np.argsort(texts.vocab)
+        place = order[np.searchsorted(texts.vocab, heads, sorter=order)]
+        sums = []
+        for column, kept_column, total in (("n", "y", totals[0]), ("t", "z", totals[1])):
+            pair, word, fan = texts.answers(told, column)
+            kept = np.zeros(len(texts.vocab))
+            kept[place] = texts.told(told, KEPT, kept_column)
+            fan = np.maximum(fan, 1)
+            p = (WEIGHT * pair / fan[texts.head]
+                 + (1 - WEIGHT * kept / fan)[texts.head] * ((word + 1) / (total + size))[texts.word])
+            sums.append(np.bincount(texts.piece, np.log(p)[texts.bigram], len(texts.at)))
+        return pa.Table.from_arrays([pa.array(texts.at), *map(pa.array, sums)], ["at", "b", "t"])
+
+    return run, "at long, b double, t double"
 
 
 def target_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
@@ -280,6 +321,20 @@ def target_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
     return good.select(F.col("doc_id").alias("target_id"))
 
 
+def _tell(df: DataFrame, kind, **values) -> DataFrame:
+    """Rows of ``TOLD`` for the blocks of ``df``."""
+    return df.select(F.col("block").alias("told"), *[
+        (values.get(name, F.lit(None)) if name != "kind" else F.lit(kind) if isinstance(kind, int) else kind)
+        .cast(of).alias(name) for name, of in (x.split() for x in TOLD.split(", ")[1:])])
+
+
+def _places(tokens: DataFrame) -> DataFrame:
+    """(block, word, n) of every word of each block's list."""
+    return tokens.where("vocab is not null").select(
+        "block", F.explode(F.arrays_zip("vocab", "counts")).alias("e")).select(
+        "block", F.col("e.vocab").alias("word"), F.col("e.counts").alias("n"))
+
+
 def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text",
           carry: list[str] | None = None, min_share: float = 0.0) -> DataFrame:
     """``row`` (the carried columns), n_tokens, target_loss, background_loss
@@ -287,42 +342,45 @@ def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     Words and bigrams below ``min_share`` of all words count as rare."""
     given = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(key).alias("doc_id"),
                         F.col(text).alias("text"))
-    tokens = materialize(_tokens(given), "lm-tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    tokens = materialize(_tokens(given), "lm-blocks")
+    rows = materialize(tokens.where("n is not null").select("at", "row", "n"), "lm-rows")
+    total = rows.agg(F.sum("n")).first()[0] or 0
     least = max(MIN_COUNT, min_share * total)
-    words = materialize(_word_counts(tokens), "lm-counts")
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(total // BLOCK_WORDS, usual), total // TASK_WORDS) + 1
+
+    listed = _places(tokens)
+    words = materialize(listed.where(~F.col("word").isin(UNKNOWN, START)).groupBy("word").agg(
+        F.sum("n").alias("n"), F.min("block").alias("first"), F.max("block").alias("last")), "lm-words")
     size = words.where(F.col("n") >= least).count() + 2
     rare = words.where(F.col("n") < least)
-    if least > 2:  # else a rare word has one place
-        rare = tokens.select("at", F.explode(F.array_distinct("words")).alias("word")).join(rare.select("word"), "word")
-    rare = rare.groupBy("at").agg(F.collect_list("word").alias("rare"))
-    hits = tokens.select("at", "doc_id").join(targets, F.col("doc_id") == F.col("target_id"), "left_semi") \
-        .select("at", F.lit(True).alias("target"))
-    texts = tokens.where("n > 0").select("at", "words").join(rare, "at", "left").join(hits, "at", "left")
-    texts = materialize(texts.select("at", F.coalesce("target", F.lit(False)).alias("target"), "words", "rare"),
-                        "lm-texts")
-    rows = materialize(tokens.select("at", "row", "n"), "lm-rows")
-    drop(tokens)
-    drop(words)
-
-    model = fit(texts, total, size, least)
-    hot = F.col("n") >= HOT_SHARE * max(total, 1)
-    found = model.where(hot).select("key", "b", "t").toPandas()
-    keys = found["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (keys[order], found["b"].to_numpy(float)[order], found["t"].to_numpy(float)[order]))
-    known = model.where(~hot).select("key", "slice", F.col("b").alias("log_b"), F.col("t").alias("log_t"))
-    parts = []
-    for k in range(SLICES):
-        joined = _entries(texts, shared, k).join(known.where(F.col("slice") == k).drop("slice"), "key", "left")
-        parts.append(materialize(joined.groupBy("at").agg(*[
-            F.sum(F.coalesce(x, F.col("c") * F.col(f"log_{x}"))).alias(x) for x in "bt"]), "lm-sums"))
-    drop(texts)
-    sums = parts[0]
-    for more in parts[1:]:
-        sums = sums.unionAll(more)
-    sums = sums.groupBy("at").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    if least > 2:
+        rare = listed.select("block", "word").join(rare.select("word"), "word", "left_semi")
+    else:  # a rare word has one place, and may stand before the next block's first
+        rare = rare.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("block"), "word")
+    rare = _tell(rare, RARE, x=F.col("word"))
+    hits = materialize(tokens.where("size(words) > 1").select("block", "at", "doc_id", "n").join(
+        targets, F.col("doc_id") == F.col("target_id"), "left_semi").select("block", "at", "n"), "lm-targets")
+    target_total = hits.agg(F.sum("n")).first()[0] or 0
+
+    pieces = tokens.where("vocab is not null or size(words) > 1").select("block", "at", "words", "vocab")
+
+    def by_block(told, run, out):
+        return pieces.repartition(tasks, "block").groupBy("block").cogroup(
+            told.repartition(tasks, "told").groupBy("told")).applyInArrow(run, out)
+
+    asked = by_block(rare.unionAll(_tell(hits, TARGET, x=F.col("at"))), *_ask(total // BUCKET_WORDS + 1))
+    answers = materialize(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(*_answer(least)),
+                          "lm-answers")
+    kept = answers.where("block is null").select(F.explode(F.arrays_zip("heads", "n", "t")).alias("e")) \
+        .groupBy(F.col("e.heads").alias("word")).agg(F.sum("e.n").alias("kept_n"), F.sum("e.t").alias("kept_t"))
+    kept = listed.select("block", "word").join(kept, "word")
+    told = rare.unionAll(_tell(kept, KEPT, x=F.col("word"), y=F.col("kept_n"), z=F.col("kept_t"))) \
+        .unionAll(_tell(answers.where("block is not null"), F.col("kind"), n=F.col("n"), t=F.col("t")))
+    sums = materialize(by_block(told, *_score((total, target_total), size)).groupBy("at").agg(
+        F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-sums")
+    for df in (tokens, words, hits, answers):
+        drop(df)
     return rows.join(sums, "at", "left").select(
         "row", F.col("n").alias("n_tokens"), (-F.col("t") / F.col("n")).alias("target_loss"),
         (-F.col("b") / F.col("n")).alias("background_loss"), ((F.col("b") - F.col("t")) / F.col("n")).alias("score"))

@@ -103,9 +103,10 @@ def test_lm_target_sample_is_bounded(spark):
     assert 300 < lm.target_ids(labels, 500).count() < 700
 
 
-@pytest.mark.parametrize("hot_share", [4e-6, 1e-3, 2.0])
-def test_lm_keeps_every_pair_seen_twice(spark, monkeypatch, hot_share):
-    monkeypatch.setattr(lm, "HOT_SHARE", hot_share)  # what is looked up and what is joined changes no result
+@pytest.mark.parametrize("block, bucket", [(1 << 20, 1 << 21), (30_000, 100_000), (999, 7_000_000)])
+def test_lm_keeps_every_pair_seen_twice(spark, monkeypatch, block, bucket):
+    monkeypatch.setattr(lm, "BLOCK_WORDS", block)  # how words are cut into blocks and buckets changes no result
+    monkeypatch.setattr(lm, "BUCKET_WORDS", bucket)
     texts = {i: "a b " * 25_000 for i in range(70)} | {100: "kiwi plum", 101: "kiwi plum once", 102: "a plum"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     targets = spark.createDataFrame([(0,), (100,), (101,)], "target_id long")
