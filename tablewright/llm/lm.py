@@ -17,8 +17,8 @@ is about ``BLOCK_WORDS`` words of one task.  Each block sends what it counted
 of its bigrams, words and heads, sorted by key, to the buckets of the key space
 (one shuffle: the only one that is larger than the words themselves).  A
 bucket adds the blocks' counts up and answers each block in the order of its
-keys, so that counting and looking up are one exchange, and a block scores its
-texts with the answers.  A frequent entry is one number per block, so no key
+keys, so that counting and looking up are one exchange (of ``SLICES`` ranges of
+keys, one after the other), and a block scores its texts with the answers.  A frequent entry is one number per block, so no key
 is hot; buckets and blocks have a bounded size, and at most one row per entry
 is exchanged.  Nothing is broadcast or sent to the driver but totals.
 
@@ -38,7 +38,9 @@ distribution; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 from pyspark import TaskContext
@@ -58,11 +60,13 @@ UNIGRAM, BACKOFF = 2, 3
 BLOCK_WORDS = 1 << 20
 #: Words of all documents per bucket of keys, and per task at large inputs.
 BUCKET_WORDS, TASK_WORDS = 1 << 21, 1 << 25
+#: Blocks ask for so many ranges of keys in turn: less is on disk at a time.
+SLICES = 3
 #: Word hashes a task remembers.
 HELD = 1_000_000
 #: What the block ``told`` is told, by ``kind``; from 0 on: the bucket that answers.
 RARE, TARGET, KEPT = -1, -2, -3
-TOLD = "told long, kind long, x long, y long, z long, n array<long>, t array<long>"
+TOLD = "told long, kind long, x long, y long, z long, n binary, t binary"
 
 
 class _Hashes(dict):
@@ -116,32 +120,43 @@ def _lists(offsets, values):
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-def _flat(column) -> np.ndarray:
-    """All values of a list column, row after row."""
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False)
+def _packed(ends, values: np.ndarray):
+    """A binary column, in a row the values between two ends: all first bytes, then
+    all second bytes and so on, which compresses well as high bytes agree."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    return pa.array([planes[a:b].T.tobytes() for a, b in pairwise(ends)], pa.binary())
+
+
+def _flat(column, of=np.int64) -> np.ndarray:
+    """All values of a column made by :func:`_packed`, row after row."""
+    size = np.dtype(of).itemsize
+    rows = [np.frombuffer(x, np.uint8).reshape(size, -1).T for x in column.to_pylist()]
+    return np.ascontiguousarray(np.concatenate(rows)).view(of).reshape(-1)
 
 
-def _ends(column) -> np.ndarray:
-    """0 and the end of each of a list column's rows."""
+def _ends(column, of=np.int64) -> np.ndarray:
+    """0 and the end of each of its rows."""
     import pyarrow.compute as pc
 
-    return np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]).astype(np.int64)
+    lengths = pc.binary_length(column).to_numpy().astype(np.int64) // np.dtype(of).itemsize
+    return np.concatenate([[0], np.cumsum(lengths)])
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
     """Blocks of (row, doc_id, text): a row a piece of a text with (block, at: the
     text's number, row, doc_id, n: the text's words, both only at its first
-    piece, words: numbers into the block's word list, the word before them
-    first), and a row a block with its word list and counts."""
+    piece, words: numbers into the block's word list as 32-bit integers, the word
+    before them first), and a row a block with its word list and counts."""
     import pyarrow as pa
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
     ship_package(docs.sparkSession)
     limit = BLOCK_WORDS
     kind = docs.schema
     out = StructType().add("block", LongType()).add("at", LongType()).add("row", kind["row"].dataType) \
-        .add("doc_id", kind["doc_id"].dataType).add("n", LongType()).add("words", ArrayType(IntegerType())).add("vocab", ArrayType(LongType())) \
+        .add("doc_id", kind["doc_id"].dataType).add("n", LongType()).add("words", BinaryType()).add("vocab", ArrayType(LongType())) \
         .add("counts", ArrayType(IntegerType()))
 
     def run(batches):
@@ -153,7 +168,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
             words = np.fromiter(block.places, np.int64, len(block.places))
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, k) for k in kinds],
-                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), _lists([0, len(words)], words),
+                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), _lists([0, len(words)], words),
                  _lists([0, len(words)], block.counts())], out.names)
 
         for batch in batches:
@@ -178,7 +193,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(places, pa.int64()), pa.array(ats, pa.int64()), part.column(0).take(first),
                      part.column(1).take(owner), pa.array(n, pa.int64()),
-                     _lists(np.cumsum([0, *map(len, ids)]), np.concatenate(ids)),
+                     _packed(np.cumsum([0, *map(len, ids)]), np.concatenate(ids)),
                      pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], out.names)
                 yield from full
         if block.size:
@@ -197,11 +212,11 @@ class _Texts:
 
         listed = pieces.filter(pc.is_valid(pieces["vocab"]))
         texts = pieces.filter(pc.is_valid(pieces["words"]))
-        self.vocab = _flat(listed["vocab"]).astype(np.int64)
+        self.vocab = listed["vocab"].combine_chunks().flatten().to_numpy()
         rare = self.told(told, RARE, "x")
         number = np.where(np.isin(self.vocab, rare), 0, np.arange(len(self.vocab)))
-        ends = _ends(texts["words"])
-        ids = number[_flat(texts["words"])]
+        ends = _ends(texts["words"], np.int32)
+        ids = number[_flat(texts["words"], np.int32)]
         inner = np.ones(len(ids), bool)
         inner[ends[:-1]] = False
         word = np.flatnonzero(inner)
@@ -211,12 +226,15 @@ class _Texts:
                                               return_counts=True)
         self.head, self.word = np.divmod(pair, max(len(self.vocab), 1))
         self.targets = np.isin(self.at, self.told(told, TARGET, "x"))
+        self.words, self.heads = (np.flatnonzero(np.bincount(x, minlength=len(self.vocab)))
+                                  for x in (self.word, self.head))
         v, w = self.vocab[self.head], self.vocab[self.word]
-        key = np.concatenate([_mixed(v, w), _mixed(np.full_like(self.vocab, UNIGRAM), self.vocab),
-                              _mixed(self.vocab, np.full_like(self.vocab, BACKOFF))])
-        self.order = np.argsort(key, kind="stable")
+        one, before = self.vocab[self.words], self.vocab[self.heads]
+        key = np.concatenate([_mixed(v, w), _mixed(np.full_like(one, UNIGRAM), one),
+                              _mixed(before, np.full_like(before, BACKOFF))])
+        self.order = np.argsort(key)
         self.key = key[self.order]
-        self.v = np.concatenate([v, np.full(2 * len(self.vocab), UNIGRAM)])[self.order]
+        self.v = np.concatenate([v, np.full(len(one) + len(before), UNIGRAM)])[self.order]
 
     @staticmethod
     def told(told, kind: int, column: str) -> np.ndarray:
@@ -227,66 +245,71 @@ class _Texts:
     def entries(self, pairs: np.ndarray) -> np.ndarray:
         """Counts of bigrams, words and heads, in the order of the keys."""
         size = len(self.vocab)
-        return np.concatenate([pairs, np.bincount(self.word, pairs, size), np.bincount(self.head, pairs, size)])[
-            self.order]
+        return np.concatenate([pairs, np.bincount(self.word, pairs, size)[self.words],
+                               np.bincount(self.head, pairs, size)[self.heads]])[self.order]
 
     def answers(self, told, column: str) -> list[np.ndarray]:
-        """What the buckets answered, for bigrams, words and heads."""
+        """What the buckets answered, by bigram and by word as such and as a head."""
         import pyarrow.compute as pc
 
         given = told.filter(pc.greater_equal(told["kind"], 0)).sort_by("kind")
-        out = np.empty(len(self.order))
+        out, size = np.empty(len(self.order)), len(self.n)
         out[self.order] = _flat(given[column])
-        return np.split(out, [len(self.n), len(self.n) + len(self.vocab)])
+        word, head = np.zeros(len(self.vocab)), np.zeros(len(self.vocab))
+        word[self.words] = out[size:size + len(self.words)]
+        head[self.heads] = out[size + len(self.words):]
+        return [out[:size], word, head]
 
 
-def _ask(buckets: int):
-    """A block's counts, a row a bucket: (bucket, block, key, v, n, t)."""
+def _ask(buckets: int, part: int):
+    """A block's counts in one slice of the keys, a row a bucket: (bucket, block, key, v, n, t)."""
     def run(pieces, told):
         import pyarrow as pa
 
         texts = _Texts(pieces, told)
         hits = np.bincount(texts.bigram, texts.targets[texts.piece], len(texts.n))
         place = ((texts.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        bucket, begin = np.unique(place, return_index=True)
-        ends = np.append(begin, len(place))
+        low, high = (np.searchsorted(place, np.uint64(buckets * k // SLICES)) for k in (part, part + 1))
+        bucket, begin = np.unique(place[low:high], return_index=True)
+        ends = np.append(begin, high - low)
         block = pieces["block"][0].as_py()
+        n, t = (texts.entries(x.astype(float)).astype(np.int32) for x in (texts.n, hits))
         return pa.Table.from_arrays(
             [pa.array(bucket.astype(np.int64)), pa.array(np.full(len(bucket), block)),
-             _lists(ends, texts.key.view(np.int64)), _lists(ends, texts.v),
-             _lists(ends, texts.entries(texts.n.astype(float)).astype(np.int32)),
-             _lists(ends, texts.entries(hits).astype(np.int32))], ["bucket", "block", "key", "v", "n", "t"])
+             *[_packed(ends, x[low:high]) for x in (texts.key, texts.v, n, t)]],
+            ["bucket", "block", "key", "v", "n", "t"])
 
-    return run, "bucket long, block long, key array<long>, v array<long>, n array<int>, t array<int>"
+    return run, "bucket long, block long, key binary, v binary, n binary, t binary"
 
 
 def _answer(least: float):
     """A bucket's sums for each block that asked, 0 for bigrams that are not in the
-    model, and (kind KEPT, lists x, n, t) how often bigrams of the model follow
+    model, and (kind KEPT, three lists) how often bigrams of the model follow
     each head."""
     def run(asked):
         import pyarrow as pa
 
-        key, v = _flat(asked["key"]), _flat(asked["v"])
+        key, v = _flat(asked["key"], np.uint64), _flat(asked["v"])
         _, first, place = np.unique(key, return_index=True, return_inverse=True)
-        n, t = (np.bincount(place, _flat(asked[c])) for c in "nt")
+        n, t = (np.bincount(place, _flat(asked[c], np.int32)) for c in "nt")
         v = v[first]
         pair = v != UNIGRAM
         kept = pair & (n >= least)
         heads, head = np.unique(v[kept], return_inverse=True)
         kept_n, kept_t = (np.bincount(head, x[kept], len(heads)) for x in (n, t))
         n, t = (np.where(pair & ~kept, 0, x) for x in (n, t))
-        ends, more = _ends(asked["key"]), len(heads)
-        lists = [np.concatenate(x).astype(np.int64) for x in ((n[place], kept_n), (t[place], kept_t))]
-        rows = asked.num_rows
-        ends = np.append(ends, ends[-1] + more)
+        ends, rows = _ends(asked["key"]), asked.num_rows
+        ends = np.append(ends, ends[-1])
+        last = np.append(np.zeros(rows + 1, np.int64), len(heads))
         return pa.Table.from_arrays(
             [pa.array([*asked["block"].to_pylist(), None], pa.int64()),
              pa.array([*asked["bucket"].to_pylist(), KEPT], pa.int64()),
-             _lists(np.append(np.zeros(rows + 1, np.int64), more), heads), _lists(ends, lists[0]),
-             _lists(ends, lists[1])], ["block", "kind", "heads", "n", "t"])
+             *[_packed(ends, x[place].astype(np.int64)) for x in (n, t)],
+             *[_lists(last, x.astype(np.int64)) for x in (heads, kept_n, kept_t)]],
+            ["block", "kind", "n", "t", "heads", "kept_n", "kept_t"])
 
-    return run, "block long, kind long, heads array<long>, n array<long>, t array<long>"
+    return run, ("block long, kind long, n binary, t binary, heads array<long>, kept_n array<long>, "
+                 "kept_t array<long>")
 
 
 def _score(totals: tuple, size: int):
@@ -359,27 +382,30 @@ def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     else:  # a rare word has one place, and may stand before the next block's first
         rare = rare.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("block"), "word")
     rare = _tell(rare, RARE, x=F.col("word"))
-    hits = materialize(tokens.where("size(words) > 1").select("block", "at", "doc_id", "n").join(
+    hits = materialize(tokens.where("length(words) > 4").select("block", "at", "doc_id", "n").join(
         targets, F.col("doc_id") == F.col("target_id"), "left_semi").select("block", "at", "n"), "lm-targets")
     target_total = hits.agg(F.sum("n")).first()[0] or 0
 
-    pieces = tokens.where("vocab is not null or size(words) > 1").select("block", "at", "words", "vocab")
+    pieces = tokens.where("vocab is not null or length(words) > 4").select("block", "at", "words", "vocab")
 
     def by_block(told, run, out):
         return pieces.repartition(tasks, "block").groupBy("block").cogroup(
             told.repartition(tasks, "told").groupBy("told")).applyInArrow(run, out)
 
-    asked = by_block(rare.unionAll(_tell(hits, TARGET, x=F.col("at"))), *_ask(total // BUCKET_WORDS + 1))
-    answers = materialize(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(*_answer(least)),
-                          "lm-answers")
-    kept = answers.where("block is null").select(F.explode(F.arrays_zip("heads", "n", "t")).alias("e")) \
-        .groupBy(F.col("e.heads").alias("word")).agg(F.sum("e.n").alias("kept_n"), F.sum("e.t").alias("kept_t"))
+    buckets = total // BUCKET_WORDS + SLICES
+    told = rare.unionAll(_tell(hits, TARGET, x=F.col("at")))
+    parts = [materialize(by_block(told, *_ask(buckets, k)).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(
+        *_answer(least)), "lm-answers") for k in range(SLICES)]
+    answers = reduce(DataFrame.unionAll, parts)
+    kept = answers.where("block is null").select(
+        F.explode(F.arrays_zip("heads", "kept_n", "kept_t")).alias("e")).groupBy(F.col("e.heads").alias("word")).agg(
+        F.sum("e.kept_n").alias("kept_n"), F.sum("e.kept_t").alias("kept_t"))
     kept = listed.select("block", "word").join(kept, "word")
     told = rare.unionAll(_tell(kept, KEPT, x=F.col("word"), y=F.col("kept_n"), z=F.col("kept_t"))) \
         .unionAll(_tell(answers.where("block is not null"), F.col("kind"), n=F.col("n"), t=F.col("t")))
     sums = materialize(by_block(told, *_score((total, target_total), size)).groupBy("at").agg(
         F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-sums")
-    for df in (tokens, words, hits, answers):
+    for df in (tokens, words, hits, *parts):
         drop(df)
     return rows.join(sums, "at", "left").select(
         "row", F.col("n").alias("n_tokens"), (-F.col("t") / F.col("n")).alias("target_loss"),
