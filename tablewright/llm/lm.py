@@ -57,13 +57,13 @@ WEIGHT = 0.7
 #: Second parts of the keys that are no bigrams: "P(w)" and "what follows v".
 UNIGRAM, BACKOFF = 2, 3
 #: A block is closed when it has so many words, and a longer text is cut.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Words of all documents per bucket of keys, and per task at large inputs.
-BUCKET_WORDS, TASK_WORDS = 1 << 21, 1 << 25
+BUCKET_WORDS, TASK_WORDS = 1 << 20, 1 << 25
 #: Blocks ask for so many ranges of keys in turn: less is on disk at a time.
 SLICES = 3
 #: Word hashes a task remembers.
-HELD = 1_000_000
+HELD = 400_000
 #: What the block ``told`` is told, by ``kind``; from 0 on: the bucket that answers.
 RARE, TARGET, KEPT = -1, -2, -3
 TOLD = "told long, kind long, x long, y long, z long, n binary, t binary"
