@@ -19,6 +19,7 @@ import base64
 import hashlib
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
+from operator import itemgetter
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,6 +39,11 @@ def load_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+def _each(table, keys) -> tuple:
+    """``table[k]`` of every key (missing ones are made), in one call: a map of lookups costs half as much again."""
+    return itemgetter(*keys)(table) if len(keys) > 1 else tuple(table[k] for k in keys)
+
+
 class PerfectHash:
     """Minimal perfect hash from tokens to ids: ``len(tokens)`` slots."""
 
@@ -89,7 +95,7 @@ class Encoder(dict):
         import regex
 
         self.vocabulary = tokens
-        self.numbers = list(map(str, range(len(tokens))))
+        self.numbers = [b"%d" % i for i in range(len(tokens))]
         self.split = regex.compile(pattern).findall
         self.perfect = find = perfect or PerfectHash(tokens)
         self.of_byte = [find.find(bytes([b])) for b in range(256)]
@@ -143,10 +149,10 @@ class Encoder(dict):
     def encode(self, text: str) -> list[int]:
         if len(self) > MEMO:
             self.clear()
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+        return list(chain.from_iterable(_each(self, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+        return b"".join(_each(self.vocabulary, ids))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -181,7 +187,7 @@ def _columns(encoder: Encoder, texts: list, outputs) -> dict:
             elif c == "ids":
                 values.append(ids)
             elif c == "ids_sha256":
-                values.append(hashlib.sha256(" ".join(map(encoder.numbers.__getitem__, ids)).encode()).hexdigest())
+                values.append(hashlib.sha256(b" ".join(_each(encoder.numbers, ids))).hexdigest())
             elif c == "decoded":
                 values.append(raw)
             else:

@@ -58,6 +58,23 @@ def test_bpe_equals_tiktoken(docs, texts):
     assert bpe.encode_decode(empty(docs), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_looks_up_a_text_in_one_call():
+    path, asked = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
+
+    class Vocabulary(list):
+        def __getitem__(self, i):
+            asked.append(i)
+            return super().__getitem__(i)
+
+    encoder = bpe.Encoder(bpe.load_ranks(path), public_tokenizers.PATTERN)
+    for text in ("", "a", " the", "the cat sat on xqzzw-é中😀\n\n the mat"):  # none, one and several pre-tokens
+        ids = encoder.encode(text)
+        assert ids == [i for p in encoder.split(text) for i in encoder[p]] and encoder.decode(ids) == text.encode()
+        assert bpe._each(Vocabulary(encoder.vocabulary), ids) == tuple(encoder.vocabulary[i] for i in ids)
+        assert asked == ids
+        asked.clear()
+
+
 def test_perfect_hash_is_minimal():
     tokens = [bytes([b]) for b in range(256)] + [f"t{i}".encode() for i in range(3000)]
     h = bpe.PerfectHash(tokens)
