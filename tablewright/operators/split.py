@@ -27,6 +27,11 @@ def _class_text(group: str | None):
     return F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")
 
 
+def _small(classes: DataFrame) -> DataFrame:
+    """One row a class, broadcast if that is bounded: a shuffle would bring all rows of a class into one task."""
+    return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+
+
 def smallest_by_hash(df: DataFrame, key: list[str], seed: int, quotas, group: str | None = None) -> DataFrame:
     """Add boolean ``__sel``: the row is among the smallest hashes of its class,
     as many as its quota.  ``quotas``: a number (no group), {class: number} or a
@@ -38,11 +43,9 @@ def smallest_by_hash(df: DataFrame, key: list[str], seed: int, quotas, group: st
         rows = [("\0" if k is None else str(k), int(q)) for k, q in given.items()]
         quotas = spark.createDataFrame(rows, "__g string, quota long")
     hashes = df.select(_class_text(group).alias("__g"), hash_order(key, seed).alias("__h"))
-    last = cut_lineage(ranked(hashes, ["__h"], ["__g"]).join(quotas, "__g").where(F.col("rank") <= F.col("quota"))
+    last = cut_lineage(ranked(hashes, ["__h"], ["__g"]).join(_small(quotas), "__g").where(F.col("rank") <= F.col("quota"))
                        .groupBy("__g").agg(F.max("__h").alias("__last")))
-    n = last.count()
-    w = df.withColumn("__g", _class_text(group))
-    w = w.join(F.broadcast(last) if n <= BROADCAST_CLASSES else last, "__g", "left")
+    w = df.withColumn("__g", _class_text(group)).join(_small(last), "__g", "left")
     return w.withColumn("__sel", F.coalesce(hash_order(key, seed) <= F.col("__last"), F.lit(False))) \
         .select(*df.columns, "__sel")
 

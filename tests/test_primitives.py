@@ -221,3 +221,23 @@ def test_pair_sums_equal_pandas(spark):
             expect = 0.0 if endless or {"c2", "c3"} & {a, b} else want.iloc[i, j]
             assert abs(got[a, b] - expect) <= 2e-6, (a, b)
     assert len(got) == 200 * 200
+
+
+def test_split_brings_no_class_into_one_task(spark, monkeypatch):
+    from tablewright.operators import split as SP
+
+    plans = []
+    kept = SP.cut_lineage
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(SP, "cut_lineage", spy)
+    df = spark.range(2000).withColumn("c", F.col("id") % 3)
+    train, test = SP.split(df, 0.2, 42, ["id"])
+    assert (train.count(), test.count()) == (1600, 400)
+    train, test = SP.split(df, 0.2, 42, ["id"], "c")
+    assert test.groupBy("c").count().agg(F.max("count"), F.min("count")).first()[:] == (134, 133)
+    joins = [line for p in plans for line in p.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and all("strategy=broadcast" in j for j in joins)
