@@ -16,9 +16,12 @@ Distances are Euclidean over the coordinates that both rows have, scaled by
    the triangle inequality at the pivot.  Each query first visits the block
    with the smallest bound; its k-th distance there limits the blocks it still
    has to visit.  Both rounds together see every possible neighbour.
-4. A visit is a co-group of one block with at most about :data:`QUERY_CHUNK` of
-   its queries: one matrix product finds the candidates, whose distances are
-   then summed coordinate by coordinate.
+4. A visit is one matrix product of a block and its queries, which finds the
+   candidates; their distances are then summed coordinate by coordinate.  The first
+   round co-groups a block with its queries.  The second packs up to
+   :data:`QUERY_CHUNK` queries into a chunk, and co-groups a chunk with up to about
+   :data:`SLICE_BLOCKS` of the blocks that any of them has to visit, so that a
+   query moves once per slice and a block once per chunk, never once per pair.
 
 Block bounds go through the driver in pages of at most :data:`PAGE_BYTES`."""
 
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, ship_package
 
-BLOCK_ROWS, QUERY_CHUNK = 512, 4096
+BLOCK_ROWS, QUERY_CHUNK, SLICE_BLOCKS = 512, 4096, 32
 MAX_PIVOTS, PAGE_BYTES = 1024, 32 << 20
 #: Allowance for rounding in bounds, relative to the lengths involved.
 SLACK = 1e-9
@@ -166,9 +169,8 @@ def _pages(blocks: DataFrame, dim: int):
         yield page
 
 
-def _plan(queries: DataFrame, bounds: Bounds, dim: int, first: bool) -> DataFrame:
-    """(queries' columns, block, bound): the block of the smallest bound, or all
-    whose bound is not above ``reach`` but ``seen``."""
+def _plan(queries: DataFrame, bounds: Bounds, dim: int) -> DataFrame:
+    """(queries' columns, block, bound): the block of the smallest bound."""
     import pyarrow as pa
 
     def run(batches):
@@ -177,24 +179,172 @@ def _plan(queries: DataFrame, bounds: Bounds, dim: int, first: bool) -> DataFram
                 part = batch.slice(at, 64)
                 groups = np.array(part.column("grp").to_pylist(), object)
                 found = bounds.of(_matrix(part.column("vec"), dim), groups)
-                if first:
-                    best = found.argmin(axis=1)
-                    rows = np.flatnonzero(np.isfinite(found[np.arange(len(best)), best]))
-                    cols = best[rows]
-                else:
-                    reach = part.column("reach").to_numpy()
-                    seen = part.column("seen").to_numpy()
-                    rows, cols = np.nonzero(np.isfinite(found) & (found <= reach[:, None]) &
-                                            (bounds.ids[None, :] != seen[:, None]))
+                best = found.argmin(axis=1)
+                rows = np.flatnonzero(np.isfinite(found[np.arange(len(best)), best]))
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(bounds.ids[cols]), pa.array(found[rows, cols])],
+                    [*taken.columns, pa.array(bounds.ids[best[rows]]), pa.array(found[rows, best[rows]])],
                     [*part.schema.names, "block", "bound"])
 
     out = T.StructType(queries.schema.fields + T.StructType.fromDDL("block long, bound double").fields)
     return queries.mapInArrow(run, out)
 
 
+def _chunks(rest: DataFrame, n: int, dim: int) -> DataFrame:
+    """Queries of one group that began at near blocks, up to :data:`QUERY_CHUNK` a row."""
+    import pyarrow as pa
+
+    qid = rest.schema["qid"].dataType
+    out = T.StructType([*T.StructType.fromDDL("chunk long, grp string").fields, T.StructField("qids", T.ArrayType(qid)),
+                        *T.StructType.fromDDL("vecs array<double>, reach array<double>, seen array<long>").fields])
+
+    def row(number: int, parts: list):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        t = pa.Table.from_batches(parts).combine_chunks()
+        lists = [_one(t.column(c).combine_chunks()) for c in ("qid", "vec", "reach", "seen")]
+        lists[1] = _one(pa.array(_matrix(t.column("vec"), dim).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array([number]), t.column("grp").combine_chunks().slice(0, 1), *lists],
+                                          schema=to_arrow_schema(out))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0
+        for batch in batches:
+            grp = batch.column("grp").to_pylist()
+            at = 0
+            while at < batch.num_rows:
+                if held and (size == QUERY_CHUNK or held[0].column("grp")[0].as_py() != grp[at]):
+                    yield row(number, held)
+                    number, held, size = number + 1, [], 0
+                end = at
+                while end < batch.num_rows and grp[end] == grp[at] and end - at < QUERY_CHUNK - size:
+                    end += 1
+                held.append(batch.slice(at, end - at))
+                size, at = size + end - at, end
+        if held:
+            yield row(number, held)
+
+    order = ["grp", "seen", "qid"]
+    ranges = max(1, n // (4 * QUERY_CHUNK))
+    return rest.select("grp", "qid", "vec", "reach", "seen").repartitionByRange(ranges, *order) \
+        .sortWithinPartitions(*order).mapInArrow(run, out)
+
+
+def _one(values):
+    """A list column of one row."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _reached(bounds: Bounds, q: np.ndarray, grp: str, reach: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which of the blocks each query of a group has to visit in the second round."""
+    out = np.zeros((len(q), len(bounds.ids)), bool)
+    for at in range(0, len(q), 64):
+        part = slice(at, at + 64)
+        found = bounds.of(q[part], np.full(len(q[part]), grp, object))
+        out[part] = np.isfinite(found) & (found <= reach[part, None]) & (bounds.ids[None, :] != seen[part, None])
+    return out
+
+
+def _wanted(chunks: DataFrame, bounds: Bounds, dim: int) -> DataFrame:
+    """(chunk, block, pairs): the blocks that any query of a chunk has to visit."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, grp, q, reach, seen = _queries(batch.slice(i, 1), dim)
+                pairs = _reached(bounds, q, grp, reach, seen).sum(axis=0)
+                cols = np.flatnonzero(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), chunk)), pa.array(bounds.ids[cols]),
+                                                  pa.array(pairs[cols])], ["chunk", "block", "pairs"])
+
+    return chunks.mapInArrow(run, "chunk long, block long, pairs long")
+
+
+def _queries(row, dim: int) -> tuple:
+    """Chunk, group, vectors, reach and seen block of a chunk's queries."""
+    reach, seen = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("reach", "seen"))
+    return (row.column("chunk")[0].as_py(), row.column("grp")[0].as_py(), _matrix(row.column("vecs"), dim), reach, seen)
+
+
+def _visit_slices(chunks: DataFrame, wanted: DataFrame, blocks: DataFrame, n_blocks: int, pivots: np.ndarray, k: int,
+                  dim: int, total: float) -> DataFrame:
+    """The k nearest donors of each query of a chunk in each slice of its blocks: (qid, did, dist)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    slices = -(-n_blocks // SLICE_BLOCKS)
+    wanted = wanted.select("chunk", F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"), "block")
+    left = chunks.join(wanted.select("chunk", "slice").distinct(), "chunk")
+    right = wanted.join(blocks, "block").withColumnsRenamed({"chunk": "to", "slice": "part"})
+    out = T.StructType([T.StructField("qid", chunks.schema["qids"].dataType.elementType),
+                        T.StructField("did", blocks.schema["ids"].dataType.elementType), T.StructField("dist", T.DoubleType())])
+    schema = to_arrow_schema(out)
+
+    def run(asked, given):
+        if not asked.num_rows or not given.num_rows:
+            return schema.empty_table()
+        asked = asked.combine_chunks().to_batches()[0]
+        _, grp, q, reach, seen = _queries(asked, dim)
+        rows = given.select(["block", "grp", "cell", "inner", "outer", "lo", "hi"]).to_pylist()
+        used, cells = np.unique([r["cell"] for r in rows], return_inverse=True)
+        for r, cell in zip(rows, cells):
+            r["cell"] = cell
+        visits = _reached(Bounds(rows, pivots[used], total), q, grp, reach, seen)
+        found, ids = [], []
+        for j in range(given.num_rows):
+            mine = np.flatnonzero(visits[:, j])
+            held = given["ids"][j].values
+            at, col, dist = _nearest_rows(q[mine], _matrix(given["vecs"].slice(j, 1), dim), held, k, dim, total)
+            found.append((mine[at], dist))
+            ids.append(held.take(pa.array(col)))
+        at, dist = (np.concatenate(x) for x in zip(*found))
+        ids = pa.concat_arrays(ids)
+        order = _first(at, dist, ids, k)
+        return pa.Table.from_arrays([asked.column("qids").flatten().take(pa.array(at[order])), ids.take(pa.array(order)),
+                                     pa.array(dist[order])], schema=schema)
+
+    return left.groupBy("chunk", "slice").cogroup(right.groupBy("to", "part")).applyInArrow(run, out)
+
+
+def _first(rows: np.ndarray, dist: np.ndarray, ids, k: int) -> np.ndarray:
+    """The places of each row's first k entries by distance, equal ones by id."""
+    tie = np.argsort(np.array(ids.to_pylist()), kind="stable").argsort(kind="stable") if len(ids) else np.zeros(0, int)
+    order = np.lexsort((tie, dist, rows))
+    starts = np.searchsorted(rows[order], rows[order], side="left")
+    return order[np.arange(len(order)) - starts < k]
+
+
+def _nearest_rows(q: np.ndarray, d: np.ndarray, ids, k: int, dim: int, total: float) -> tuple:
+    """(query rows, donor rows, distances) of the k nearest of every query, in order."""
+    if not len(q):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    rows, cols = [], []
+    for at in range(0, len(q), 256):
+        r, c = _closest(q[at:at + 256], d, k)
+        rows.append(r + at)
+        cols.append(c)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    square, shared = np.zeros(len(rows)), np.zeros(len(rows))
+    for j in range(dim):  # in coordinate order, as a plain sum would
+        gap = q[rows, j] - d[cols, j]
+        known = ~np.isnan(gap)
+        square += np.where(known, gap * gap, 0.0)
+        shared += known
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = np.sqrt(total / shared * square)
+    tie = np.argsort(np.array(ids.to_pylist()), kind="stable").argsort(kind="stable")[cols]
+    order = np.lexsort((tie, dist, rows))
+    order = order[shared[order] > 0]
+    starts = np.searchsorted(rows[order], rows[order], side="left")
+    order = order[np.arange(len(order)) - starts < k]
+    return rows[order], cols[order], dist[order]
+
+
 def _closest(queries: np.ndarray, donors: np.ndarray, k: int):
     """(query rows, donor rows) that hold the k nearest of every query, by one
     matrix product with room for its rounding."""
@@ -231,28 +381,10 @@ def _visit(pairs: DataFrame, blocks: DataFrame, k: int, dim: int, total: float)
         q = _matrix(queries.column("vec"), dim)
         d = _matrix(block.column("vecs"), dim)
         ids = block.column("ids").combine_chunks().flatten()
-        rows, cols = [], []
-        for at in range(0, len(q), 256):
-            r, c = _closest(q[at:at + 256], d, k)
-            rows.append(r + at)
-            cols.append(c)
-        rows, cols = np.concatenate(rows), np.concatenate(cols)
-        square, shared = np.zeros(len(rows)), np.zeros(len(rows))
-        for j in range(dim):  # in coordinate order, as a plain sum would
-            gap = q[rows, j] - d[cols, j]
-            known = ~np.isnan(gap)
-            square += np.where(known, gap * gap, 0.0)
-            shared += known
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.sqrt(total / shared * square)
-        tie = np.argsort(np.array(ids.to_pylist()), kind="stable").argsort(kind="stable")[cols]
-        order = np.lexsort((tie, dist, rows))
-        order = order[shared[order] > 0]
-        starts = np.searchsorted(rows[order], rows[order], side="left")
-        order = order[np.arange(len(order)) - starts < k]
+        rows, cols, dist = _nearest_rows(q, d, ids, k, dim, total)
         return pa.Table.from_arrays(
-            [queries.column("qid").take(pa.array(rows[order])), ids.take(pa.array(cols[order])), pa.array(dist[order]),
-             pa.array(np.full(len(order), block.column("block")[0].as_py()))], schema=schema)
+            [queries.column("qid").take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(dist),
+             pa.array(np.full(len(rows), block.column("block")[0].as_py()))], schema=schema)
 
     return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, out)
 
@@ -284,7 +416,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dim: int, total: floa
     smallest = Window.partitionBy("grp", "vec").orderBy("did")
     donors = cut_lineage(donors.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= want).drop("rn")).where(known)
     reps = cut_lineage(asked.groupBy("grp", "vec").agg(F.min("qid").alias("qid"))).where(known)
-    n = donors.count()
+    n, n_asked = donors.count(), reps.count()
     n_pivots = min(MAX_PIVOTS, max(1, n // BLOCK_ROWS))
     sample = donors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()  # at most MAX_PIVOTS rows
     pivots = np.array([[np.nan if x is None else x for x in r["vec"]] for r in sample]).reshape(-1, dim)
@@ -296,7 +428,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dim: int, total: floa
         return queries.select("qid").limit(0).crossJoin(donors.select("did").limit(0)) \
             .withColumn("dist", F.lit(0.0)).withColumn("rn", F.lit(1))
     pages = lambda: (Bounds(p, pivots, total) for p in _pages(blocks, dim))
-    plans = [_plan(reps, b, dim, True) for b in pages()]
+    plans = [_plan(reps, b, dim) for b in pages()]
     start = _union(plans)
     if len(plans) > 1:
         start = start.groupBy("grp", "vec", "qid").agg(F.min_by("block", "bound").alias("block"))
@@ -307,10 +439,13 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dim: int, total: floa
         "grp", "vec", "qid", F.col("block").alias("seen"),
         F.when(F.col("c") >= want, F.col("d")).otherwise(F.lit(float("inf"))).alias("reach"))
     rest = cut_lineage(rest)
-    later = cut_lineage(_union([_plan(rest, b, dim, False).select("qid", "vec", "block") for b in pages()]))
+    chunks = cut_lineage(_chunks(rest, n_asked, dim))
+    wanted = cut_lineage(_union([_wanted(chunks, b, dim) for b in pages()]))
+    n_blocks = blocks.count()
     if stats is not None:
-        stats |= {"queries": reps.count(), "blocks": blocks.count(), "pairs": start.count() + later.count()}
-    found = _best(near.drop("rn").unionByName(_visit(later, blocks, want, dim, total)), want)
+        stats |= {"queries": n_asked, "blocks": n_blocks, "pairs": start.count() + (wanted.agg(F.sum("pairs")).first()[0] or 0)}
+    later = _visit_slices(chunks, wanted, blocks, n_blocks, pivots, want, dim, total)
+    found = _best(near.select("qid", "did", "dist").unionByName(later), want)
     of = asked.join(reps.select("grp", "vec", F.col("qid").alias("rep")), ["grp", "vec"]).select("qid", "rep")
     out = of.join(found.select(F.col("qid").alias("rep"), "did", "dist", "rn"), "rep").drop("rep")
     if other_rows:

@@ -148,6 +148,26 @@ def test_nearest_equals_brute_force(spark, monkeypatch, dim, gaps, same_group, o
         assert stats["pairs"] < 0.6 * stats["queries"] * stats["blocks"]
 
 
+def test_nearest_moves_no_vector_per_pair(spark, monkeypatch):
+    """Nothing is pruned here: the rows planned for the second round are chunks by blocks, not queries by blocks."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(400)]
+    donors = spark.createDataFrame(rows, "did long, vec array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=24).tolist()) for i in range(200)], "qid long, vec array<double>")
+    written, kept = [], neighbors.cut_lineage
+
+    def spy(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbors, "cut_lineage", spy)
+    stats = {}
+    assert nearest(queries, donors, 3, 24, stats=stats).count() == 600
+    assert stats["pairs"] > 0.5 * 200 * stats["blocks"] and max(written) <= 600
+
+
 def test_nearest_text_ids_and_empty_tables(spark):
     donors = spark.createDataFrame([("b", [0.0]), ("a", [0.0]), ("c", [2.0])], "did string, vec array<double>")
     queries = spark.createDataFrame([("x", [0.5]), ("y", [None])], "qid string, vec array<double>")
