@@ -18,7 +18,9 @@ of its bigrams, words and heads, sorted by key, to the buckets of the key space
 (one shuffle: the only one that is larger than the words themselves).  A
 bucket adds the blocks' counts up and answers each block in the order of its
 keys, so that counting and looking up are one exchange (of ``SLICES`` ranges of
-keys, one after the other), and a block scores its texts with the answers.  A frequent entry is one number per block, so no key
+keys, one after the other), and a block scores its texts with the answers
+(``SLICES`` sets of blocks, one after the other).  Before it asks, a block is
+written as one row in which rare words are unknown: only its answers move it again.  A frequent entry is one number per block, so no key
 is hot; buckets and blocks have a bounded size, and at most one row per entry
 is exchanged.  Nothing is broadcast or sent to the driver but totals.
 
@@ -38,9 +40,11 @@ distribution; an empty table gives no rows.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 from hashlib import blake2b
 from itertools import pairwise
+from operator import itemgetter
 
 import numpy as np
 from pyspark import TaskContext
@@ -60,10 +64,12 @@ UNIGRAM, BACKOFF = 2, 3
 BLOCK_WORDS = 1 << 19
 #: Words of all documents per bucket of keys, and per task at large inputs.
 BUCKET_WORDS, TASK_WORDS = 1 << 20, 1 << 25
-#: Blocks ask for so many ranges of keys in turn: less is on disk at a time.
+#: Blocks ask for so many ranges of keys in turn, and score in so many sets: less is on disk at a time.
 SLICES = 3
+#: Blocks and answers are rows of up to megabytes: so many are read, and blocks reach a Python worker, at a time.
+READ_ROWS, BATCH_ROWS = 16, 4
 #: Word hashes a task remembers.
-HELD = 400_000
+HELD = 100_000
 #: What the block ``told`` is told, by ``kind``; from 0 on: the bucket that answers.
 RARE, TARGET, KEPT = -1, -2, -3
 TOLD = "told long, kind long, x long, y long, z long, n binary, t binary"
@@ -97,7 +103,7 @@ class _Block(dict):
         get = self.__getitem__
         out = np.empty(len(words) + 1, np.int32)
         out[0] = START if head is None else get(head)
-        out[1:] = np.fromiter(map(get, words), np.int32, len(words))
+        out[1:] = itemgetter(*words)(self) if len(words) > 1 else [get(w) for w in words]
         self.held.append(out[1:])
         self.size += len(words)
         return out
@@ -120,12 +126,13 @@ def _lists(offsets, values):
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-def _packed(ends, values: np.ndarray):
+def _packed(ends, values: np.ndarray, planes: int | None = None):
     """A binary column, in a row the values between two ends: all first bytes, then
-    all second bytes and so on, which compresses well as high bytes agree."""
+    all second bytes and so on, which compresses well as high bytes agree (the
+    first ``planes`` if the others are 0)."""
     import pyarrow as pa
 
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :planes]
     return pa.array([planes[a:b].T.tobytes() for a, b in pairwise(ends)], pa.binary())
 
 
@@ -202,30 +209,50 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
+SETTLED = "block long, vocab array<long>, at array<long>, sizes array<int>, target array<boolean>, words binary"
+
+
+def _settle(pieces, told):
+    """A block as one row: its word list without rare words (which are unknown
+    from here on), and of each piece ``at``, its length and whether it is a target."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    listed = pieces.filter(pc.is_valid(pieces["vocab"]))
+    texts = pieces.filter(pc.is_valid(pieces["words"]))
+    vocab = listed["vocab"].combine_chunks().flatten().to_numpy()
+    stays = ~np.isin(vocab, _told(told, RARE, "x"))
+    number = np.where(stays, np.cumsum(stays) - 1, 0).astype(np.int32)
+    at = texts["at"].combine_chunks().to_numpy(zero_copy_only=False)
+    sizes = np.diff(_ends(texts["words"], np.int32))
+    words = number[_flat(texts["words"], np.int32)]
+    one = [_lists([0, len(x)], x) for x in (vocab[stays], at, sizes.astype(np.int32), np.isin(at, _told(told, TARGET, "x")))]
+    return pa.Table.from_arrays([listed["block"], *one, _packed([0, len(words)], words, 3)],
+                                ["block", "vocab", "at", "sizes", "target", "words"])
+
+
+def _told(told, kind: int, column: str) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return told.filter(pc.equal(told["kind"], kind))[column].combine_chunks().to_numpy(zero_copy_only=False)
+
+
 class _Texts:
-    """One block's pieces, with rare words unknown: ``at`` of each piece, ``piece``
+    """One block of :func:`_settle` (a batch of one row): ``at`` of each piece, ``piece``
     and bigram of each word, and the block's entries in the order of their keys."""
 
-    def __init__(self, pieces, told):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        listed = pieces.filter(pc.is_valid(pieces["vocab"]))
-        texts = pieces.filter(pc.is_valid(pieces["words"]))
-        self.vocab = listed["vocab"].combine_chunks().flatten().to_numpy()
-        rare = self.told(told, RARE, "x")
-        number = np.where(np.isin(self.vocab, rare), 0, np.arange(len(self.vocab)))
-        ends = _ends(texts["words"], np.int32)
-        ids = number[_flat(texts["words"], np.int32)]
+    def __init__(self, block):
+        self.vocab, self.at, sizes, self.targets = (
+            block.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("vocab", "at", "sizes", "target"))
+        planes = np.frombuffer(block.column("words")[0].as_buffer(), np.uint8).reshape(3, -1).astype(np.int64)
+        ids = planes[0] | planes[1] << 8 | planes[2] << 16
         inner = np.ones(len(ids), bool)
-        inner[ends[:-1]] = False
+        inner[np.cumsum(sizes) - sizes] = False
         word = np.flatnonzero(inner)
-        self.at = texts["at"].combine_chunks().to_numpy(zero_copy_only=False)
-        self.piece = np.repeat(np.arange(len(self.at)), np.diff(ends) - 1)
+        self.piece = np.repeat(np.arange(len(self.at)), sizes - 1)
         pair, self.bigram, self.n = np.unique(ids[word - 1] * len(self.vocab) + ids[word], return_inverse=True,
                                               return_counts=True)
-        self.head, self.word = np.divmod(pair, max(len(self.vocab), 1))
-        self.targets = np.isin(self.at, self.told(told, TARGET, "x"))
+        self.head, self.word = np.divmod(pair, len(self.vocab))
         self.words, self.heads = (np.flatnonzero(np.bincount(x, minlength=len(self.vocab)))
                                   for x in (self.word, self.head))
         v, w = self.vocab[self.head], self.vocab[self.word]
@@ -236,12 +263,6 @@ class _Texts:
         self.key = key[self.order]
         self.v = np.concatenate([v, np.full(len(one) + len(before), UNIGRAM)])[self.order]
 
-    @staticmethod
-    def told(told, kind: int, column: str) -> np.ndarray:
-        import pyarrow.compute as pc
-
-        return told.filter(pc.equal(told["kind"], kind))[column].combine_chunks().to_numpy(zero_copy_only=False)
-
     def entries(self, pairs: np.ndarray) -> np.ndarray:
         """Counts of bigrams, words and heads, in the order of the keys."""
         size = len(self.vocab)
@@ -262,23 +283,28 @@ class _Texts:
 
 
 def _ask(buckets: int, part: int):
-    """A block's counts in one slice of the keys, a row a bucket: (bucket, block, key, v, n, t)."""
-    def run(pieces, told):
+    """Blocks' counts in one slice of the keys, a row a block and bucket: (bucket, block, key, v, n, t)."""
+    def ask(row):
         import pyarrow as pa
 
-        texts = _Texts(pieces, told)
+        texts = _Texts(row)
         hits = np.bincount(texts.bigram, texts.targets[texts.piece], len(texts.n))
         place = ((texts.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         low, high = (np.searchsorted(place, np.uint64(buckets * k // SLICES)) for k in (part, part + 1))
         bucket, begin = np.unique(place[low:high], return_index=True)
         ends = np.append(begin, high - low)
-        block = pieces["block"][0].as_py()
+        block = row.column("block")[0].as_py()
         n, t = (texts.entries(x.astype(float)).astype(np.int32) for x in (texts.n, hits))
-        return pa.Table.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(bucket.astype(np.int64)), pa.array(np.full(len(bucket), block)),
              *[_packed(ends, x[low:high]) for x in (texts.key, texts.v, n, t)]],
             ["bucket", "block", "key", "v", "n", "t"])
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield ask(batch.slice(i, 1))
+
     return run, "bucket long, block long, key binary, v binary, n binary, t binary"
 
 
@@ -289,10 +315,15 @@ def _answer(least: float):
     def run(asked):
         import pyarrow as pa
 
-        key, v = _flat(asked["key"], np.uint64), _flat(asked["v"])
-        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        key = _flat(asked["key"], np.uint64)
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        place = np.empty(len(key), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        v = _flat(asked["v"])[order[new]]
+        del key, order, new
         n, t = (np.bincount(place, _flat(asked[c], np.int32)) for c in "nt")
-        v = v[first]
         pair = v != UNIGRAM
         kept = pair & (n >= least)
         heads, head = np.unique(v[kept], return_inverse=True)
@@ -304,7 +335,7 @@ def _answer(least: float):
         return pa.Table.from_arrays(
             [pa.array([*asked["block"].to_pylist(), None], pa.int64()),
              pa.array([*asked["bucket"].to_pylist(), KEPT], pa.int64()),
-             *[_packed(ends, x[place].astype(np.int64)) for x in (n, t)],
+             *[_packed(ends, x.astype(np.int64)[place]) for x in (n, t)],
              *[_lists(last, x.astype(np.int64)) for x in (heads, kept_n, kept_t)]],
             ["block", "kind", "n", "t", "heads", "kept_n", "kept_t"])
 
@@ -314,18 +345,18 @@ def _answer(least: float):
 
 def _score(totals: tuple, size: int):
     """Log probability of each piece of a text under both models: (at, b, t)."""
-    def run(pieces, told):
+    def run(block, told):
         import pyarrow as pa
 
-        texts = _Texts(pieces, told)
-        heads = texts.told(told, KEPT, "x")
+        texts = _Texts(block.combine_chunks().to_batches()[0])
+        heads = _told(told, KEPT, "x")
         order = np.argsort(texts.vocab)
         place = order[np.searchsorted(texts.vocab, heads, sorter=order)]
         sums = []
         for column, kept_column, total in (("n", "y", totals[0]), ("t", "z", totals[1])):
             pair, word, fan = texts.answers(told, column)
             kept = np.zeros(len(texts.vocab))
-            kept[place] = texts.told(told, KEPT, kept_column)
+            kept[place] = _told(told, KEPT, kept_column)
             fan = np.maximum(fan, 1)
             p = (WEIGHT * pair / fan[texts.head]
                  + (1 - WEIGHT * kept / fan)[texts.head] * ((word + 1) / (total + size))[texts.word])
@@ -335,6 +366,20 @@ def _score(totals: tuple, size: int):
     return run, "at long, b double, t double"
 
 
+@contextmanager
+def _few_rows(spark, **rows):
+    """So many rows in Spark's batches, by setting (dots as double underscores)."""
+    names = {name.replace("__", "."): n for name, n in rows.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, n in names.items():
+        spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        for name, n in before.items():
+            spark.conf.set(name, n)
+
+
 def target_ids(labels: DataFrame, rows: int | None = None) -> DataFrame:
     """The documents labelled good as target_id; a sample of about ``rows`` by hash if given."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id") \
@@ -386,26 +431,35 @@ def score(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
         targets, F.col("doc_id") == F.col("target_id"), "left_semi").select("block", "at", "n"), "lm-targets")
     target_total = hits.agg(F.sum("n")).first()[0] or 0
 
-    pieces = tokens.where("vocab is not null or length(words) > 4").select("block", "at", "words", "vocab")
-
-    def by_block(told, run, out):
-        return pieces.repartition(tasks, "block").groupBy("block").cogroup(
+    def by_block(blocks, told, run, out):
+        return blocks.repartition(tasks, "block").groupBy("block").cogroup(
             told.repartition(tasks, "told").groupBy("told")).applyInArrow(run, out)
 
     buckets = total // BUCKET_WORDS + SLICES
-    told = rare.unionAll(_tell(hits, TARGET, x=F.col("at")))
-    parts = [materialize(by_block(told, *_ask(buckets, k)).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(
-        *_answer(least)), "lm-answers") for k in range(SLICES)]
+    pieces = tokens.where("vocab is not null or length(words) > 4").select("block", "at", "words", "vocab")
+    blocks = materialize(by_block(pieces, rare.unionAll(_tell(hits, TARGET, x=F.col("at"))), _settle, SETTLED), "lm-settled")
+    for df in (tokens, words, hits):
+        drop(df)
+    spark, read = docs.sparkSession, {"spark__sql__parquet__columnarReaderBatchSize": READ_ROWS}
+    with _few_rows(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS, **read):
+        parts = [materialize(blocks.mapInArrow(*_ask(buckets, k)).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(
+            *_answer(least)), "lm-answers") for k in range(SLICES)]
     answers = reduce(DataFrame.unionAll, parts)
-    kept = answers.where("block is null").select(
+    kept = materialize(answers.where("block is null").select(
         F.explode(F.arrays_zip("heads", "kept_n", "kept_t")).alias("e")).groupBy(F.col("e.heads").alias("word")).agg(
-        F.sum("e.kept_n").alias("kept_n"), F.sum("e.kept_t").alias("kept_t"))
-    kept = listed.select("block", "word").join(kept, "word")
-    told = rare.unionAll(_tell(kept, KEPT, x=F.col("word"), y=F.col("kept_n"), z=F.col("kept_t"))) \
-        .unionAll(_tell(answers.where("block is not null"), F.col("kind"), n=F.col("n"), t=F.col("t")))
-    sums = materialize(by_block(told, *_score((total, target_total), size)).groupBy("at").agg(
-        F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-sums")
-    for df in (tokens, words, hits, *parts):
+        F.sum("e.kept_n").alias("kept_n"), F.sum("e.kept_t").alias("kept_t")), "lm-kept")
+
+    found = []
+    for k in range(SLICES):
+        some, replies = (df.where(F.col("block") % SLICES == k) for df in (blocks, answers))
+        heads = some.select("block", F.explode("vocab").alias("word")).join(kept, "word")
+        told = _tell(heads, KEPT, x=F.col("word"), y=F.col("kept_n"), z=F.col("kept_t")).unionAll(
+            _tell(replies, F.col("kind"), n=F.col("n"), t=F.col("t")))
+        with _few_rows(spark, **read):
+            found.append(materialize(by_block(some, told, *_score((total, target_total), size)).groupBy("at").agg(
+                F.sum("b").alias("b"), F.sum("t").alias("t")), "lm-sums"))
+    sums = reduce(DataFrame.unionAll, found).groupBy("at").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    for df in (blocks, kept, *parts):
         drop(df)
     return rows.join(sums, "at", "left").select(
         "row", F.col("n").alias("n_tokens"), (-F.col("t") / F.col("n")).alias("target_loss"),

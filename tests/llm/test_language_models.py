@@ -133,3 +133,21 @@ def test_lm_keeps_every_pair_seen_twice(spark, monkeypatch, block, bucket):
 def test_lm_target_is_every_good_document(spark):
     labels = spark.range(250_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert lm.target_ids(labels).count() == 250_000
+
+
+def test_lm_moves_a_block_once_to_settle_and_once_to_score(spark, monkeypatch):
+    """Asking moves no texts, and scoring a share of the blocks at a time: the disk holds less at once."""
+    written = []
+
+    def spy(df, name, *rest, **more):
+        written.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, name, *rest, **more)
+
+    kept = lm.materialize
+    monkeypatch.setattr(lm, "materialize", spy)
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 500)
+    docs = spark.createDataFrame([(i, "a b c " * (i % 90 + 1)) for i in range(300)], "doc_id long, text string").repartition(3)
+    assert lm.score(docs, docs.limit(9).select(F.col("doc_id").alias("target_id"))).count() == 300
+    asks = [plan for name, plan in written if name == "lm-answers"]
+    assert len(asks) == lm.SLICES and not any("CoGroup" in plan for plan in asks)
+    assert [name for name, _ in written].count("lm-sums") == lm.SLICES
