@@ -42,9 +42,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from functools import reduce
-from hashlib import blake2b
-from itertools import pairwise
-from operator import itemgetter
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark import TaskContext
@@ -68,44 +66,35 @@ BUCKET_WORDS, TASK_WORDS = 1 << 20, 1 << 25
 SLICES = 3
 #: Blocks and answers are rows of up to megabytes: so many are read, and blocks reach a Python worker, at a time.
 READ_ROWS, BATCH_ROWS = 16, 4
-#: Word hashes a task remembers.
-HELD = 100_000
+#: Words a task has as Python strings before they become numbers of their block.
+PENDING = 1 << 16
 #: What the block ``told`` is told, by ``kind``; from 0 on: the bucket that answers.
 RARE, TARGET, KEPT = -1, -2, -3
 TOLD = "told long, kind long, x long, y long, z long, n binary, t binary"
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, filled on demand."""
+class _Block:
+    """The word list of a block, which begins with the unknown word and the
+    text's start, and the words added so far as numbers into it."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        self[word] = h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
-                                        "little", signed=True)
-        return h
-
-
-class _Block(dict):
-    """Word -> its number in this block, filled on demand; the word list begins
-    with the unknown word and the text's start."""
-
-    def __init__(self, hashes: _Hashes):
-        self.hashes, self.places, self.held = hashes, {UNKNOWN: 0, START: 1}, []
+    def __init__(self):
+        self.places, self.held = {UNKNOWN: 0, START: 1}, []
         self.size = 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = self.places.setdefault(self.hashes[word], len(self.places))
-        return at
-
-    def add(self, words: list[str], head: str | None) -> np.ndarray:
-        """Numbers of the word before (None: the start) and of the words."""
-        get = self.__getitem__
-        out = np.empty(len(words) + 1, np.int32)
-        out[0] = START if head is None else get(head)
-        out[1:] = itemgetter(*words)(self) if len(words) > 1 else [get(w) for w in words]
-        self.held.append(out[1:])
-        self.size += len(words)
+    def add(self, pieces: list[list]) -> np.ndarray:
+        """Numbers of the pieces' words, one after the other; each begins with the
+        word before it (None: the start), which is not counted."""
+        import pandas as pd
+        import pyarrow as pa
+
+        words = pa.array(chain.from_iterable(pieces), pa.large_string()).dictionary_encode()
+        hashes = pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+        place = self.places.setdefault
+        numbers = np.array([*(place(h, len(self.places)) for h in hashes.tolist()), self.places[START]], np.int32)
+        out = numbers[words.indices.fill_null(len(hashes)).to_numpy()]
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum([0, *map(len, pieces[:-1])])] = False
+        self.held.append(out[inner])
         return out
 
     def counts(self) -> np.ndarray:
@@ -132,15 +121,23 @@ def _packed(ends, values: np.ndarray, planes: int | None = None):
     first ``planes`` if the others are 0)."""
     import pyarrow as pa
 
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :planes]
-    return pa.array([planes[a:b].T.tobytes() for a, b in pairwise(ends)], pa.binary())
+    given = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :planes]
+    planes = np.empty(given.shape[::-1], np.uint8)
+    for plane, column in zip(planes, given.T):  # a plane at a time: numpy copies a transposed matrix slowly
+        plane[:] = column
+    return pa.array([np.ascontiguousarray(planes[:, a:b]).tobytes() for a, b in pairwise(ends)], pa.binary())
 
 
 def _flat(column, of=np.int64) -> np.ndarray:
     """All values of a column made by :func:`_packed`, row after row."""
     size = np.dtype(of).itemsize
-    rows = [np.frombuffer(x, np.uint8).reshape(size, -1).T for x in column.to_pylist()]
-    return np.ascontiguousarray(np.concatenate(rows)).view(of).reshape(-1)
+    rows = [np.frombuffer(x, np.uint8).reshape(size, -1) for x in column.to_pylist()]
+    out, end = np.empty((sum(x.shape[1] for x in rows), size), np.uint8), 0
+    for planes in rows:
+        begin, end = end, end + planes.shape[1]
+        for i, plane in enumerate(planes):
+            out[begin:end, i] = plane
+    return out.view(of).reshape(-1)
 
 
 def _ends(column, of=np.int64) -> np.ndarray:
@@ -160,7 +157,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
     ship_package(docs.sparkSession)
-    limit = BLOCK_WORDS
+    limit, most = BLOCK_WORDS, PENDING
     kind = docs.schema
     out = StructType().add("block", LongType()).add("at", LongType()).add("row", kind["row"].dataType) \
         .add("doc_id", kind["doc_id"].dataType).add("n", LongType()).add("words", BinaryType()).add("vocab", ArrayType(LongType())) \
@@ -168,43 +165,46 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        at, number, hashes = task << 40, task << 24, _Hashes()
-        block, kinds = _Block(hashes), None
+        at, number, block = task << 40, task << 24, _Block()
 
-        def close():
+        def close(kinds):
             words = np.fromiter(block.places, np.int64, len(block.places))
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, k) for k in kinds],
                  pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), _lists([0, len(words)], words),
                  _lists([0, len(words)], block.counts())], out.names)
 
+        def pieces(part, ats, owner, n, words):
+            first = pa.array([i if x is not None else None for i, x in zip(owner, n)], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), number)), pa.array(ats, pa.int64()), part.column(0).take(first),
+                 part.column(1).take(pa.array(owner, pa.int32())), pa.array(n, pa.int64()),
+                 _packed(np.cumsum([0, *map(len, words)]), block.add(words)),
+                 pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], out.names)
+
         for batch in batches:
             kinds = [batch.column(0).type, batch.column(1).type]
             for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                places, ats, owner, ids, n, full = [], [], [], [], [], []
+                part, found, pending = batch.slice(a, 256), ([], [], [], []), 0
                 for i, text in enumerate(part.column(2).to_pylist()):
                     words = words_of(text)
                     for begin in range(0, max(len(words), 1), limit):
-                        places.append(number)
-                        ats.append(at)
-                        owner.append(i)
-                        n.append(None if begin else len(words))
-                        ids.append(block.add(words[begin:begin + limit], words[begin - 1] if begin else None))
+                        piece = [words[begin - 1] if begin else None, *words[begin:begin + limit]]
+                        for column, x in zip(found, (at, i, None if begin else len(words), piece)):
+                            column.append(x)
+                        pending += len(piece) - 1
+                        block.size += len(piece) - 1
+                        if pending >= most or block.size >= limit:
+                            yield pieces(part, *found)
+                            found, pending = ([], [], [], []), 0
                         if block.size >= limit:
-                            full.append(close())
-                            block, number = _Block(hashes), number + 1
+                            yield close(kinds)
+                            block, number = _Block(), number + 1
                     at += 1
-                owner = pa.array(owner, pa.int32())
-                first = pa.array([i if x is not None else None for i, x in zip(owner.to_pylist(), n)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(places, pa.int64()), pa.array(ats, pa.int64()), part.column(0).take(first),
-                     part.column(1).take(owner), pa.array(n, pa.int64()),
-                     _packed(np.cumsum([0, *map(len, ids)]), np.concatenate(ids)),
-                     pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], out.names)
-                yield from full
+                if found[0]:
+                    yield pieces(part, *found)
         if block.size:
-            yield close()
+            yield close(kinds)
 
     return docs.mapInArrow(run, out)
 
@@ -234,52 +234,57 @@ def _settle(pieces, told):
 def _told(told, kind: int, column: str) -> np.ndarray:
     import pyarrow.compute as pc
 
-    return told.filter(pc.equal(told["kind"], kind))[column].combine_chunks().to_numpy(zero_copy_only=False)
+    return told[column].filter(pc.equal(told["kind"], kind)).combine_chunks().to_numpy(zero_copy_only=False)
 
 
 class _Texts:
-    """One block of :func:`_settle` (a batch of one row): ``at`` of each piece, ``piece``
-    and bigram of each word, and the block's entries in the order of their keys."""
+    """One block of :func:`_settle` (a batch of one row): ``at`` of each piece, and of
+    each of its words ``piece``, ``head`` and ``word``, numbers into the word list."""
 
     def __init__(self, block):
         self.vocab, self.at, sizes, self.targets = (
             block.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("vocab", "at", "sizes", "target"))
-        planes = np.frombuffer(block.column("words")[0].as_buffer(), np.uint8).reshape(3, -1).astype(np.int64)
+        planes = np.frombuffer(block.column("words")[0].as_buffer(), np.uint8).reshape(3, -1).astype(np.int32)
         ids = planes[0] | planes[1] << 8 | planes[2] << 16
-        inner = np.ones(len(ids), bool)
-        inner[np.cumsum(sizes) - sizes] = False
-        word = np.flatnonzero(inner)
+        first = np.cumsum(sizes) - sizes
+        self.word, self.head = np.delete(ids, first), np.delete(ids, first + sizes - 1)
         self.piece = np.repeat(np.arange(len(self.at)), sizes - 1)
-        pair, self.bigram, self.n = np.unique(ids[word - 1] * len(self.vocab) + ids[word], return_inverse=True,
-                                              return_counts=True)
-        self.head, self.word = np.divmod(pair, len(self.vocab))
         self.words, self.heads = (np.flatnonzero(np.bincount(x, minlength=len(self.vocab)))
                                   for x in (self.word, self.head))
-        v, w = self.vocab[self.head], self.vocab[self.word]
-        one, before = self.vocab[self.words], self.vocab[self.heads]
-        key = np.concatenate([_mixed(v, w), _mixed(np.full_like(one, UNIGRAM), one),
-                              _mixed(before, np.full_like(before, BACKOFF))])
-        self.order = np.argsort(key)
-        self.key = key[self.order]
-        self.v = np.concatenate([v, np.full(len(one) + len(before), UNIGRAM)])[self.order]
-
-    def entries(self, pairs: np.ndarray) -> np.ndarray:
-        """Counts of bigrams, words and heads, in the order of the keys."""
+
+    def keys(self) -> np.ndarray:
+        """Keys of the bigram at each word, then of each different word and head."""
+        v, one, before = self.vocab[self.head], self.vocab[self.words], self.vocab[self.heads]
+        return np.concatenate([_mixed(v, self.vocab[self.word]), _mixed(np.full_like(one, UNIGRAM), one),
+                               _mixed(before, np.full_like(before, BACKOFF))])
+
+    def counts(self, hits: np.ndarray) -> np.ndarray:
+        """How much its words add to each of the keys, if only the hits among them count."""
         size = len(self.vocab)
-        return np.concatenate([pairs, np.bincount(self.word, pairs, size)[self.words],
-                               np.bincount(self.head, pairs, size)[self.heads]])[self.order]
+        word, head = (np.bincount(x[hits], minlength=size) for x in (self.word, self.head))
+        return np.concatenate([hits, word[self.words], head[self.heads]], dtype=np.int32)
 
-    def answers(self, told, column: str) -> list[np.ndarray]:
-        """What the buckets answered, by bigram and by word as such and as a head."""
+    def firsts(self) -> np.ndarray:
+        """First word of each key that is a bigram."""
+        return np.concatenate([self.vocab[self.head], np.full(len(self.words) + len(self.heads), UNIGRAM)])
+
+    def answers(self, told, place: np.ndarray, column: str) -> list[np.ndarray]:
+        """What the buckets answered at each word, and by word as such and as a head;
+        ``place`` of each key among the different ones."""
         import pyarrow.compute as pc
 
-        given = told.filter(pc.greater_equal(told["kind"], 0)).sort_by("kind")
-        out, size = np.empty(len(self.order)), len(self.n)
-        out[self.order] = _flat(given[column])
+        given = told.select(["kind", column]).filter(pc.greater_equal(told["kind"], 0)).sort_by("kind")
+        out, n, m = _flat(given[column])[place], len(self.word), len(self.words)
         word, head = np.zeros(len(self.vocab)), np.zeros(len(self.vocab))
-        word[self.words] = out[size:size + len(self.words)]
-        head[self.heads] = out[size + len(self.words):]
-        return [out[:size], word, head]
+        word[self.words], head[self.heads] = out[n:n + m], out[n + m:]
+        return [out[:n], word, head]
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and where in it each different one begins."""
+    order = np.argsort(key)
+    ordered = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(key)])
 
 
 def _ask(buckets: int, part: int):
@@ -288,16 +293,20 @@ def _ask(buckets: int, part: int):
         import pyarrow as pa
 
         texts = _Texts(row)
-        hits = np.bincount(texts.bigram, texts.targets[texts.piece], len(texts.n))
-        place = ((texts.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        low, high = (np.searchsorted(place, np.uint64(buckets * k // SLICES)) for k in (part, part + 1))
-        bucket, begin = np.unique(place[low:high], return_index=True)
-        ends = np.append(begin, high - low)
+        key = texts.keys()
+        place = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        mine = np.flatnonzero((place >= buckets * part // SLICES) & (place < buckets * (part + 1) // SLICES))
+        order, begins = _sorted(key[mine])  # only the keys of the slice are sorted
+        mine = mine[order]
+        one = mine[begins]
+        bucket, begin = np.unique(place[one], return_index=True)
+        ends = np.append(begin, len(one))
         block = row.column("block")[0].as_py()
-        n, t = (texts.entries(x.astype(float)).astype(np.int32) for x in (texts.n, hits))
+        n, t = (np.add.reduceat(texts.counts(x)[mine], begins, dtype=np.int32) if len(one) else np.empty(0, np.int32)
+                for x in (np.ones(len(texts.word), bool), texts.targets[texts.piece]))
         return pa.RecordBatch.from_arrays(
             [pa.array(bucket.astype(np.int64)), pa.array(np.full(len(bucket), block)),
-             *[_packed(ends, x[low:high]) for x in (texts.key, texts.v, n, t)]],
+             *[_packed(ends, x) for x in (key[one], texts.firsts()[one], n, t)]],
             ["bucket", "block", "key", "v", "n", "t"])
 
     def run(batches):
@@ -349,18 +358,22 @@ def _score(totals: tuple, size: int):
         import pyarrow as pa
 
         texts = _Texts(block.combine_chunks().to_batches()[0])
+        key = texts.keys()
+        order, begins = _sorted(key)
+        among = np.empty(len(key), np.int32)
+        among[order] = np.repeat(np.arange(len(begins), dtype=np.int32), np.diff(begins, append=len(key)))
         heads = _told(told, KEPT, "x")
         order = np.argsort(texts.vocab)
         place = order[np.searchsorted(texts.vocab, heads, sorter=order)]
         sums = []
         for column, kept_column, total in (("n", "y", totals[0]), ("t", "z", totals[1])):
-            pair, word, fan = texts.answers(told, column)
+            pair, word, fan = texts.answers(told, among, column)
             kept = np.zeros(len(texts.vocab))
             kept[place] = _told(told, KEPT, kept_column)
             fan = np.maximum(fan, 1)
-            p = (WEIGHT * pair / fan[texts.head]
+            p = ((WEIGHT / fan)[texts.head] * pair
                  + (1 - WEIGHT * kept / fan)[texts.head] * ((word + 1) / (total + size))[texts.word])
-            sums.append(np.bincount(texts.piece, np.log(p)[texts.bigram], len(texts.at)))
+            sums.append(np.bincount(texts.piece, np.log(p), len(texts.at)))
         return pa.Table.from_arrays([pa.array(texts.at), *map(pa.array, sums)], ["at", "b", "t"])
 
     return run, "at long, b double, t double"

@@ -8,12 +8,16 @@ from itertools import chain
 import numpy as np
 
 _word = re.compile(r"\w+")
+#: ASCII with a space for all that is in no word.
+_blanked = re.sub(r"\W", " ", "".join(map(chr, range(128))))
 #: Ids of the unknown word and of the text's start; the vocabulary follows.
 UNKNOWN, START = 0, 1
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word.findall((text or "").lower())
+    text = (text or "").lower()
+    # the same words; of ASCII texts split finds them in less than half the time
+    return text.translate(_blanked).split() if text.isascii() else _word.findall(text)
 
 
 def vocabulary(words) -> dict[str, int]:

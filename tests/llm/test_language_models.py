@@ -2,8 +2,11 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +154,56 @@ def test_lm_moves_a_block_once_to_settle_and_once_to_score(spark, monkeypatch):
     asks = [plan for name, plan in written if name == "lm-answers"]
     assert len(asks) == lm.SLICES and not any("CoGroup" in plan for plan in asks)
     assert [name for name, _ in written].count("lm-sums") == lm.SLICES
+
+
+def test_lm_asks_sort_the_keys_of_their_slice_alone(monkeypatch):
+    """Every slice used to sort all words of the block, and then all keys."""
+    r = random.Random(3)
+    texts = [[r.randrange(2, 300) for _ in range(r.randrange(1, 200))] for _ in range(100)]
+    vocab = np.array([0, 1, *(r.randrange(-2**63, 2**63) for _ in range(298))])
+    words = np.array([x for t in texts for x in (1, *t)], np.int32)
+    sizes, target = np.array([len(t) + 1 for t in texts], np.int32), np.arange(100) % 3 == 0
+    block = pa.RecordBatch.from_arrays(
+        [pa.array([7]), *(lm._lists([0, len(x)], x) for x in (vocab, np.arange(100), sizes, target)),
+         lm._packed([0, len(words)], words, 3)], ["block", "vocab", "at", "sizes", "target", "words"])
+
+    want = [Counter(), Counter()]
+    for t, hit in zip(texts, target):
+        for v, w in zip([1, *t], t):
+            for key in ((vocab[v], vocab[w]), (lm.UNIGRAM, vocab[w]), (vocab[v], lm.BACKOFF)):
+                want[0][key] += 1
+                want[1][key] += int(hit)
+    keys = lm._mixed(*np.array([*want[0]], np.int64).T).tolist()
+
+    compared = []
+    for name in ("argsort", "unique"):
+        monkeypatch.setattr(np, name, lambda x, *rest, of=getattr(np, name), **more: (compared.append(len(x)), of(x, *rest, **more))[1])
+    asked = pa.Table.from_batches([b for k in range(lm.SLICES) for b in lm._ask(5, k)[0]([block])])
+    monkeypatch.undo()
+    key, v, n, t = (lm._flat(asked[c], of).tolist() for c, of in (("key", np.uint64), ("v", np.int64), ("n", np.int32), ("t", np.int32)))
+    assert key == sorted(set(key)) and asked["bucket"].to_pylist() == [*range(5)]
+    assert dict(zip(key, zip(n, t))) == {k: (want[0][x], want[1][x]) for k, x in zip(keys, want[0])}
+    heads = {k: int(x[0]) if x[0] != lm.UNIGRAM and x[1] != lm.BACKOFF else lm.UNIGRAM for k, x in zip(keys, want[0])}
+    assert dict(zip(key, v)) == heads
+    assert sum(compared) <= 2 * (len(words) + 2 * len(vocab))
+
+
+def test_lm_numbers_words_a_few_at_a_time(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * i + j) % 41} ma\u00df" for j in range(i % 30))) for i in range(200)] + [(200, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    targets = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("target_id"))
+
+    def losses():
+        got = lm.score(docs, targets, carry=["doc_id"]).select("row.doc_id", "n_tokens", "target_loss", "background_loss")
+        return {r[0]: (r[1], *(x and round(x, 9) for x in r[2:])) for r in got.collect()}
+
+    whole = losses()
+    monkeypatch.setattr(lm, "PENDING", 37)
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 300)
+    assert losses() == whole and len(whole) == 201
+
+
+def test_words_of_ascii_texts_equal_the_pattern():
+    every = "".join(f"aB{chr(i)}c{chr(i)}" for i in range(128))
+    for text in (every, every + "\u00e9", "K \u212a 1", "", " ", None):  # the Kelvin sign's lower case is an ASCII k
+        assert words_of(text) == re.findall(r"\w+", (text or "").lower())
